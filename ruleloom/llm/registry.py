@@ -30,3 +30,12 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .word_bpe import digests, encode_decode
 
     return digests(encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .storage import fresh_path
+    from .token_file import digests, read_token_files, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), fresh_path(spark, "token-files"), tokenizer("word_bpe_49k.json"), end_id=2)
+    return digests(read_token_files(files))
