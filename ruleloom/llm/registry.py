@@ -39,3 +39,29 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = write_token_files(table(spark, sf_dir, "documents"), fresh_path(spark, "token-files"), tokenizer("word_bpe_49k.json"), end_id=2)
     return digests(read_token_files(files))
+
+
+#: Words as the shingle operators take them, for RE2: neither ASCII other than letters and digits, nor punctuation, symbols, separators.
+SQL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F\p{P}\p{S}\p{Z}]+"
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op7_decontamination"] = rf"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '{SQL_WORD}') AS w FROM benchmark),
+     item_grams AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+                    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+     sizes AS (SELECT item_id, k, count(*) AS n FROM item_grams GROUP BY ALL),
+     doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '{SQL_WORD}') AS w FROM documents),
+     doc_grams AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g
+                   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                         FROM doc_words, (SELECT DISTINCT k FROM sizes) WHERE len(w) >= k))
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared
+FROM doc_grams JOIN item_grams USING (k, g) JOIN sizes USING (item_id, k)
+GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
