@@ -65,3 +65,10 @@ SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared
 FROM doc_grams JOIN item_grams USING (k, g) JOIN sizes USING (item_id, k)
 GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
