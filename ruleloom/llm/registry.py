@@ -72,3 +72,28 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the declared language is their ``lang``, the host their ``source``."""
+    from pyspark.sql import functions as F
+
+    from .language_id import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = identify(docs, "text", F.col("lang"), F.col("source"))
+    return found.select("doc_id", "language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
+@query
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: declared by the markup, with host and suffix from the address."""
+    from pyspark.sql import functions as F
+
+    from .language_id import address_parts, declared_in_markup, identify, visible_text
+
+    pages = table(spark, sf_dir, "pages")
+    pages = pages.select("page_id", "url", declared_in_markup(F.col("html")).alias("declared"), visible_text(F.col("html")).alias("text"))
+    found = identify(pages, "text", F.col("declared"), *address_parts(F.col("url")))
+    return found.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "accepted")
