@@ -97,3 +97,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.select("page_id", "url", declared_in_markup(F.col("html")).alias("declared"), visible_text(F.col("html")).alias("text"))
     found = identify(pages, "text", F.col("declared"), *address_parts(F.col("url")))
     return found.select("page_id", "language", F.round("posterior", 6).alias("posterior"), "accepted")
+
+
+@query
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
