@@ -104,3 +104,11 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
     return find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
