@@ -119,3 +119,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
