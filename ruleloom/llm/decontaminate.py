@@ -162,3 +162,25 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
         result = result.unionByName(texts.mapInArrow(run, out))
     return result.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "n_shingles", "n_shared")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that contain no item; see :func:`contaminated` for what counts."""
+    spark = docs.sparkSession
+    names = docs.columns
+    for block in _blocks(items, item_id, item_text):
+        shipped = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(shipped.value)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for s in slices(batch.column(batch.num_columns - 1)):
+                    keep[[s.first + text for text, *_ in index.contained(s)]] = False
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names=batch.schema.names[:-1])
+
+        wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+        schema = wide.schema
+        wide = wide.withColumn("text", F.col(f"c{names.index(doc_text)}").cast("string"))
+        docs = wide.mapInArrow(run, schema).toDF(*names)
+    return docs

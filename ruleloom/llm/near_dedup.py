@@ -193,3 +193,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     classes = copies.join(roots, "node", "left").select("node", F.coalesce(F.col("root.id"), F.when(F.col("root").isNull(), F.col("rep"))).alias("class_id"), F.coalesce(F.col("root.node"), F.col("node")).alias("class_node"))
     return signed.select("id", "node").join(written(classes, "classes"), "node").select(F.col("id").alias(id_col), "node", "class_id", "class_node")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stand for their class: the one with the least id.
+
+    Of rows equal in id and text the one whose other columns hash lowest stays.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(F.col(id_col).alias("_id"), F.col("node").alias("_kept")).distinct()
+    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    low = F.row_number().over(Window.partitionBy(id_col, "_node").orderBy("_order"))
+    rows = docs.withColumn("_node", node).withColumn("_order", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_low", low).where("_low = 1")
+    return rows.join(written(first, "kept"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
