@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
-from .word_bpe import encode_by_chunks, in_small_batches
+from .word_bpe import REMEMBERED, WordSplitter, byte_characters, encode_by_chunks, in_small_batches
 
 MAGIC = b"RLTOK001"
 #: Ids after which a task begins another file.
@@ -115,13 +116,22 @@ def library_for(path: str) -> tuple[dict[str, bytes], Callable[[set[str]], None]
         library.no_truncation()
         library.no_padding()
         known: dict[str, bytes] = {}
+        words: dict[str, list[int]] = {}
+        added = {x.content: [i] for i, x in library.get_added_tokens_decoder().items()}
+        split, chars, model = WordSplitter(added), byte_characters(), library.model
 
         def learn(chunks: set[str]) -> None:
-            new = list(chunks)
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for chunk, found in zip(some, library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[chunk] = np.array(found.ids, dtype="<u4").tobytes()
+            """The library's model on each word not met before: most of its time on a whole text goes into offsets, which aren't wanted here."""
+            if len(words) > REMEMBERED:
+                words.clear()
+            words.update(added)
+            for chunk in chunks:
+                ids: list[int] = []
+                for word in split(chunk):
+                    if (found := words.get(word)) is None:
+                        found = words[word] = [t.id for t in model.tokenize(word if word.isascii() else "".join([chars[b] for b in word.encode()]))]
+                    ids += found
+                known[chunk] = array("I", ids).tobytes()
 
         _libraries[path] = (known, learn)
     return _libraries[path]

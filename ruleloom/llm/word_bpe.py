@@ -29,7 +29,7 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+
 END_OF_WORD = "</w>"
 
 #: Words (and chunks) that a Python worker remembers between batches; beyond it the memory is emptied, not the work.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Bytes of output after which a record batch is handed to Spark.
 BATCH_BYTES = 4 << 20
 
@@ -52,6 +52,34 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class WordSplitter:
+    """A chunk's words: normalised as the tokenizer's file says, then cut by its pattern; added tokens stay whole."""
+
+    def __init__(self, added: Iterable[str]):
+        self.added = frozenset(added)
+        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if self.added else None
+        self.words = regex.compile(WORD)
+
+    @staticmethod
+    def _normal(text: str) -> str:
+        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+
+    def __call__(self, chunk: str) -> list[str]:
+        whole = self._normal(chunk)
+        if whole.isalpha():
+            return [whole]
+        if whole[:-1].isalpha() and not whole[-1].isspace():  # most chunks: letters and one sign
+            return [whole[:-1], whole[-1]]
+        parts = self.split_added.split(chunk) if self.split_added else [chunk]
+        out: list[str] = []
+        for part in parts:
+            if part in self.added:
+                out.append(part)
+            elif part:
+                out += self.words.findall(self._normal(part))
+        return out
+
+
 class TrieEncoder:
     """Word-level BPE from a tokenizers JSON file."""
 
@@ -64,8 +92,7 @@ class TrieEncoder:
         for text, i in [*vocab.items(), *added.items()]:
             self.token_text[i] = text
         self.added = added
-        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.words = regex.compile(WORD)
+        self.split = WordSplitter(added)
         self.byte_chars = byte_characters()
         self.ids = {self._symbols(text): i for text, i in vocab.items()}
         self.longest = max(map(len, self.ids))
@@ -151,21 +178,10 @@ class TrieEncoder:
             out[word] = tuple(reversed(ids))
         return out
 
-    def _words(self, chunk: str) -> list[str]:
-        """A chunk's words after normalisation; added tokens stay whole."""
-        parts = self.split_added.split(chunk) if self.split_added else [chunk]
-        out: list[str] = []
-        for part in parts:
-            if part in self.added:
-                out.append(part)
-            elif part:
-                out += self.words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        return out
-
     def learn(self, chunks: Iterable[str]) -> None:
         """Encodes the chunks that aren't known yet."""
         new = [c for c in chunks if c not in self.chunk_ids]
-        split = {c: self._words(c) for c in new}
+        split = {c: self.split(c) for c in new}
         if len(self.word_ids) > REMEMBERED:
             self.word_ids.clear()
         known = self.word_ids
@@ -198,7 +214,10 @@ def encode_by_chunks(texts: list[str | None], known: dict[str, bytes], learn: Ca
         split = [chunks_of(t) if t else [] for t in texts[at:end]]
         if len(known) > REMEMBERED:
             known.clear()
-        missing = {c for cs in split for c in cs}.difference(known)
+        missing: set[str] = set()
+        for cs in split:
+            missing.update(cs)
+        missing = missing.difference(known)
         if missing:
             learn(missing)
         out += [b"".join(map(known.__getitem__, cs)) for cs in split]
