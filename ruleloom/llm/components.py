@@ -28,12 +28,11 @@ def components(links: DataFrame) -> DataFrame:
     join whose large partitions Spark splits.
     """
     edges = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
+    edges = written(edges, "components")
     while True:
-        edges = written(edges, "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or state[0] == 0:
+        # done where every edge leads from a node of its own to one that leads nowhere
+        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("tails")).crossJoin(edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").limit(1).agg(F.count("*").alias("between"))).first()
+        if state.n == state.tails and state.between == 0:
             break
-        seen = state
-        edges = _stars(edges)
+        edges = written(_stars(edges), "components")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

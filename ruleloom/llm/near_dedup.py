@@ -31,10 +31,12 @@ from .storage import written
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+#: Long bands keep apart documents that only share a passage, or their buckets would grow with the corpus; so many of
+#: them that a pair at SIMILARITY itself shares none once in 7,000, at 0.85 once in 4,000,000.
+BANDS, ROWS = 48, 8
 SLOTS = BANDS * ROWS
 #: Members of a bucket that lead comparisons in the first round after its least node; each round takes so many times more.
-LEADERS = 8
+LEADERS = 32
 
 _step = np.uint64(0x9E3779B97F4A7C15)
 _bands = np.random.default_rng(7).integers(1, 2**63, (1, BANDS), dtype=np.uint64)
@@ -56,6 +58,7 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int)
     first = np.zeros((texts, SLOTS), np.uint64)
     total = np.bincount(text, weights=weight, minlength=texts)
     todo, patience = total > 0, np.log(SLOTS) + 3
+    arrivals = {many: np.arange(1, many + 1, dtype=np.uint64) * _step for many in (1, 32)}
     while todo.any():
         mine = np.flatnonzero(todo[text])
         limit = np.divide(SLOTS * patience, total, out=np.zeros(texts), where=total > 0)
@@ -65,8 +68,8 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int)
         rounds = 0
         while len(h_):
             many = 1 if rounds < 8 else 32  # few shingles are left after some rounds: take more arrivals of each at once
-            r = mix(seed[:, None] + np.arange(1, many + 1, dtype=np.uint64)[None, :] * _step)
-            seed = seed + np.uint64(many) * _step
+            r = mix(seed[:, None] + arrivals[many][None, :])
+            seed = seed + arrivals[many][-1]
             gaps = -np.log(((r >> np.uint64(12)).astype(float) + 0.5) / 2.0**52) / w_[:, None]
             at = time[:, None] + np.cumsum(gaps, axis=1)
             time = at[:, -1]
@@ -78,12 +81,12 @@ def signatures(text: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int)
             h_, w_, t_, stop, time, seed = h_[on], w_[on], t_[on], stop[on], time[on], seed[on]
             rounds += 1
         when, cell, name = np.concatenate(times), np.concatenate(cells), np.concatenate(names)
-        order = np.argsort(-when, kind="stable")  # the earliest is written last
-        reached = np.zeros(texts * SLOTS, bool)
-        reached[cell] = True
-        whole = reached.reshape(texts, SLOTS).all(axis=1) & todo
+        least = np.full(texts * SLOTS, np.inf)
+        np.minimum.at(least, cell, when)
+        whole = np.isfinite(least).reshape(texts, SLOTS).all(axis=1) & todo
         out = np.zeros(texts * SLOTS, np.uint64)
-        out[cell[order]] = name[order]
+        won = when == least[cell]
+        out[cell[won]] = name[won]
         first[whole] = out.reshape(texts, SLOTS)[whole]
         todo &= ~whole
         patience *= 2
@@ -167,28 +170,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(rows.mapInArrow(_sign, signed), "signed")
     copies = written(signed.groupBy("node").agg(F.min("id").alias("rep")), "copies")
 
-    one = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("node", F.explode("bands").alias("key"))
-    buckets = one.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead")
-    shared = written(one.join(buckets, "key"), "shared")
+    one = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("node", F.xxhash64("node").alias("order"), F.explode("bands").alias("key"))
+    buckets = one.groupBy("key").agg(F.min("order").alias("lead"), F.max("order").alias("last")).where("lead <> last").select("key", "lead")
+    shared = written(one.join(buckets, "key").distinct(), "shared")
+    leads = shared.where("order = lead").select("key", F.col("node").alias("a")).distinct()
+    pairs = shared.where("order <> lead").join(leads, "key").select("a", F.col("node").alias("b")).distinct()
 
-    links = _links(shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), rows, copies)
+    links = _links(pairs, rows, copies)
     led, more = 1, LEADERS
     while True:
         named = links.join(copies.toDF("a", "ra"), "a").join(copies.toDF("b", "rb"), "b")
         point = lambda r, n: F.struct(F.col(r).isNull().alias("no"), F.col(r).alias("id"), F.col(n).alias("node"))
         roots = components(named.select(point("ra", "a").alias("u"), point("rb", "b").alias("v"))).select(F.col("node.node").alias("node"), "root")
         roots = written(roots, "roots")
-        mine = shared.distinct().join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", F.coalesce("root", "node").alias("root"))
         mine = written(mine, "labelled")
         open_ = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("n") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
         mine = written(mine.join(written(open_, "open"), "key"), "undecided")
         if mine.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "node"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
         leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), "leaders")
         pairs = leaders.join(mine, "key").where("ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = written(links.union(_links(pairs, rows, copies)), "links")
+        links = links.union(_links(pairs, rows, copies))
         led, more = led + more, more * LEADERS
 
     classes = copies.join(roots, "node", "left").select("node", F.coalesce(F.col("root.id"), F.when(F.col("root").isNull(), F.col("rep"))).alias("class_id"), F.coalesce(F.col("root.node"), F.col("node")).alias("class_node"))
