@@ -133,3 +133,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
