@@ -1 +1,3 @@
-"""See the package README for what lives here."""
+"""Queries by name; importing this package registers them all."""
+
+from . import rules  # noqa: F401
