@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers them all."""
 
-from . import rules, temporal  # noqa: F401
+from . import corpus, rules, serving, temporal  # noqa: F401
