@@ -111,3 +111,20 @@ def check_tally(spark, sf):
     """Counts by outcome with subtotals."""
     rolled = table(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.grouping("o_orderpriority").cast("long").alias("whole"))
     return rolled
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_by_hour(spark, sf):
+    """The streaming aggregation over the whole table."""
+    from ..streaming.ingest import hourly_counts
+
+    return hourly_counts(table(spark, sf, "events")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT sha256(text) AS sha FROM documents")
+def ingest_registers_once(spark, sf):
+    """All documents as one batch of the ingest, onto an empty registry."""
+    from ..streaming.ingest import REGISTRY, register
+
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
+    return register(docs, spark.createDataFrame([], REGISTRY), 0).select("sha")

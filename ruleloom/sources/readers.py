@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", multiLine=True)
+    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
