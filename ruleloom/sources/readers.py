@@ -31,10 +31,10 @@ def json_document(spark: SparkSession, path: str, schema: str, under: str | None
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, text, sha256, problem)`` of every file; bytes that aren't UTF-8 are a problem and have no text."""
+    """``(path, text, sha256, problem)`` of every file that isn't empty (Spark lists no others); bytes that aren't UTF-8 are a problem and have no text."""
     files = spark.read.format("binaryFile").load(path)
     good = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.when(good, F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("sha256"), F.when(F.col("length") == 0, "empty").when(~good, "not UTF-8").alias("problem"))
+    return files.select("path", F.when(good, F.col("content").cast("string")).alias("text"), F.sha2("content", 256).alias("sha256"), F.when(~good, "not UTF-8").alias("problem"))
 
 
 def manifest_union(first: DataFrame, more: DataFrame, key: str = "doc_id") -> DataFrame:
