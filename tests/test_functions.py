@@ -79,3 +79,25 @@ def test_readers(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.manifest_union(a, b).collect()) == [("1", "a"), ("2", "a"), ("3", "b")]
     with pytest.raises(ValueError, match="not written"):
         readers.write_checked(a, a.select("v"), str(tmp_path / "out"))
+
+
+def test_chunks_cover_the_text_and_overlap():
+    from ruleloom.operators.chunks import cuts
+
+    text = "\n\n".join("word " * (k % 40) for k in range(300)) + "x" * 500
+    found = cuts(text, 200, 30)
+    assert found[0][0] == 0 and found[-1][1] == len(text)
+    assert all(a < b <= a + 200 for a, b in found)
+    assert all(nxt <= end and nxt > begin for (begin, end), (nxt, _) in zip(found, found[1:], strict=False))
+    assert cuts("", 10, 2) == []
+
+
+def test_phrases(spark):
+    from ruleloom.functions import phrases
+
+    pick = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert pick(phrases.dates_in(F.lit("from July 20, 2026 to 2026-08-01, or 8/2/2026 and 2026-02-30"))) == [D(2026, 7, 20), D(2026, 8, 1), D(2026, 8, 2)]
+    assert tuple(pick(phrases.resolve(F.lit("the first day of the 12th month after"), F.lit("2026-07-20").cast("date")))) == (D(2027, 7, 1), "nth_month")
+    assert tuple(pick(phrases.resolve(F.lit("effective January 5, 2027"), F.lit(None).cast("date")))) == (D(2027, 1, 5), "explicit")
+    assert pick(phrases.find_normalised(F.lit("say “no  rent”\nat all"), F.lit('"no rent" at'))) == 4
+    assert pick(phrases.find_normalised(F.lit("abc"), F.lit("  "))) is None
