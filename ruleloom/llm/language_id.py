@@ -3,8 +3,8 @@
 Four pieces of evidence are taken for independent given the language and their
 logarithms added:
 
-* the text: byte trigrams of the lower-cased text, hashed to BUCKETS, under one
-  multinomial per language counted over all rows that declare that language, and
+* the text: byte trigrams without a digit of the lower-cased text, hashed to BUCKETS,
+  under one multinomial per language counted over all rows that declare that language, and
   tempered by TEMPER since neighbouring trigrams are not independent;
 * the declared language: how often rows whose text says ``l`` declare ``d``;
 * the address suffix and the host: shares of the languages by text alone, each host
@@ -55,7 +55,10 @@ def trigrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             for back in (1, 2):
                 ends = offsets[at + 1 : end + 1] - offsets[at] - back
                 inside[ends[ends >= offsets[at:end] - offsets[at]]] = False
-            code = code[inside[: len(code)]]
+            digit = (b >= ord("0")) & (b <= ord("9"))  # numbers and keys are in no language
+            told = ~(digit[:-2] | digit[1:-1] | digit[2:])[inside[: len(code)]]
+            code = code[inside[: len(code)]][told]
+            begins = np.concatenate([[0], np.cumsum(told)])[begins]
         else:
             code = np.zeros(0, np.uint32)
         yield at, code, begins
@@ -122,7 +125,8 @@ def identify(
     A row is accepted where its language is not ``und`` and has a posterior of
     MIN_POSTERIOR at least.  A null declaration, suffix or host says nothing; a
     declaration that is none of ``languages`` counts as one value "other".  A text
-    without a trigram (null, empty, two bytes) is ``und``.  Ties go to the language
+    without a letter (null, empty, numbers) is ``und``; one too short for a trigram
+    rests on the other evidence.  Ties go to the language
     first in order, ``und`` last.  Repeated rows count as often as they occur.  A
     column of ``df`` that already has an added name is replaced.
 
@@ -140,7 +144,7 @@ def identify(
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = text_scores(batch.column(3), shipped.value)
-            top = np.where(scores.any(axis=1), scores.argmax(axis=1), len(languages))
+            top = np.where(scores.any(axis=1), scores.argmax(axis=1), len(languages))  # without a trigram the text says nothing
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(top, pa.int32())], names=["h", "s", "d", "best"])
 
     counts = df.select(host.alias("h"), suffix.alias("s"), declared.alias("d"), F.col(text_col).cast("string")).mapInArrow(best, "h string, s string, d string, best int")
@@ -172,8 +176,8 @@ def identify(
 
     names = [f"{prefix}{x}" for x in ("language", "posterior", "accepted")]
     kept = [c for c in df.columns if c not in names]
-    text_at = len(kept) + 3
-    wide = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], host.alias("_host"), suffix.alias("_suffix"), declared.alias("_declared"), F.col(text_col).cast("string").alias("_text"))
+    text_at = len(kept) + 4
+    wide = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], host.alias("_host"), suffix.alias("_suffix"), declared.alias("_declared"), (~F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"\p{L}")).alias("_empty"), F.col(text_col).cast("string").alias("_text"))
     out = T.StructType([*wide.schema.fields[:text_at], T.StructField("_scores", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +191,7 @@ def identify(
     silent = F.array(*[F.lit(0.0)] * len(classes))
     fused = F.zip_with(F.zip_with("_scores", "_prior", lambda a, b: a + b), F.coalesce(says[F.col("_declared")], silent), lambda a, b: a + b)
     scored = scored.withColumn("_fused", fused).withColumn("_top", F.array_max("_fused"))
-    empty = F.forall("_scores", lambda x: x == 0)
+    empty = F.col("_empty")
     at = F.when(empty, F.lit(len(languages))).otherwise(F.array_position("_fused", F.col("_top")).cast("int") - 1)
     posterior = F.when(empty, F.lit(1.0)).otherwise(1 / F.aggregate("_fused", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top"))))
     scored = scored.withColumn("_at", at).withColumn("_posterior", posterior)

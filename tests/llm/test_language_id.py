@@ -12,7 +12,7 @@ from ruleloom.llm.registry import QUERIES
 def _buckets(text):
     b = (text or "").lower().encode()
     mask = 0xFFFFFFFF
-    return [((((b[i] * 0x9E3779B1 & mask) ^ (b[i + 1] * 0x85EBCA77 & mask) ^ (b[i + 2] * 0xC2B2AE3D & mask)) * 0x27D4EB2F) & mask) >> 19 for i in range(len(b) - 2)]
+    return [((((b[i] * 0x9E3779B1 & mask) ^ (b[i + 1] * 0x85EBCA77 & mask) ^ (b[i + 2] * 0xC2B2AE3D & mask)) * 0x27D4EB2F) & mask) >> 19 for i in range(len(b) - 2) if not {*b[i : i + 3]} & {*b"0123456789"}]
 
 
 def _brute(rows):
@@ -38,7 +38,7 @@ def _brute(rows):
     by_text = [[seen[d, k] + 1 for d in said] for k in range(L + 1)]
     out = []
     for (t, d, h, s), score in zip(rows, scores, strict=True):
-        if not _buckets(t):
+        if not any(c.isalpha() for c in t or ""):
             out.append(("und", 1.0))
             continue
         prior = overall if s is None else shares(lambda r: r[3], s, overall)
@@ -57,7 +57,7 @@ def _brute(rows):
 def _rows():
     r = random.Random(4)
     words = {"en": "the of and that with is on".split(), "de": "der die und ein für über ist".split(), "fr": "le la des été où une est".split(), "es": "el los que año una por en".split()}
-    rows = [(None, None, None, None), ("", "en", "a", "com"), ("ab", "fr", None, "org"), ("the of the of", "zz", None, None), ("жизнь и судьба " * 8, "en", "a.com", "com")]
+    rows = [(None, None, None, None), ("", "en", "a", "com"), ("12 345 67.", "en", "a", "com"), ("the 4111111111111111 of 2 the", "en", None, None), ("ab", "fr", None, "org"), ("the of the of", "zz", None, None), ("жизнь и судьба " * 8, "en", "a.com", "com")]
     for k in range(160):
         lang = r.choice(list(words))
         text = " ".join(r.choice(words[lang]) for _ in range(r.choice([1, 2, 5, 60])))
@@ -77,7 +77,7 @@ def test_against_brute_force(spark):
 
 
 def test_trigrams_do_not_cross_texts():
-    texts = ["abc", "", None, "a", "zz", "abcd", "é1"]
+    texts = ["abc", "", None, "a", "zz", "abcd", "é1", "ab1cde 2", "777"]
     got = [(first + k, code[begins[k] : begins[k + 1]].tolist()) for first, code, begins in m.trigrams(pa.array(texts)) for k in range(len(begins) - 1)]
     assert got == [(i, _buckets(t)) for i, t in enumerate(texts)]
 
