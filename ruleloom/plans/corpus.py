@@ -119,7 +119,7 @@ def reject_gates(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") > 40, "too large").when(F.col("p_retailprice") < 950, "too cheap").when(F.col("p_brand").isNull(), "no brand").alias("reason"))
 
 
-@query("""SELECT source, lang, count(*) AS docs, count(*) FILTER (WHERE length(text) = 0) AS empty, sum(n_chars) AS chars FROM documents GROUP BY ALL""")
+@query("""SELECT source, lang, count(*) AS docs, count(*) FILTER (WHERE length(text) = 0) AS empty, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL""")
 def doc_availability(spark, sf):
     return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.count_if(F.length("text") == 0).alias("empty"), F.sum("n_chars").alias("chars"))
 

@@ -37,7 +37,7 @@ def audit_trail(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("entries"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("event_type") == "purchase").alias("decisions"))
 
 
-@query("SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS cents FROM events GROUP BY ALL")
+@query("SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY ALL")
 def audit_by_day(spark, sf):
     return table(spark, sf, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
 
