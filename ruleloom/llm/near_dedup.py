@@ -143,17 +143,32 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield kept
 
 
-def _links(pairs: DataFrame, docs: DataFrame, copies: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs(a, b)`` those that are alike, from the whole texts."""
-    pairs = written(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(copies, "node")
-    needed = written(needed.select(F.col("node").alias("n"), F.col("rep").alias("r")), "needed")
-    texts = docs.join(needed, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("node", "text")
-    texts = written(texts, "texts")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary").distinct(), "links")
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        order = batch.column(0).to_numpy()
+        for s in slices(batch.column(1)):
+            text, h, weight = weighted(*shingles(s, WIDTH))
+            total = np.bincount(text, weights=weight, minlength=len(s))
+            yield pa.RecordBatch.from_arrays([pa.array(order[s.first + text]), pa.array(h.view(np.int64)), pa.array(weight / total[text])], names=["order", "gram", "share"])
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """``(order, alone)``: the share of each text's weight on shingles that no other of these texts has.
+
+    Shares ``u`` and ``v`` of two texts bound their similarity by ``1 / (1 / (1 - u) + 1 / (1 - v) - 1)``, so most
+    pairs of texts that only have a passage, or a template, in common need not be compared at all.
+    """
+    grams = texts.select(F.xxhash64("node").alias("order"), "text").mapInArrow(_grams, "order long, gram long, share double")
+    one = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("order").alias("order"), F.sum("share").alias("share")).where("n = 1")
+    return written(one.groupBy("order").agg(F.sum("share").alias("alone")), "alone")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, node, class_id, class_node)`` of every row: its class of near-duplicates, named by the least id in it.
 
@@ -176,24 +191,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = shared.where("order = lead").select("key", F.col("node").alias("a")).distinct()
     pairs = shared.where("order <> lead").join(leads, "key").select("a", F.col("node").alias("b")).distinct()
 
-    links = _links(pairs, rows, copies)
+    # one text a node that has company, by a sort-merge join at every size: the texts are as much as the input
+    needed = shared.select("node").distinct().join(copies, "node").select(F.col("node").alias("n"), F.col("rep").alias("r"))
+    texts = rows.join(written(needed, "needed").hint("merge"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("node", "text")
+    texts = written(texts, "texts")
+    links = _links(pairs, texts)
+    shared, pruned = shared.drop("lead").withColumn("kept", F.lit(1.0)), False
     led, more = 1, LEADERS
     while True:
         named = links.join(copies.toDF("a", "ra"), "a").join(copies.toDF("b", "rb"), "b")
         point = lambda r, n: F.struct(F.col(r).isNull().alias("no"), F.col(r).alias("id"), F.col(n).alias("node"))
         roots = components(named.select(point("ra", "a").alias("u"), point("rb", "b").alias("v"))).select(F.col("node.node").alias("node"), "root")
         roots = written(roots, "roots")
-        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", F.coalesce("root", "node").alias("root"))
+        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", "kept", F.coalesce("root", "node").alias("root"))
         mine = written(mine, "labelled")
         open_ = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("n") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
         mine = written(mine.join(written(open_, "open"), "key"), "undecided")
         if mine.isEmpty():
             break
+        if not pruned:  # from here on only nodes that can be like another; all of them may lead anew
+            left = written(mine.select("node").distinct(), "left")
+            alone = _alone(texts.join(left, "node", "left_semi"))
+            mine = mine.drop("kept").join(alone, "order", "left").withColumn("kept", 1 - F.coalesce("alone", F.lit(0.0))).where(F.col("kept") >= SIMILARITY - 1e-9)
+            shared = mine = written(mine.select("key", "node", "order", "kept", "root"), "possible")
+            shared, pruned, led = shared.drop("root"), True, 0
         rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "node"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
-        leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra")), "leaders")
-        pairs = leaders.join(mine, "key").where("ra <> root").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = links.union(_links(pairs, rows, copies))
+        leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("kept").alias("ka")), "leaders")
+        able = 1 / (1 / F.col("ka") + 1 / F.col("kept") - 1) >= SIMILARITY - 1e-9
+        pairs = leaders.join(mine, "key").where((F.col("ra") != F.col("root")) & able).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        links = links.union(_links(pairs, texts))
         led, more = led + more, more * LEADERS
 
     classes = copies.join(roots, "node", "left").select("node", F.coalesce(F.col("root.id"), F.when(F.col("root").isNull(), F.col("rep"))).alias("class_id"), F.coalesce(F.col("root.node"), F.col("node")).alias("class_node"))
