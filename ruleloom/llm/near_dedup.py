@@ -10,7 +10,8 @@ a long document are left after their first arrival.
 Slots are joined in bands.  In each bucket of a band the members are compared with
 the bucket's least node, and where a bucket then still holds several components,
 with further members in growing numbers, until every pair of different components
-that shares a bucket has been compared.  Pairs count as links where the exact
+that shares a bucket has been compared, but for those that a bound or their sketches
+rule out.  Pairs count as links where the exact
 probability Jaccard similarity is SIMILARITY or more.
 """
 
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -35,6 +36,12 @@ SIMILARITY = 0.8
 #: them that a pair at SIMILARITY itself shares none once in 7,000, at 0.85 once in 4,000,000.
 BANDS, ROWS = 48, 8
 SLOTS = BANDS * ROWS
+#: Bits a slot in a node's sketch. Two sketches may differ in as many slots as those of a pair at SIMILARITY do on
+#: average, and DEVIATIONS standard deviations more.
+PLANES = 8
+DEVIATIONS = 4.9
+_apart = (1 - SIMILARITY) * (1 - 0.5**PLANES)
+MOST_DIFFERENT = int(SLOTS * _apart + DEVIATIONS * (SLOTS * _apart * (1 - _apart)) ** 0.5)
 #: Members of a bucket that lead comparisons in the first round after its least node; each round takes so many times more.
 LEADERS = 32
 
@@ -101,6 +108,27 @@ def band_keys(first: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(first: np.ndarray) -> np.ndarray:
+    """PLANES bits of every slot, a plane of SLOTS bits after the other, in 64-bit integers."""
+    x = mix(first ^ _step)
+    planes = [np.packbits((x >> np.uint64(p)).astype(np.uint8) & 1, axis=1) for p in range(PLANES)]
+    return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
+
+
+def may_be_alike(a: Column, b: Column) -> Column:
+    """Whether two sketches agree as often as those of a pair that is alike; unlike by chance once in two million."""
+    words = SLOTS // 64
+
+    def differ(i: int) -> Column:
+        planes = [F.get(a, F.lit(i + p * words)).bitwiseXOR(F.get(b, F.lit(i + p * words))) for p in range(PLANES)]
+        out = planes[0]
+        for x in planes[1:]:
+            out = out.bitwiseOR(x)
+        return F.bit_count(out)
+
+    return sum((differ(i) for i in range(1, words)), differ(0)) <= MOST_DIFFERENT
+
+
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two weighted sets, each (elements in order, weights): the sum over common d of 1 / sum over e of max(a_e/a_d, b_e/b_d)."""
     every = np.union1d(a[0], b[0])
@@ -122,11 +150,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in slices(batch.column(2)):
             h, begins = shingles(s, WIDTH)
             text, h, weight = weighted(h, begins)
-            keys = band_keys(signatures(text, h, weight, len(s)))
+            first = signatures(text, h, weight, len(s))
+            keys, bits = band_keys(first), sketch(first)
             has = np.diff(begins) > 0
             offsets = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), batch.column(1).slice(s.first, len(s)), lists], names=["id", "node", "bands"])
+            sketches = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), batch.column(1).slice(s.first, len(s)), lists, sketches], names=["id", "node", "bands", "bits"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     id_type = docs.schema[id_col].dataType
-    signed = T.StructType([T.StructField("id", id_type), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    signed = T.StructType([T.StructField("id", id_type), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     signed = written(rows.mapInArrow(_sign, signed), "signed")
     copies = written(signed.groupBy("node").agg(F.min("id").alias("rep")), "copies")
 
@@ -196,14 +226,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.join(written(needed, "needed").hint("merge"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("node", "text")
     texts = written(texts, "texts")
     links = _links(pairs, texts)
-    shared, pruned = shared.drop("lead").withColumn("kept", F.lit(1.0)), False
+    shared, pruned = shared.drop("lead").withColumn("kept", F.lit(1.0)).withColumn("bits", F.lit(None).cast("array<long>")), False
     led, more = 1, LEADERS
     while True:
         named = links.join(copies.toDF("a", "ra"), "a").join(copies.toDF("b", "rb"), "b")
         point = lambda r, n: F.struct(F.col(r).isNull().alias("no"), F.col(r).alias("id"), F.col(n).alias("node"))
         roots = components(named.select(point("ra", "a").alias("u"), point("rb", "b").alias("v"))).select(F.col("node.node").alias("node"), "root")
         roots = written(roots, "roots")
-        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", "kept", F.coalesce("root", "node").alias("root"))
+        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", "kept", "bits", F.coalesce("root", "node").alias("root"))
         mine = written(mine, "labelled")
         open_ = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("n") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
         mine = written(mine.join(written(open_, "open"), "key"), "undecided")
@@ -212,14 +242,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not pruned:  # from here on only nodes that can be like another; all of them may lead anew
             left = written(mine.select("node").distinct(), "left")
             alone = _alone(texts.join(left, "node", "left_semi"))
-            mine = mine.drop("kept").join(alone, "order", "left").withColumn("kept", 1 - F.coalesce("alone", F.lit(0.0))).where(F.col("kept") >= SIMILARITY - 1e-9)
-            shared = mine = written(mine.select("key", "node", "order", "kept", "root"), "possible")
+            bits = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("node", "bits").join(left, "node", "left_semi").distinct()
+            mine = mine.drop("kept", "bits").join(written(bits, "sketches"), "node").join(alone, "order", "left").withColumn("kept", 1 - F.coalesce("alone", F.lit(0.0))).where(F.col("kept") >= SIMILARITY - 1e-9)
+            shared = mine = written(mine.select("key", "node", "order", "kept", "bits", "root"), "possible")
             shared, pruned, led = shared.drop("root"), True, 0
         rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "node"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
-        leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("kept").alias("ka")), "leaders")
+        leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("kept").alias("ka"), F.col("bits").alias("ba")), "leaders")
         able = 1 / (1 / F.col("ka") + 1 / F.col("kept") - 1) >= SIMILARITY - 1e-9
-        pairs = leaders.join(mine, "key").where((F.col("ra") != F.col("root")) & able).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = leaders.join(mine, "key").where((F.col("ra") != F.col("root")) & able & may_be_alike(F.col("ba"), F.col("bits"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         links = links.union(_links(pairs, texts))
         led, more = led + more, more * LEADERS
 
