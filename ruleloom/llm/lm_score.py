@@ -6,9 +6,9 @@ symbols of the network; any other token is one of REST symbols, picked by a hash
 its last three bytes, times its share of that symbol's smoothed count, so the model
 is a distribution over all counted tokens and one unseen token a symbol.
 
-Training is truncated backpropagation.  It starts on a bounded sample, then each
-task goes on from those weights through its own share of all training documents,
-taking one run of RUN tokens in RUN_EVERY, and the tasks' weights are averaged by
+Training is truncated backpropagation.  A bounded sample sets the weights it starts
+from, then each task goes on from those through every token of its own share of all
+training documents, in runs of RUN tokens, and the tasks' weights are averaged by
 the tokens they saw.  Scoring reads every token of every document and carries the
 state from its first to its last.
 """
@@ -37,11 +37,11 @@ SMOOTHING = 0.1
 #: Symbols of the network; tokens whose counts a task holds at most, the rest being joined.
 SHORTLIST, REST = 4032, 64
 FREQUENT = 65_536
-#: Tokens of the sample that training starts on, at most; documents in it, about, and characters of each, at most.
+#: Tokens of the sample that sets the weights training starts from, at most; documents in it, about, and characters of each, at most.
 START_TOKENS = 300_000
 START_DOCUMENTS, START_CHARS = 3000, 100_000
-#: Tokens of a run; of how many runs of the training documents one is learned from after the start.
-RUN, RUN_EVERY = 64, 16
+#: Tokens of a run.
+RUN = 64
 #: Characters of text that a task takes at a time.
 TAKEN = 4_000_000
 
@@ -152,17 +152,16 @@ def symbols_of(v: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return symbol, place, rare, rest
 
 
-def _runs(v: Vocabulary, texts: Iterator[str | None], every: int) -> Iterator[np.ndarray]:
-    """The runs that are learned from: of each text's, one in ``every``, beginning where its digest says."""
+def _runs(v: Vocabulary, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    """The runs that are learned from: each text from its first token to its end."""
     for text in texts:
         symbol = symbols_of(v, tokens_of(text))[0]
-        offset = zlib.crc32((text or "").encode("utf-8")) % every
-        for begin in range(offset * RUN, len(symbol), every * RUN):
+        for begin in range(0, len(symbol), RUN):
             yield symbol[begin : begin + RUN]
 
 
-def fit(train: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
-    """Weights learned from ``train(id, text)``; see the module's text."""
+def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
+    """Weights learned from ``train(id, text)``, see the module's text; the tokens learned from after the start, which are all there are."""
     spark = train.sparkSession
     size = len(v.symbol_counts)
     known = spark.sparkContext.broadcast(v)
@@ -177,7 +176,7 @@ def fit(train: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def bounded() -> Iterator[np.ndarray]:
             left = START_TOKENS
-            for run in _runs(known.value, texts(batches), 1):
+            for run in _runs(known.value, texts(batches)):
                 if left <= 0:
                     return
                 left -= len(run)
@@ -197,7 +196,7 @@ def fit(train: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = gru.unpacked(begun.value, size)
-        seen = gru.train(mine, _runs(known.value, texts(batches), RUN_EVERY), known.value.end)
+        seen = gru.train(mine, _runs(known.value, texts(batches)), known.value.end)
         if seen:
             yield pa.RecordBatch.from_pydict({"weights": [gru.packed(mine).tobytes()], "seen": [float(seen)]}, schema=arrow)
 
@@ -213,10 +212,10 @@ def fit(train: DataFrame, v: Vocabulary) -> dict[str, np.ndarray]:
     tasks = 2 * spark.sparkContext.defaultParallelism
     learned = train.select("text").coalesce(tasks).mapInArrow(go_on, schema)
     sums = learned.repartition(math.isqrt(tasks) + 1).mapInArrow(added, schema).collect()  # as many rows as the root of the cluster's cores
+    seen = sum(r.seen for r in sums)
     if sums:
-        seen = sum(r.seen for r in sums)
         weights = sum(np.frombuffer(r.weights, np.float32).astype(float) * (r.seen / seen) for r in sums).astype(np.float32)
-    return gru.unpacked(weights, size)
+    return gru.unpacked(weights, size), int(seen)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,7 +234,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = rows.where(~F.col("held_out"))
     counts = written(count_tokens(train, F.col("text")), "token-counts")
     v = vocabulary(counts)
-    known, learned = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(gru.packed(fit(train, v)))
+    known, learned = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(gru.packed(fit(train, v)[0]))
     n_symbols = len(v.symbol_counts)
     out = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),

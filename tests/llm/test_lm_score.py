@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -104,3 +105,24 @@ def test_query_on_whole_table_beats_the_base_on_held_out_documents(spark, sf_dir
     got = [tuple(x) for x in QUERIES["op1_lm_score"](spark, sf_dir).collect()]
     _same(got, _base(rows))
     assert sum(x[6] for x in got if x[1]) > sum(x[5] for x in got if x[1])
+
+
+def test_every_token_of_every_training_document_is_learned_from(spark):
+    rows = [(k, " ".join("abcdefgh"[(k + i) % 8] for i in range(n))) for k, n in enumerate([0, 1, 5, 63, 64, 65, 130, 1023, 1024, 5000, *[7] * 40])]
+    rows += [(100, "one text of many copies")] * 30 + [(101, "x " * 60_000), (None, "a"), (102, None)]
+    train = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    v = lm_score.vocabulary(lm_score.count_tokens(train, F.col("text")))
+    _, seen = lm_score.fit(train, v)
+    assert seen == v.total == sum(len(_tokens(text)) for _, text in rows)
+
+
+def test_held_out_documents_at_a_larger_scale(spark, sf_dir):
+    larger = Path(sf_dir).parent / "sf0.1"
+    if not larger.exists():
+        pytest.skip("no tables of sf0.1")
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    train = docs.where(~lm_score.held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "text")
+    v = lm_score.vocabulary(lm_score.count_tokens(train, F.col("text")))
+    assert lm_score.fit(train, v)[1] == v.total
+    held = [x for x in QUERIES["op1_lm_score"](spark, str(larger)).collect() if x.held_out]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
