@@ -44,6 +44,26 @@ def text_window(spark, sf):
     return table(spark, sf, "documents").where(F.length("text") > 400).select("doc_id", F.md5(F.substring("text", (low + 1).cast("int"), F.lit(100))).alias("around"))
 
 
+def _anywhere(spark, sf):
+    """All documents, each with a place in the whole of its text."""
+    return table(spark, sf, "documents").withColumn("begin", F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text"), F.lit(1))).cast("int"))
+
+
+@query()
+def span_grounding_whole(spark, sf):
+    """First place of a quote of up to 12 characters from anywhere in any text; null for an empty one."""
+    docs = _anywhere(spark, sf)
+    return docs.select("doc_id", "begin", cp.first_span(F.col("text"), F.substring("text", F.col("begin") + 1, F.lit(12)))["start"].cast("long").alias("start"))
+
+
+@query()
+def text_window_whole(spark, sf):
+    """The text about a span of up to 20 characters anywhere in any text, snapped to lines."""
+    docs = _anywhere(spark, sf)
+    end = F.least(F.col("begin") + 20, F.length("text"))
+    return docs.select("doc_id", "begin", cp.window_around(F.col("text"), F.col("begin"), end, 40).alias("around"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, len(list_distinct([x FOR x IN a IF NOT list_contains(b, x)])) AS unsupported FROM (SELECT l_orderkey, l_linenumber,
 regexp_extract_all('pay ' || CAST(l_quantity AS INTEGER) || ' of ' || l_linenumber || ' by ' || l_suppkey, '[0-9]+') AS a, regexp_extract_all('due ' || CAST(l_quantity AS INTEGER) || ', line ' || l_linenumber || ', part ' || l_partkey, '[0-9]+') AS b FROM lineitem)""")
 def numbers_supported(spark, sf):

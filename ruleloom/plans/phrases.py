@@ -36,6 +36,14 @@ def span_normalised(spark, sf):
     return docs.select("doc_id", ph.find_normalised(F.col("text"), quote).cast("long").alias("start"))
 
 
+@query()
+def span_normalised_whole(spark, sf):
+    """The first place of a quote of up to 40 characters from anywhere in any text, its spaces turned into line breaks; null where the quote is blank."""
+    docs = table(spark, sf, "documents").withColumn("begin", F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    quote = F.regexp_replace(F.trim(F.substring("text", F.col("begin") + 1, F.lit(40))), " ", "\n ")
+    return docs.select("doc_id", "begin", ph.find_normalised(F.col("text"), quote).cast("long").alias("start"))
+
+
 @query()
 def chunk_docs(spark, sf):
     return chunk(table(spark, sf, "documents"), longest=2000, overlap=200)
