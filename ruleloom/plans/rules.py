@@ -84,6 +84,25 @@ def coverage_tree_fold(spark, sf):
     return pr.fold(leaves, nodes, ["address_id", "rule_id"], 1)
 
 
+@query(SQL_BASE + "SELECT address_id, rule_id, form, CASE WHEN strict THEN 2 WHEN NOT strict THEN 0 ELSE 1 END AS value FROM covered")
+def coverage_tree_fold_all(spark, sf):
+    """The five forms of tree as data: no condition, units and year, units or year, units and an unknown owner, age."""
+    nodes = spark.createDataFrame(
+        [(0, "always", None, 0, "leaf"), (1, "root", None, 0, "all"), (1, "u", "root", 1, "leaf"), (1, "y", "root", 1, "leaf"), (2, "root", None, 0, "any"), (2, "u", "root", 1, "leaf"), (2, "no", "root", 1, "not"), (2, "late", "no", 2, "leaf")]
+        + [(3, "root", None, 0, "all"), (3, "u", "root", 1, "leaf"), (3, "no", "root", 1, "not"), (3, "owner", "no", 2, "leaf"), (4, "age", None, 0, "leaf")],
+        "tree int, node string, parent string, depth int, kind string",
+    )
+    pairs = lk.jurisdiction_pairs(parcels(spark, sf), rules(spark, sf))
+    units, year = tri.compare(">=", F.col("units_min"), F.col("units_max"), F.col("min_units")), tri.compare(">=", F.col("year_built"), F.col("year_built"), F.col("year"))
+    age = tri.compare_year_to_date("<", F.col("year_built"), dates.years_before(F.lit(AS_OF).cast("date"), F.col("years")))
+    leaf = lambda node, value: F.struct(F.lit(node).alias("node"), value.cast("int").alias("value"))
+    u = leaf("u", units)
+    found = F.when(F.col("form") == 0, F.array(leaf("always", F.lit(tri.TRUE)))).when(F.col("form") == 1, F.array(u, leaf("y", tri.negated(year)))).when(F.col("form") == 2, F.array(u, leaf("late", year)))
+    found = found.when(F.col("form") == 3, F.array(u, leaf("owner", F.lit(tri.UNKNOWN)))).otherwise(F.array(leaf("age", age)))
+    leaves = pairs.select("address_id", "rule_id", "form", F.col("form").cast("int").alias("tree"), F.inline(found))
+    return pr.fold(leaves, nodes, ["address_id", "rule_id", "form"], 1)
+
+
 @query(SQL_BASE + "SELECT address_id, rule_id, array_to_string(missing, ',') AS missing FROM base WHERE len(missing) > 0")
 def coverage_missing_facts(spark, sf):
     rows = lk.base_results(lk.jurisdiction_pairs(parcels(spark, sf), rules(spark, sf)), F.lit(AS_OF).cast("date"))

@@ -107,6 +107,17 @@ def change_pending(spark, sf):
     return rows.groupBy("rule_id").agg(F.count_if(strict == 0).alias("outside"), F.count("*").alias("asked"))
 
 
+@query(SQL_VIEWS + """, leaves AS (SELECT *, CASE WHEN units_min >= min_units THEN true WHEN units_max < min_units THEN false END AS u, year_built < year AS y FROM pairs WHERE hint = 'bill')
+SELECT rule_id, form, count(*) FILTER (WHERE CASE form WHEN 1 THEN NOT (u AND y) WHEN 2 THEN NOT (u OR y) WHEN 3 THEN NOT u ELSE false END) AS outside, count(*) AS asked FROM leaves GROUP BY ALL""")
+def change_pending_all(spark, sf):
+    """Whom any bill would not cover, whatever its form; without a day an age is open, so it leaves nobody out."""
+    from ..operators.predicates import coverage
+
+    strict, _ = coverage(F.lit(None).cast("date"))
+    rows = lk.jurisdiction_pairs(parcels(spark, sf), rules(spark, sf).where("hint = 'bill'"))
+    return rows.groupBy("rule_id", "form").agg(F.count_if(strict == 0).alias("outside"), F.count("*").alias("asked"))
+
+
 @query(SQL_DAYS + "SELECT count(*) AS violations FROM looked l JOIN parcels p USING (address_id) JOIN rules r USING (rule_id) WHERE r.level = 'state' AND p.state <> r.state")
 def change_negative(spark, sf):
     rows = _rows(spark, sf).where("level = 'state'").join(parcels(spark, sf).select("address_id", F.col("state").alias("own")), "address_id").join(F.broadcast(rules(spark, sf).select("rule_id", "state")), "rule_id")
