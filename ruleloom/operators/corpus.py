@@ -23,6 +23,21 @@ def junk_lines(rows: DataFrame, id_col: str = "doc_id", longest: int = 30, repea
     return short.groupBy(id_col, "line").agg(F.count("*").alias("times")).where(F.col("times") >= repeats)
 
 
+def junk_runs(rows: DataFrame, id_col: str = "doc_id", longest: int = 30, repeats: int = 3, run: int = 4) -> DataFrame:
+    """``rows`` of menus: short lines that their document repeats and that stand in a run of ``run`` short lines at least.
+
+    A short line has no digit and no end of a sentence or clause; blank lines don't
+    break a run.  Both windows are of one document.
+    """
+    line = F.regexp_replace("line", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    short = (F.length("bare") > 0) & (F.length("bare") <= longest) & ~F.col("bare").rlike(r"(?U)\d") & ~F.col("bare").rlike(r"[.:;,)\"”]\z")
+    marked = rows.withColumn("bare", line).withColumn("short", short)
+    broken = F.when(~F.col("short") & (F.col("bare") != ""), 1).otherwise(0)
+    marked = marked.withColumn("island", F.sum(broken).over(Window.partitionBy(id_col).orderBy("line_no")))
+    marked = marked.withColumn("in_run", F.count_if("short").over(Window.partitionBy(id_col, "island"))).withColumn("times", F.count("*").over(Window.partitionBy(id_col, "bare")))
+    return marked.where(F.col("short") & (F.col("times") >= repeats) & (F.col("in_run") >= run)).select(*rows.columns)
+
+
 def line_class(line: Column, before: Column) -> Column:
     """heading, item, paragraph (after a blank line) or line."""
     return F.when(line.rlike(r"^(?:SEC(?:TION)?\.? |§|ARTICLE |CHAPTER )|^[A-Z][A-Z ]{3,}$"), "heading").when(line.rlike(r"^\(?[0-9a-z]{1,3}[.)] "), "item").when(F.coalesce(before, F.lit("")) == "", "paragraph").otherwise("line")

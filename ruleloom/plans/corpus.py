@@ -23,6 +23,13 @@ def junk_lines(spark, sf):
     return cp.junk_lines(cp.lines(table(spark, sf, "documents")), longest=60, repeats=2)
 
 
+@query()
+def junk_line_runs(spark, sf):
+    """Repeated short lines inside runs of short lines; each word stands on a line of its own, as few texts have menus."""
+    docs = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", " ", "\n").alias("text"))
+    return cp.junk_runs(cp.lines(docs)).select("doc_id", "line_no", "line")
+
+
 @query(SQL_LINES + r"""SELECT class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '^(SEC(TION)?\.? |§|ARTICLE |CHAPTER )|^[A-Z][A-Z ]{3,}$') THEN 'heading' WHEN regexp_matches(line, '^\(?[0-9a-z]{1,3}[.)] ') THEN 'item'
 WHEN coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY line_no), '') = '' THEN 'paragraph' ELSE 'line' END AS class FROM lines) GROUP BY ALL""")
 def line_classes(spark, sf):
