@@ -114,16 +114,18 @@ class TemplateIndex:
         for (k, template), starts in candidates.items():
             words, text = self.words[template], s.hashes[s.begins[k] : s.begins[k + 1]]
             band = band_of(len(words))
+            merged = min(band, len(words) - 1)  # starts a template's length apart are notices of their own
             starts.sort()
             while starts:
                 first = starts[0]
-                cut = next((i for i, x in enumerate(starts) if x > first + band), len(starts))
+                cut = next((i for i, x in enumerate(starts) if x > first + merged), len(starts))
                 middle, starts = starts[cut // 2], starts[cut:]
-                low = max(0, middle - band)
-                pairs = align(words, text[low : middle + len(words) + band], middle - low, band)
-                if len(pairs) >= MIN_COVERAGE * len(words):
-                    spare = len(words) + (pairs[-1][1] - pairs[0][1] + 1) - 2 * len(pairs)
-                    found.setdefault(k, []).append((len(pairs) - spare, len(pairs), low + pairs[0][1], low + pairs[-1][1], template))
+                for reach in {merged, band}:  # the wider may settle on the neighbour of a short template's notice
+                    low = max(0, middle - reach)
+                    pairs = align(words, text[low : middle + len(words) + reach], middle - low, reach)
+                    if len(pairs) >= MIN_COVERAGE * len(words):
+                        spare = len(words) + (pairs[-1][1] - pairs[0][1] + 1) - 2 * len(pairs)
+                        found.setdefault(k, []).append((len(pairs) - spare, len(pairs), low + pairs[0][1], low + pairs[-1][1], template))
         for k in sorted(found):
             taken: list[tuple[int, int]] = []
             for _, n, first, last, template in sorted(found[k], key=lambda x: (-x[0], -x[1], x[2], x[4])):

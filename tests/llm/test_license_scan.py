@@ -101,3 +101,10 @@ def test_query_against_a_search_for_the_lines(spark, sf_dir):
             for m in re.finditer(re.escape(line.rstrip(".")).replace(r"\ ", r"\s+"), text or ""):
                 want.add((i, name, m.start(), m.end()))
     assert want and got >= want
+
+
+def test_adjacent_notices_are_all_found(spark):
+    one = "All rights reserved."
+    df = spark.createDataFrame([(n, " ".join([one] * n)) for n in range(1, 8)], "doc_id int, text string")
+    got = sorted((r.doc_id, r.start, r.end) for r in scan(df).where("license = 'All-rights-reserved'").collect())
+    assert got == [(n, k * 21, k * 21 + 19) for n in range(1, 8) for k in range(n)]
