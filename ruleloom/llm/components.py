@@ -9,14 +9,18 @@ from .storage import written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """One round of alternating stars: every node is tied to the least node near it."""
+    """One round of alternating stars: every node is tied to the least node near it.
+
+    Minima are written before they are joined, so that both sides of each join are
+    plain shuffles, whose hot keys Spark splits.
+    """
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    near = large.join(least, "u")
-    small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
-    return small.where("u > v").distinct()
+    large = written(large, "large")
+    least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    near = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+    return near.select("e.u", "e.v").where("u > v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,15 +28,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds end when one changes nothing; their number grows with the logarithm of
     the longest path.  Nulls aren't links; loops and repeats don't matter; no links
-    give no rows.  A node with very many links is handled by partial minima and a
-    join whose large partitions Spark splits.
+    give no rows.  A node with very many links is handled by partial minima and by
+    joins whose large partitions Spark splits.
     """
     edges = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = written(edges, "components")
     while True:
         # done where every edge leads from a node of its own to one that leads nowhere
-        state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("tails")).crossJoin(edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").limit(1).agg(F.count("*").alias("between"))).first()
-        if state.n == state.tails and state.between == 0:
+        tails = edges.groupBy("u").agg(F.count("*").alias("n"))
+        if tails.where("n > 1").isEmpty() and edges.select(F.col("v").alias("u")).join(edges, "u", "left_semi").isEmpty():
             break
         edges = written(_stars(edges), "components")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

@@ -8,11 +8,13 @@ Time stops as soon as every slot has surely been reached, so nearly all shingles
 a long document are left after their first arrival.
 
 Slots are joined in bands.  In each bucket of a band the members are compared with
-the bucket's least node, and where a bucket then still holds several components,
-with further members in growing numbers, until every pair of different components
-that shares a bucket has been compared, but for those that a bound or their sketches
-rule out.  Pairs count as links where the exact
-probability Jaccard similarity is SIMILARITY or more.
+the bucket's least node.  Where a bucket then still holds several components, its
+members are ranked by how little of their weight is theirs alone, so that the texts
+in the middle of a group of near copies lead, and are compared with more leaders
+each round.  A pair is compared in the first bucket that it shares, unless one of
+two bounds or their sketches rule it out or a chain of links has joined it before;
+rounds end when no bucket holds two components that have not been compared.  Pairs
+count as links where the exact probability Jaccard similarity is SIMILARITY or more.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .shingles import mix, shingles, slices
-from .storage import written
+from .storage import discard, written
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -115,18 +117,31 @@ def sketch(first: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
 
 
+_words = SLOTS // 64
+
+
+def _differ(a: Column, b: Column, word: Column) -> Column:
+    """Of one word of two sketches the slots whose bits differ in some plane."""
+    planes = [F.get(a, word + p * _words).bitwiseXOR(F.get(b, word + p * _words)) for p in range(PLANES)]
+    out = planes[0]
+    for x in planes[1:]:
+        out = out.bitwiseOR(x)
+    return out
+
+
 def may_be_alike(a: Column, b: Column) -> Column:
     """Whether two sketches agree as often as those of a pair that is alike; unlike by chance once in two million."""
-    words = SLOTS // 64
+    return sum((F.bit_count(_differ(a, b, F.lit(i))) for i in range(1, _words)), F.bit_count(_differ(a, b, F.lit(0)))) <= MOST_DIFFERENT
 
-    def differ(i: int) -> Column:
-        planes = [F.get(a, F.lit(i + p * words)).bitwiseXOR(F.get(b, F.lit(i + p * words))) for p in range(PLANES)]
-        out = planes[0]
-        for x in planes[1:]:
-            out = out.bitwiseOR(x)
-        return F.bit_count(out)
 
-    return sum((differ(i) for i in range(1, words)), differ(0)) <= MOST_DIFFERENT
+def first_in_common(a: Column, b: Column, band: Column) -> Column:
+    """Whether two nodes that share ``band`` share no band before it: a band's slots are one byte of each plane of a sketch."""
+
+    def apart(i: Column) -> Column:
+        word = _differ(a, b, (i / 8).cast("int"))
+        return F.call_function("shiftrightunsigned", word, ((i % 8) * 8).cast("int")).bitwiseAND(F.lit(255)) != 0
+
+    return F.forall(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i >= band) | apart(i))
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -169,34 +184,44 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         linked = [probability_jaccard(x, y) >= SIMILARITY - 1e-9 for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)]
-        kept = batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
-        yield kept
+        yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of ``pairs(a, b)`` those that are alike, from the whole texts."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary").distinct(), "links")
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        order = batch.column(0).to_numpy()
+        node = batch.column(0).to_numpy()
         for s in slices(batch.column(1)):
             text, h, weight = weighted(*shingles(s, WIDTH))
-            total = np.bincount(text, weights=weight, minlength=len(s))
-            yield pa.RecordBatch.from_arrays([pa.array(order[s.first + text]), pa.array(h.view(np.int64)), pa.array(weight / total[text])], names=["order", "gram", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[s.first + text]), pa.array(h.view(np.int64)), pa.array(weight.astype(np.int64))], names=["node", "gram", "times"])
+
+
+def _company(texts: DataFrame) -> DataFrame:
+    """``(node, n, w, k, kept)``: a text's distinct shingles and their weight, how many another of these texts has too, and their share of the weight."""
+    grams = texts.mapInArrow(_grams, "node long, gram long, times long")
+    one = grams.groupBy("gram").agg(F.count("*").alias("texts"), F.min("node").alias("node"), F.sum("times").alias("times")).where("texts = 1")
+    alone = one.groupBy("node").agg(F.count("*").alias("n1"), F.sum("times").alias("w1"))
+    whole = grams.groupBy("node").agg(F.count("*").alias("n"), F.sum("times").alias("w"))
+    k, kept = F.col("n") - F.coalesce("n1", F.lit(0)), 1 - F.coalesce(F.col("w1") / F.col("w"), F.lit(0.0))
+    return written(whole.join(alone, "node", "left").select("node", "n", "w", k.alias("k"), kept.alias("kept")), "company")
 
 
-def _alone(texts: DataFrame) -> DataFrame:
-    """``(order, alone)``: the share of each text's weight on shingles that no other of these texts has.
+def _within_bounds(a: str, b: str) -> Column:
+    """Whether two texts can be alike, by what each shares with any other text.
 
-    Shares ``u`` and ``v`` of two texts bound their similarity by ``1 / (1 / (1 - u) + 1 / (1 - v) - 1)``, so most
-    pairs of texts that only have a passage, or a template, in common need not be compared at all.
+    Let ``kept`` be the share of a text's weight on such shingles: similarity is at most ``1 / (1 / x + 1 / y - 1)``.
+    Let ``c`` be at most the lesser ``k``: of the ``n + m`` distinct shingles ``n + m - 2 c`` at least stand in one text
+    alone, and the greater weights of all sum to ``w + v - c`` at most, so similarity is at most one less their quotient.
     """
-    grams = texts.select(F.xxhash64("node").alias("order"), "text").mapInArrow(_grams, "order long, gram long, share double")
-    one = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("order").alias("order"), F.sum("share").alias("share")).where("n = 1")
-    return written(one.groupBy("order").agg(F.sum("share").alias("alone")), "alone")
+    c = F.least(f"k{a}", f"k{b}")
+    by_share = 1 / (1 / F.col(f"kept{a}") + 1 / F.col(f"kept{b}") - 1)
+    by_number = 1 - (F.col(f"n{a}") + F.col(f"n{b}") - 2 * c) / (F.col(f"w{a}") + F.col(f"w{b}") - c)
+    return (by_share >= SIMILARITY - 1e-9) & (by_number >= SIMILARITY - 1e-9)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,67 +230,75 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``node`` is the digest of the row's text: equal texts are one node, whatever
     their number and ids.  ``class_node`` is the node of the class's first document.
     A null text counts as empty; texts without a word are alike only if equal; a
-    text of one to four words is one shingle.  Null ids come last and stay null.
-    Repeated rows give repeated rows; other columns are not read.
+    text of one to four words is one shingle; a very long text is taken whole, in a
+    slice of its own.  Null ids come last and stay null; of documents with one id
+    the lower digest names the class.  Repeated rows give repeated rows, an empty
+    table none; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
     id_type = docs.schema[id_col].dataType
     signed = T.StructType([T.StructField("id", id_type), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])
     signed = written(rows.mapInArrow(_sign, signed), "signed")
-    copies = written(signed.groupBy("node").agg(F.min("id").alias("rep")), "copies")
+    # from here on a node is a number; written at once, so that it stays the same
+    copies = written(signed.groupBy("node").agg(F.min("id").alias("rep")).withColumn("num", F.monotonically_increasing_id()), "copies")
 
-    one = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("node", F.xxhash64("node").alias("order"), F.explode("bands").alias("key"))
-    buckets = one.groupBy("key").agg(F.min("order").alias("lead"), F.max("order").alias("last")).where("lead <> last").select("key", "lead")
+    first = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep")))
+    one = first.select("num", F.posexplode("bands").alias("band", "key"))
+    buckets = one.groupBy("key").agg(F.min("num").alias("lead"), F.max("num").alias("last")).where("lead <> last").select("key", "lead")
     shared = written(one.join(buckets, "key").distinct(), "shared")
-    leads = shared.where("order = lead").select("key", F.col("node").alias("a")).distinct()
-    pairs = shared.where("order <> lead").join(leads, "key").select("a", F.col("node").alias("b")).distinct()
+    pairs = shared.where("num <> lead").select(F.col("lead").alias("a"), F.col("num").alias("b")).distinct()
 
     # one text a node that has company, by a sort-merge join at every size: the texts are as much as the input
-    needed = shared.select("node").distinct().join(copies, "node").select(F.col("node").alias("n"), F.col("rep").alias("r"))
-    texts = rows.join(written(needed, "needed").hint("merge"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("node", "text")
+    needed = written(copies.join(shared.select("num").distinct(), "num").select(F.col("node").alias("n"), F.col("rep").alias("r"), "num"), "needed")
+    texts = rows.join(needed.hint("merge"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("num", "text").dropDuplicates(["num"])
     texts = written(texts, "texts")
-    links = _links(pairs, texts)
-    shared, pruned = shared.drop("lead").withColumn("kept", F.lit(1.0)).withColumn("bits", F.lit(None).cast("array<long>")), False
-    led, more = 1, LEADERS
+    roots = components(_links(pairs, texts).toDF("u", "v"))
+    facts, led, more = None, 1, LEADERS
     while True:
-        named = links.join(copies.toDF("a", "ra"), "a").join(copies.toDF("b", "rb"), "b")
-        point = lambda r, n: F.struct(F.col(r).isNull().alias("no"), F.col(r).alias("id"), F.col(n).alias("node"))
-        roots = components(named.select(point("ra", "a").alias("u"), point("rb", "b").alias("v"))).select(F.col("node.node").alias("node"), "root")
-        roots = written(roots, "roots")
-        mine = shared.join(roots.select("node", F.col("root.node").alias("root")), "node", "left").select("key", "node", "order", "kept", "bits", F.coalesce("root", "node").alias("root"))
-        mine = written(mine, "labelled")
+        mine = shared.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
         open_ = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("n") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
-        mine = written(mine.join(written(open_, "open"), "key"), "undecided")
+        mine, before = written(mine.join(open_, "key"), "undecided"), shared
         if mine.isEmpty():
             break
-        if not pruned:  # from here on only nodes that can be like another; all of them may lead anew
-            left = written(mine.select("node").distinct(), "left")
-            alone = _alone(texts.join(left, "node", "left_semi"))
-            bits = signed.join(copies, "node").where(F.col("id").eqNullSafe(F.col("rep"))).select("node", "bits").join(left, "node", "left_semi").distinct()
-            mine = mine.drop("kept", "bits").join(written(bits, "sketches"), "node").join(alone, "order", "left").withColumn("kept", 1 - F.coalesce("alone", F.lit(0.0))).where(F.col("kept") >= SIMILARITY - 1e-9)
-            shared = mine = written(mine.select("key", "node", "order", "kept", "bits", "root"), "possible")
-            shared, pruned, led = shared.drop("root"), True, 0
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("order", "node"))
+        if facts is None:  # from here on only nodes that can be like another; all of them may lead anew
+            left = written(mine.select("num").distinct(), "left")
+            company = _company(texts.join(left, "num", "left_semi")).where(F.col("kept") >= SIMILARITY - 1e-9)
+            facts = written(first.select("num", "bits").join(company.withColumnRenamed("node", "num"), "num").dropDuplicates(["num"]), "facts")
+            mine = written(mine.join(facts.select("num", "kept"), "num"), "possible")
+            led = 0
+        shared = mine.drop("root")
+        discard(before)
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("kept"), "num"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
-        leaders = written(leaders.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("kept").alias("ka"), F.col("bits").alias("ba")), "leaders")
-        able = 1 / (1 / F.col("ka") + 1 / F.col("kept") - 1) >= SIMILARITY - 1e-9
-        pairs = leaders.join(mine, "key").where((F.col("ra") != F.col("root")) & able & may_be_alike(F.col("ba"), F.col("bits"))).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links = links.union(_links(pairs, texts))
+        sides = [side.drop("kept").join(facts, "num").select("key", "band", *[F.col(c).alias(c + x) for c in ("num", "root", "n", "w", "k", "kept", "bits")]) for side, x in ((leaders, "a"), (mine, "b"))]
+        wanted = (F.col("roota") != F.col("rootb")) & _within_bounds("a", "b") & may_be_alike(F.col("bitsa"), F.col("bitsb")) & first_in_common(F.col("bitsa"), F.col("bitsb"), F.col("banda"))
+        pairs = sides[0].withColumnRenamed("band", "banda").join(sides[1].drop("band"), "key").where(wanted)
+        pairs = pairs.select(F.least("numa", "numb").alias("a"), F.greatest("numa", "numb").alias("b")).distinct()
+        found = _links(pairs, texts)
+        roots = components(roots.where("node <> root").toDF("u", "v").union(found.toDF("u", "v")))
+        discard(found)
         led, more = led + more, more * LEADERS
 
-    classes = copies.join(roots, "node", "left").select("node", F.coalesce(F.col("root.id"), F.when(F.col("root").isNull(), F.col("rep"))).alias("class_id"), F.coalesce(F.col("root.node"), F.col("node")).alias("class_node"))
-    return signed.select("id", "node").join(written(classes, "classes"), "node").select(F.col("id").alias(id_col), "node", "class_id", "class_node")
+    discard(shared, texts, needed, mine)
+    named = copies.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), F.col("rep").alias("id"), "node")).alias("least"))
+    classes = written(named.select("node", "root").join(least, "root").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node")), "classes")
+    return signed.select("id", "node").join(classes, "node").select(F.col("id").alias(id_col), "node", "class_id", "class_node")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, that stand for their class: the one with the least id.
 
-    Of rows equal in id and text the one whose other columns hash lowest stays.
+    Of rows equal in id and text the one whose other columns hash lowest stays; of
+    rows equal in everything, one.  Column names don't matter: they are set aside
+    while the rows are chosen.  Else as :func:`near_duplicates`.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(F.col(id_col).alias("_id"), F.col("node").alias("_kept")).distinct()
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    low = F.row_number().over(Window.partitionBy(id_col, "_node").orderBy("_order"))
-    rows = docs.withColumn("_node", node).withColumn("_order", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("_low", low).where("_low = 1")
-    return rows.join(written(first, "kept"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept")), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    aside = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    key, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    found = near_duplicates(aside, key, text)
+    stays = written(found.where(F.col(key).eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))).select(F.col(key).alias("id"), F.col("node").alias("kept")).distinct(), "kept")
+    node = F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+    rows = aside.withColumn("node", node).join(stays, F.col(key).eqNullSafe(F.col("id")) & (F.col("node") == F.col("kept")), "left_semi")
+    low = F.row_number().over(Window.partitionBy(key, "node").orderBy(F.xxhash64(*aside.columns)))
+    return rows.withColumn("low", low).where("low = 1").select(*aside.columns).toDF(*docs.columns)

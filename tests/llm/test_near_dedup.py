@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ruleloom.llm.components import components
-from ruleloom.llm.near_dedup import near_duplicates, probability_jaccard, signatures, weighted
+from ruleloom.llm.near_dedup import near_duplicates, one_of_each, probability_jaccard, signatures, weighted
 from ruleloom.llm.registry import QUERIES
 from ruleloom.llm.shingles import shingles, slices
 
@@ -115,3 +115,12 @@ def test_query_against_brute_force(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted(((x.doc_id, x.class_id) for x in QUERIES["op6_near_duplicates"](spark, sf_dir).collect()), key=str)
     assert got == _classes(rows)
+
+
+def test_one_of_each_keeps_clashing_columns_and_takes_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(150_000))
+    rows = [(2, long, "a", 1), (1, long + " end", "b", 2), (3, "other", "c", 3), (3, "other", "c", 3), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string, `a.b` int").withColumn("_id", F.lit("i")).withColumn("c0", F.lit(7)).withColumn("node", F.lit(0))
+    kept = one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r._node, r["a.b"], r._id, r.c0) for r in kept.collect()), key=str) == [(1, "b", 2, "i", 7), (3, "c", 3, "i", 7), (None, None, None, "i", 7)]
