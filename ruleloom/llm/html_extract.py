@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,31 +33,43 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER_TAGS = frozenset("nav aside footer menu dialog search".split())
 NEVER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored breadcrumb breadcrumbs comment comments disqus reply replies respond cookie cookies consent gdpr newsletter subscribe subscription nav navbar navigation navigationbar menu menubar related share sharing social popup modal overlay widget widgets login signin signup pagination pager toolbar complementary contentinfo footer sidebar banner alert alertdialog dialog notice notices notification notifications promo promotion".split())
+#: Words beside which such a word still names the whole element.
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons col column container footer form group header holder icons inner item items left link links list main module outer page panel post posts right row section site slot top unit wrap wrapper zone".split())
 MAYBE_TAGS = frozenset(["header", "form"])
 MAYBE_WORDS = frozenset("header masthead search form topbar".split())
 MAIN_TAGS = frozenset(["article", "main"])
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 
 #: Weights of the classifier, in log-odds of content.
-W_NEVER, W_MAYBE, W_MAIN, W_TAG = -7.0, -3.0, 4.0, 1.0
+W_NEVER, W_MAYBE, W_MAIN, W_TAG, W_HINT = -7.0, -3.0, 4.0, 1.0, -0.8
 W_WORDS, W_LINKS, W_SENTENCE, W_HEADING, W_BIAS = 0.9, -3.5, 1.0, 1.8, -2.5
 #: Capacity of an edge between blocks one tree step apart; more steps divide it.
 SMOOTH = 1.0
 SCALE = 1000
 
-_token = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_tag_name = re.compile(r"[a-zA-Z][^\s/>]*+")
+_gap = re.compile(r"[\s/]*+")
+_attribute_name = re.compile(r"=?[^\s/>=]*+")
+_equals = re.compile(r"\s*+=\s*+")
+_unquoted = re.compile(r"[^\s>]*+")
 _name = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-_hidden_attribute = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+_not_shown = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass
 class Element:
+    """``near`` is the marker of the nearest marked element from here up, ``near_tag`` its tag; ``inner``: an article lies between."""
+
     tag: str
     parent: int
     depth: int
-    marker: str = ""
     hidden: bool = False
+    never: bool = False
+    hint: bool = False
+    near: str = ""
+    near_tag: str = ""
+    inner: bool = False
+    main: bool = False
 
 
 @dataclass
@@ -68,101 +81,181 @@ class Block:
     text: str = ""
 
 
-def _marker(tag: str, attributes: str) -> str:
-    words = set()
-    for _, a, b, c in _attribute.findall(attributes):
-        words.update(x.lower() for x in _name.findall(a or b or c))
+class Scanner:
+    """Reads tags of a page; every character is passed a bounded number of times, whatever the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unclosed: set[str] = set()  # quotes that don't occur any more
+
+    def attributes(self, at: int) -> tuple[int, dict[str, str]] | None:
+        """Attributes from ``at`` on and where their tag ends; None if it never does.
+
+        A quote counts only behind an equals sign; the value of one that is never
+        closed ends with the tag.
+        """
+        page, found = self.page, {}
+        while True:
+            at = _gap.match(page, at).end()
+            if at >= len(page):
+                return None
+            if page[at] == ">":
+                return at + 1, found
+            m = _attribute_name.match(page, at)
+            name, value, at = m.group().lower(), "", m.end()
+            if m := _equals.match(page, at):
+                at = m.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'"):
+                    end = -1 if quote in self.unclosed else page.find(quote, at + 1)
+                    if end < 0:
+                        self.unclosed.add(quote)
+                        if (end := page.find(">", at + 1)) < 0:
+                            return None
+                        value, at = page[at + 1 : end], end
+                    else:
+                        value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _unquoted.match(page, at)
+                    value, at = m.group(), m.end()
+            found.setdefault(name, value)
+
+    def behind_raw(self, tag: str, at: int) -> int:
+        """Where the content that is no markup, and its end tag, end."""
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, at)
+        end = -1 if m is None else self.page.find(">", m.end())
+        return len(self.page) if end < 0 else end + 1
+
+
+def _marks(tag: str, attributes: dict[str, str]) -> tuple[str, bool]:
+    """What an element's tag and names say of it, and whether they hint at boilerplate without saying so.
+
+    A name made of words for boilerplate and plain ones, as "cookie-notice" or
+    "related-posts", says so; beside other words, as in "notice-of-change", it is a hint.
+    """
     if tag in ("html", "body"):
-        return ""
-    if tag in NEVER_TAGS or words & NEVER_WORDS:
-        return "never"
-    if tag in MAIN_TAGS or words & MAIN_WORDS:
-        return "main"
-    return "maybe" if tag in MAYBE_TAGS or words & MAYBE_WORDS else ""
+        return "", False
+    never, hint, every = tag in NEVER_TAGS, False, set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".split():
+        words = [w.lower() for w in _name.findall(name)]
+        every.update(words)
+        if not NEVER_WORDS.isdisjoint(words):
+            if words[-1] not in MAIN_WORDS - PLAIN_WORDS and all(w in NEVER_WORDS or w in PLAIN_WORDS or w in MAIN_WORDS for w in words):
+                never = True
+            else:
+                hint = True
+    if never:
+        return "never", False
+    if tag in MAIN_TAGS or every & MAIN_WORDS:
+        return "main", hint
+    return "maybe" if tag in MAYBE_TAGS or every & MAYBE_WORDS else "", hint
+
+
+def _element(tag: str, parent: int, above: Element, attributes: dict[str, str]) -> Element:
+    marker, hint = _marks(tag, attributes)
+    hidden = above.hidden or tag in HIDDEN or "hidden" in attributes or bool(_not_shown.search(attributes.get("style", "")))
+    here = tag in MAIN_TAGS
+    near = (marker, tag, False) if marker else (above.near, above.near_tag, above.inner or here)
+    return Element(tag, parent, above.depth + 1, hidden, above.never or marker == "never", hint or above.hint and marker != "main", *near, above.main or here)
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements of a page and its blocks of text in order."""
     elements = [Element("", -1, 0)]
     blocks: list[Block] = []
-    stack = [0]
-    links = 0
+    stack, block_stack = [0], [0]
+    opened: Counter[str] = Counter()
     current: Block | None = None
+    scanner = Scanner(page)
 
     def say(text: str) -> None:
         nonlocal current
         if not text or elements[stack[-1]].hidden:
             return
         if current is None:
-            block_parent = next(i for i in reversed(stack) if i == 0 or elements[i].tag in BLOCK)
-            current = Block(block_parent, heading=elements[block_parent].tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+            current = Block(block_stack[-1], heading=elements[block_stack[-1]].tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
             blocks.append(current)
         text = html.unescape(text)
         current.parts.append(text)
-        if links:
+        if opened["a"]:
             current.linked += len(text)
 
     def close(at: int) -> None:
-        nonlocal links, current
-        for i in stack[at:]:
-            links -= elements[i].tag == "a"
+        """Ends the element at this place of the stack and all in it; an inline one ends alone where blocks stand in it."""
+        nonlocal current
+        ending = stack[at:]
+        if elements[stack[at]].tag not in BLOCK and block_stack[-1] > stack[at]:
+            ending = stack[at : at + 1]
+            del stack[at]
+        else:
+            del stack[at:]
+        for i in ending:
+            opened[elements[i].tag] -= 1
             if elements[i].tag in BLOCK:
                 current = None
-        del stack[at:]
+        while block_stack[-1] and block_stack[-1] >= ending[0] and ending[-1] >= block_stack[-1]:
+            block_stack.pop()
+
+    def innermost(tags: set[str]) -> int | None:
+        return next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag in tags), None)
 
     at, n = 0, len(page)
     while at < n:
-        m = _token.search(page, at)
-        if m is None:
-            rest = page[at:]
-            say(rest if not re.match(r"</?[a-zA-Z!]", rest[cut:]) else rest[:cut]) if (cut := rest.rfind("<")) >= 0 else say(rest)
+        begin = page.find("<", at)
+        if begin < 0:
+            say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
-            if m.group().startswith("<![CDATA["):
-                say(m.group()[9:].removesuffix("]]>"))
+        following = page[begin + 1 : begin + 2]
+        name = _tag_name.match(page, begin + 1 + (following == "/"))
+        if name is None and following not in ("!", "?", "/"):
+            say(page[at : begin + 1])  # a sign, not a tag
+            at = begin + 1
             continue
-        if m.group(1):
-            if tag == "br":
-                say(" ")
-            found = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag == tag), None)
-            if found is not None:
-                close(found)
-            if tag in BLOCK:
-                current = None
+        say(page[at:begin])
+        if name is None:
+            if page.startswith("<!--", begin):
+                end, skip = page.find("-->", begin + 4), 3
+            elif page.startswith("<![CDATA[", begin):
+                end, skip = page.find("]]>", begin + 9), 3
+                say(page[begin + 9 : end if end >= 0 else n])
+            else:
+                end, skip = page.find(">", begin), 1
+            at = n if end < 0 else end + skip
             continue
+        tag = name.group().lower()
+        read = scanner.attributes(name.end())
+        if read is None:
+            break  # a tag that never ends: the page was cut off in it
+        at, attributes = read
         if tag == "br":
             say(" ")
             continue
+        if following == "/":
+            if opened[tag] > 0:
+                close(innermost({tag}))
+            if tag in BLOCK:
+                current = None
+            continue
         if tag in BLOCK:
             current = None
-            open_p = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].tag in BLOCK), None)
-            if open_p is not None and elements[stack[open_p]].tag == "p":
-                close(open_p)
-        if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag in CLOSED_BY[tag]:
-                    close(k)
-                    break
-                if elements[stack[k]].tag in ("ul", "ol", "dl", "table", "menu"):
-                    break
+            if elements[block_stack[-1]].tag == "p":
+                close(innermost({"p"}))
+        if tag in CLOSED_BY and any(opened[x] > 0 for x in CLOSED_BY[tag]):
+            k = innermost(CLOSED_BY[tag] | {"ul", "ol", "dl", "table", "menu"})
+            if elements[stack[k]].tag in CLOSED_BY[tag]:
+                close(k)
         if tag in VOID:
             continue
-        parent = stack[-1]
-        attributes = m.group(3)
-        elements.append(Element(tag, parent, elements[parent].depth + 1, _marker(tag, attributes), elements[parent].hidden or tag in HIDDEN or bool(attributes) and bool(_hidden_attribute.search(attributes))))
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = n if end is None else end.end()
-            elements.pop()
+            at = scanner.behind_raw(tag, at)
             continue
-        if attributes.endswith("/") and tag not in BLOCK and tag != "a":
-            elements.pop()
+        if page[at - 2] == "/" and tag not in BLOCK and tag != "a":
             continue
+        elements.append(_element(tag, stack[-1], elements[stack[-1]], attributes))
         stack.append(len(elements) - 1)
-        links += tag == "a"
+        opened[tag] += 1
+        if tag in BLOCK:
+            block_stack.append(len(elements) - 1)
     kept = []
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
@@ -173,20 +266,11 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
 
 def log_odds(elements: list[Element], block: Block) -> float:
     """The classifier: log-odds that the block is content."""
-    z, i, main, inner, decided = W_BIAS, block.parent, False, False, ""
-    while i > 0:
-        e = elements[i]
-        if e.marker == "never":
-            decided = "never"
-        elif e.marker and not decided:
-            decided = e.marker
-            maybe = e.tag
-            inner = main
-        main |= e.tag in MAIN_TAGS
-        i = e.parent
-    if decided == "maybe" and main and not inner:  # within the article: its own heading, or a form to fill in
-        decided = "main" if maybe == "header" else "never"
-    z += {"never": W_NEVER, "maybe": W_MAYBE, "main": W_MAIN}.get(decided, 0.0) + W_TAG * main
+    e = elements[block.parent]
+    decided = "never" if e.never else e.near
+    if decided == "maybe" and e.main and not e.inner:  # within the article: its own heading, or a form to fill in
+        decided = "main" if e.near_tag == "header" else "never"
+    z = W_BIAS + {"never": W_NEVER, "maybe": W_MAYBE, "main": W_MAIN}.get(decided, 0.0) + W_TAG * e.main + W_HINT * e.hint
     words = len(block.text.split())
     z += W_WORDS * min(math.log1p(words), 4.0) + W_HEADING * block.heading
     z += W_LINKS * min(1.0, block.linked / max(1, len(block.text)))
@@ -231,7 +315,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` of every row, from its whole HTML.
 
-    A null or empty page, or one without content, has the empty text.  Ids and
+    A null or empty page, or one without content, has the empty text.  A very long
+    page is read whole, in time that grows with its length.  Ids and
     addresses pass through, null or not; repeated rows give repeated rows; other
     columns are not read.  Pages are not shuffled.
     """

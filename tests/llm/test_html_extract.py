@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,31 @@ def test_broken_and_empty_pages():
     assert main_text("<article>" + f"<p>{SENTENCE}</p>" * 5000).count("\n") == 4999
 
 
+def test_attributes_hide_only_by_name_and_names_only_hint_beside_other_words():
+    for page in (
+        f'<article><p title="the hidden cost">{SENTENCE}</p></article>',
+        f'<article><div class="text hidden md:block">{SENTENCE}</div></article>',
+        f'<div class="text hidden md:block">{SENTENCE}</div>',
+        f'<main><div class="article-share-intro">{SENTENCE}</div></main>',
+        f'<body><p class="notice-of-change">{SENTENCE}</p></body>',
+        f"<article><p data-x=a\"b title='a > b'>{SENTENCE}</p></article>",
+        f'<article><p title="never closed>{SENTENCE}</p></article>'.replace('"', '"'),
+        f"<article><b><p>{SENTENCE}</b></p></article>",
+    ):
+        assert main_text(page) == SENTENCE, page
+    for page in (f"<article><p hidden>{SENTENCE}</p></article>", f'<article><p style="color:red; display: none">{SENTENCE}</p></article>', f'<div class="cookie-notice">{SENTENCE}</div>', f'<div class="related-posts">{SENTENCE}</div>', f'<main><div id="commentList">{SENTENCE}</div></main>'):
+        assert main_text(page) == "", page
+    assert main_text(f"<article><p>2 < 3 & 4 > 1, {SENTENCE}</p></article>") == f"2 < 3 & 4 > 1, {SENTENCE}"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    begin = time.process_time()
+    n = 100_000
+    for page in ("<a" * n, '<a "' * n, '<a b="' * n, "<!--" * n, "<script>" * n, "</script x" * n, "<div>" * n + "</p>" * n, "<div>" * n + "<li>x" * n, "<p><b>" * n + "x", "<ul><li>" * n, "<![CDATA[" * n, "<div>x" * n, "&" * n, "<" * n, "<a b" + " " * n, "<b><p>x</b>" * n):
+        main_text(page)
+    assert time.process_time() - begin < 120
+
+
 def test_rows_of_every_kind(spark):
     rows = [(1, "u", f"<article><p>{SENTENCE} 😀</p>", "x"), (1, "u", f"<article><p>{SENTENCE} 😀</p>", "x"), (None, None, None, None), (2, "v", "", "y")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit(1)).withColumn("id", F.lit(1))
