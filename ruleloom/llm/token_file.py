@@ -17,10 +17,8 @@ values at once, with no branch per value.
 
 from __future__ import annotations
 
-import os
 import uuid
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
-from .word_bpe import REMEMBERED, WordSplitter, byte_characters, encode_by_chunks, in_small_batches
+from .word_bpe import END_OF_WORD, Memory, WordSplitter, byte_characters, encode_by_chunks, in_small_batches, join_words, library_of
 
 MAGIC = b"RLTOK001"
 #: Ids after which a task begins another file.
@@ -103,37 +101,53 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-_libraries: dict[str, tuple[dict[str, bytes], Callable[[set[str]], None]]] = {}
+class LibraryEncoder:
+    """The tokenizers library on each word not met before.
 
+    Most of the library's time on a whole text goes into normalising it anew, so a
+    text is cut at white space, where no rule of the tokenizer reaches across, and
+    a chunk into words by the library's own classes of characters.  New words go
+    through the library's model in one string, a space between them; its ids are cut
+    behind each token that ends a word.
+    """
 
-def library_for(path: str) -> tuple[dict[str, bytes], Callable[[set[str]], None]]:
-    """The chunks encoded so far by the tokenizers library in this Python worker, and the function that adds more."""
-    if path not in _libraries:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
-        known: dict[str, bytes] = {}
-        words: dict[str, list[int]] = {}
-        added = {x.content: [i] for i, x in library.get_added_tokens_decoder().items()}
-        split, chars, model = WordSplitter(added), byte_characters(), library.model
-
-        def learn(chunks: set[str]) -> None:
-            """The library's model on each word not met before: most of its time on a whole text goes into offsets, which aren't wanted here."""
-            if len(words) > REMEMBERED:
-                words.clear()
-            words.update(added)
-            for chunk in chunks:
-                ids: list[int] = []
-                for word in split(chunk):
-                    if (found := words.get(word)) is None:
-                        found = words[word] = [t.id for t in model.tokenize(word if word.isascii() else "".join([chars[b] for b in word.encode()]))]
-                    ids += found
-                known[chunk] = array("I", ids).tobytes()
-
-        _libraries[path] = (known, learn)
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        library = library_of(path)
+        self.added = {x.content: i for i, x in library.get_added_tokens_decoder().items()}
+        self.split, self.chars = WordSplitter(library, self.added), byte_characters()
+        self.model = Tokenizer(library.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
+        vocabulary = library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
+        self.words, self.chunks = Memory(), Memory()
+
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        chars, some, out = self.chars, list(words), {}
+        for at in range(0, len(some), 20_000):
+            now = some[at : at + 20_000]
+            line = " ".join([w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in now])
+            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out.update(zip(now, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        return out
+
+    def encode_texts(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return encode_by_chunks(texts, self.chunks, lambda new: join_words(new, self.split, self.words, self.added, self._encode_words))
+
+
+_libraries: dict[str, LibraryEncoder] = {}
+
+
+def library_for(path: str) -> LibraryEncoder:
+    """One encoder a Python worker, kept between tasks."""
+    if path not in _libraries:
+        _libraries[path] = LibraryEncoder(path)
     return _libraries[path]
 
 
@@ -150,7 +164,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     ends = np.array([end_id], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, learn = library_for(tokenizer_path)
+        coder = library_for(tokenizer_path)
         part = TaskContext.get().partitionId()
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -174,7 +188,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                for key, raw in zip(some.column(0).to_pylist(), encode_by_chunks(some.column(1).to_pylist(), known, learn), strict=True):
+                for key, raw in zip(some.column(0).to_pylist(), coder.encode_texts(some.column(1).to_pylist()), strict=True):
                     doc_ids.append(key)
                     held.append(np.concatenate([np.frombuffer(raw, "<u4"), ends]))
                     size += len(held[-1])

@@ -12,30 +12,32 @@ pointers.
 from __future__ import annotations
 
 import json
+import os
 import re
-import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values of the tokenizer's file format: its word pattern and its white space.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
-WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+"
-END_OF_WORD = "</w>"
+END_OF_WORD = "</w>"  # fixed value of the tokenizer's file format
 
-#: Words (and chunks) that a Python worker remembers between batches; beyond it the memory is emptied, not the work.
-REMEMBERED = 600_000
+#: Words (and chunks) that a Python worker remembers between batches, twice over: see Memory.
+REMEMBERED = 300_000
+#: Characters of a chunk, beyond which it is forgotten after its batch.
+LONG = 200
 #: Bytes of output after which a record batch is handed to Spark.
 BATCH_BYTES = 4 << 20
 
 _final = 0x20000  # added to a character's number where it ends a word
+_settled = "\u0180"  # characters before it are their own normal form, with classes and lower case that no version changed
 _separators = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
 _split_but_separators = re.compile("[^\\S\x1c-\x1f]+")
+# The tokenizer's own pattern over a text whose other characters stand as "a", "1", "!" or " " by their class.
+_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\\sA-Za-z0-9]+", re.ASCII)
 
 
 def chunks_of(text: str) -> list[str]:
@@ -52,31 +54,93 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Memory:
+    """What was found for keys met before, in two generations: keys met again since the last turn live on."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that have to be found; the others are in ``young`` from now on."""
+        new = keys.difference(self.young)
+        if again := new.intersection(self.old):
+            self.young.update((k, self.old[k]) for k in again)
+            new -= again
+        return new
+
+    def turn(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
+
+class _Classes(dict):
+    """For ``str.translate``: what stands for a character in :data:`_words`, asked of the library once a character."""
+
+    def __init__(self, library):
+        super().__init__({k: chr(k) for k in range(128)})
+        self.pieces = lambda text: len(library.pre_tokenizer.pre_tokenize_str(text))
+
+    def __missing__(self, number: int) -> str:
+        if 0xD800 <= number < 0xE000:
+            return "!"
+        c = chr(number)
+        if self.pieces(c) == 0:
+            stands = " "
+        elif self.pieces("a" + c) == 1:
+            stands = "a"
+        else:
+            stands = "!" if self.pieces("!" + c) == 1 else "1"
+        self[number] = stands
+        return stands
+
+
+def library_of(path: str):
+    """The tokenizers library's own tokenizer from its file, without truncation or padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 class WordSplitter:
-    """A chunk's words: normalised as the tokenizer's file says, then cut by its pattern; added tokens stay whole."""
+    """A chunk's words, as the library normalises it and cuts it; added tokens stay whole.
+
+    What depends on a version of Unicode is asked of the library: it normalises
+    every chunk with a character beyond U+017F, and tells each character's class.
+    """
 
-    def __init__(self, added: Iterable[str]):
+    def __init__(self, library, added: Iterable[str]):
         self.added = frozenset(added)
-        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if self.added else None
-        self.words = regex.compile(WORD)
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if self.added else None
+        self.normal = library.normalizer.normalize_str
+        self.classes = _Classes(library)
 
-    @staticmethod
-    def _normal(text: str) -> str:
-        return (text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")).lower()
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii():
+            return _words.findall(text)
+        return [text[m.start() : m.end()] for m in _words.finditer(text.translate(self.classes))]
 
     def __call__(self, chunk: str) -> list[str]:
-        whole = self._normal(chunk)
-        if whole.isalpha():
-            return [whole]
-        if whole[:-1].isalpha() and not whole[-1].isspace():  # most chunks: letters and one sign
-            return [whole[:-1], whole[-1]]
-        parts = self.split_added.split(chunk) if self.split_added else [chunk]
+        whole = chunk.lower()
+        if whole.isascii() or max(whole) < _settled:
+            if whole.isalpha():
+                return [whole]
+            if whole[:-1].isalpha():  # most other chunks: letters and one sign
+                return [whole[:-1], whole[-1]]
+        if self.split_added and "<" in chunk:
+            parts = self.split_added.split(chunk)
+        else:
+            parts = [chunk]
         out: list[str] = []
         for part in parts:
             if part in self.added:
                 out.append(part)
             elif part:
-                out += self.words.findall(self._normal(part))
+                out += self._cut(part.lower() if max(part) < _settled else self.normal(part))
         return out
 
 
@@ -92,7 +156,7 @@ class TrieEncoder:
         for text, i in [*vocab.items(), *added.items()]:
             self.token_text[i] = text
         self.added = added
-        self.split = WordSplitter(added)
+        self.split = WordSplitter(library_of(path), added)
         self.byte_chars = byte_characters()
         self.ids = {self._symbols(text): i for text, i in vocab.items()}
         self.longest = max(map(len, self.ids))
@@ -103,8 +167,7 @@ class TrieEncoder:
             left, right = vocab[a], vocab[b]
             self.merges[left, right] = (rank, self.ids[text_of[left] + text_of[right]])
         self._fits: dict[tuple[int, int], bool] = {}
-        self.word_ids: dict[str, tuple[int, ...]] = {}
-        self.chunk_ids: dict[str, bytes] = {}
+        self.words, self.chunks = Memory(), Memory()
 
     @staticmethod
     def _symbols(token: str) -> str:
@@ -147,7 +210,7 @@ class TrieEncoder:
                     return token
         raise ValueError(f"no token ends {path[:at]!r}")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct words, from one depth-first walk of their trie.
 
         Sorted words are the trie's leaves in preorder, so the walk's stack is the
@@ -155,7 +218,9 @@ class TrieEncoder:
         """
         chars = self.byte_chars
         paths = sorted(("".join([chars[b] for b in w.encode("utf-8")]), w) for w in words)
-        out: dict[str, tuple[int, ...]] = {}
+        out: dict[str, bytes] = {}
+        if len(self._fits) > 8 * REMEMBERED:
+            self._fits.clear()
         last: list[int] = [-1]
         before = ""
         for path, word in paths:
@@ -175,34 +240,52 @@ class TrieEncoder:
                 if at == 0:
                     break
                 token = last[at]
-            out[word] = tuple(reversed(ids))
+            out[word] = array("I", reversed(ids)).tobytes()
         return out
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Encodes the chunks that aren't known yet."""
-        new = [c for c in chunks if c not in self.chunk_ids]
-        split = {c: self.split(c) for c in new}
-        if len(self.word_ids) > REMEMBERED:
-            self.word_ids.clear()
-        known = self.word_ids
-        known.update({t: (i,) for t, i in self.added.items()})
-        known.update(self.encode_words({w for ws in split.values() for w in ws if w not in known}))
-        for chunk, words in split.items():
-            self.chunk_ids[chunk] = np.array([i for w in words for i in known[w]], dtype="<u4").tobytes()
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of each chunk, by its words; only words not met before are encoded."""
+        return join_words(chunks, self.split, self.words, self.added, self.encode_words)
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return encode_by_chunks(texts, self.chunk_ids, self.learn)
+        return encode_by_chunks(texts, self.chunks, self.learn)
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes where the file names no decoder: the tokens joined by a space."""
         return " ".join(map(self.token_text.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def encode_by_chunks(texts: list[str | None], known: dict[str, bytes], learn: Callable[[set[str]], None]) -> list[bytes]:
-    """Joins the ids of each text's chunks; ``learn`` adds to ``known`` those that are missing.
+def join_words(chunks: set[str], split: WordSplitter, words: Memory, added: dict[str, int], encode: Callable[[set[str]], dict[str, bytes]]) -> dict[str, bytes]:
+    """Ids of each chunk from those of its words; ``encode`` finds the words' that aren't remembered."""
+    cut = [split(chunk) for chunk in chunks]
+    met: set[str] = set()
+    met.update(*cut)
+    new = words.missing(met)
+    special = {word: added[word].to_bytes(4, "little") for word in new if word in added}
+    words.young |= special
+    if new := new.difference(special):
+        words.young |= encode(new)
+    known = words.young
+    out = {}
+    for chunk, ws in zip(chunks, cut, strict=True):
+        if len(ws) == 1:
+            out[chunk] = known[ws[0]]
+        elif len(ws) == 2:
+            out[chunk] = known[ws[0]] + known[ws[1]]
+        else:
+            out[chunk] = b"".join([known[w] for w in ws])
+    for word in [w for w in new if len(w) > LONG]:
+        del known[word]
+    words.turn()
+    return out
+
+
+def encode_by_chunks(texts: list[str | None], chunks: Memory, learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
+    """Joins the ids of each text's chunks; ``learn`` finds those of chunks that aren't remembered.
 
-    Texts are taken in runs of bounded size, so the memory of chunks may be emptied between them.
+    Texts are taken in runs of bounded size; between runs the memory takes its turn
+    and long chunks are forgotten.
     """
     out: list[bytes] = []
     at = 0
@@ -212,15 +295,17 @@ def encode_by_chunks(texts: list[str | None], known: dict[str, bytes], learn: Ca
             size += len(texts[end] or "")
             end += 1
         split = [chunks_of(t) if t else [] for t in texts[at:end]]
-        if len(known) > REMEMBERED:
-            known.clear()
-        missing: set[str] = set()
+        met: set[str] = set()
         for cs in split:
-            missing.update(cs)
-        missing = missing.difference(known)
-        if missing:
-            learn(missing)
+            met.update(cs)
+        if new := chunks.missing(met):
+            chunks.young |= learn(new)
+        known = chunks.young
         out += [b"".join(map(known.__getitem__, cs)) for cs in split]
+        for c in new:
+            if len(c) > LONG:
+                del known[c]
+        chunks.turn()
         at = end
     return out
 

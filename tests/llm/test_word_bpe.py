@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.llm.registry import QUERIES, tokenizer
+from ruleloom.llm.token_file import LibraryEncoder
 from ruleloom.llm.word_bpe import TrieEncoder, digests, encode_decode
 
 PATH = tokenizer("word_bpe_49k.json")
@@ -33,11 +34,37 @@ def test_same_ids_and_text_as_the_library(library):
         assert coder.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_any_characters_get_the_ids_of_the_library_on_the_whole_text(library):
+    """Control characters, unassigned ones and those newer than Python's tables too; op8's encoder beside op9's."""
+    r = random.Random(11)
+    every = [*range(0xD800), *range(0xE000, 0x110000)]
+    ranges = [range(128), range(0x3000), every]
+    texts = ["".join(chr(r.choice(ranges[k % 3])) for _ in range(r.randrange(12))) for k in range(20_000)]
+    texts += [f"!{chr(i)}! a{chr(i)}b 1{chr(i)}" for i in [*range(0x3000), *r.sample(every, 20_000)]]
+    coders = [TrieEncoder(PATH), LibraryEncoder(PATH)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+        for coder in coders:
+            assert coder.encode_texts(some) == want
+
+
+def test_memory_keeps_what_is_met_again_and_forgets_long_words(monkeypatch):
+    monkeypatch.setattr("ruleloom.llm.word_bpe.REMEMBERED", 3)
+    coder = LibraryEncoder(PATH)
+    once = coder.encode_texts(["same " + "x" * 300])
+    for k in range(20):
+        assert coder.encode_texts([f"same w{k} v{k}", "same " + "x" * 300])[1] == once[0]
+    assert len(coder.chunks.young) + len(coder.chunks.old) <= 10
+    assert "same" in {**coder.chunks.young, **coder.chunks.old}
+    assert not any(len(w) > 200 for m in (coder.chunks, coder.words) for w in (*m.young, *m.old))
+
+
 def test_trie_agrees_with_merging_by_definition():
     coder, r = TrieEncoder(PATH), random.Random(7)
     words = {"".join(r.choice("theringstoa") for _ in range(r.randrange(1, 12))) for _ in range(3000)}
     for word, ids in coder.encode_words(words).items():
-        assert list(ids) == coder.merged(word[:-1] + chr(ord(word[-1]) + 0x20000)), word
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == coder.merged(word[:-1] + chr(ord(word[-1]) + 0x20000)), word
 
 
 def test_nulls_repeats_extra_columns_and_empty_tables(spark, library):
