@@ -208,7 +208,7 @@ def _company(texts: DataFrame) -> DataFrame:
     alone = one.groupBy("node").agg(F.count("*").alias("n1"), F.sum("times").alias("w1"))
     whole = grams.groupBy("node").agg(F.count("*").alias("n"), F.sum("times").alias("w"))
     k, kept = F.col("n") - F.coalesce("n1", F.lit(0)), 1 - F.coalesce(F.col("w1") / F.col("w"), F.lit(0.0))
-    return written(whole.join(alone, "node", "left").select("node", "n", "w", k.alias("k"), kept.alias("kept")), "company")
+    return whole.join(alone, "node", "left").select("node", "n", "w", k.alias("k"), kept.alias("kept"))
 
 
 def _within_bounds(a: str, b: str) -> Column:
@@ -248,39 +248,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = one.groupBy("key").agg(F.min("num").alias("lead"), F.max("num").alias("last")).where("lead <> last").select("key", "lead")
     shared = written(one.join(buckets, "key").distinct(), "shared")
     pairs = shared.where("num <> lead").select(F.col("lead").alias("a"), F.col("num").alias("b")).distinct()
+    members = written(shared.groupBy("num").agg(F.collect_list(F.struct("band", "key")).alias("bands")), "members")  # BANDS at most a node
 
     # one text a node that has company, by a sort-merge join at every size: the texts are as much as the input
-    needed = written(copies.join(shared.select("num").distinct(), "num").select(F.col("node").alias("n"), F.col("rep").alias("r"), "num"), "needed")
+    needed = copies.join(members.select("num"), "num").select(F.col("node").alias("n"), F.col("rep").alias("r"), "num")
     texts = rows.join(needed.hint("merge"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("r"))).select("num", "text").dropDuplicates(["num"])
     texts = written(texts, "texts")
-    roots = components(_links(pairs, texts).toDF("u", "v"))
-    facts, led, more = None, 1, LEADERS
+    links = _links(pairs, texts)
+    roots = components(links.toDF("u", "v"))
+    discard(shared, links)
+
+    def undecided(led: int) -> DataFrame:
+        """Rows ``(key, band, num, root, ...)`` of the buckets that hold several components after so many leaders."""
+        mine = members.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num")).withColumn("at", F.explode("bands"))
+        mine = mine.select("at.key", "at.band", *[c for c in mine.columns if c not in ("at", "bands")])
+        open_ = mine.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("size") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
+        return mine.join(open_, "key", "left_semi")
+
+    # from here on only nodes that can be like another; all of them may lead anew
+    left = written(undecided(1).select("num").distinct(), "left")
+    company = _company(texts.join(left, "num", "left_semi")).where(F.col("kept") >= SIMILARITY - 1e-9).withColumnRenamed("node", "num")
+    facts = first.select("num", "bits").join(company, "num").dropDuplicates(["num"])
+    every = members
+    members = written(members.join(facts, "num"), "possible")
+    discard(every, left)
+    led, more = 0, LEADERS
     while True:
-        mine = shared.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
-        open_ = mine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("n") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
-        mine, before = written(mine.join(open_, "key"), "undecided"), shared
-        if mine.isEmpty():
+        mine = written(undecided(led), "undecided")
+        if mine.count() == 0:
             break
-        if facts is None:  # from here on only nodes that can be like another; all of them may lead anew
-            left = written(mine.select("num").distinct(), "left")
-            company = _company(texts.join(left, "num", "left_semi")).where(F.col("kept") >= SIMILARITY - 1e-9)
-            facts = written(first.select("num", "bits").join(company.withColumnRenamed("node", "num"), "num").dropDuplicates(["num"]), "facts")
-            mine = written(mine.join(facts.select("num", "kept"), "num"), "possible")
-            led = 0
-        shared = mine.drop("root")
-        discard(before)
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("kept"), "num"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
-        sides = [side.drop("kept").join(facts, "num").select("key", "band", *[F.col(c).alias(c + x) for c in ("num", "root", "n", "w", "k", "kept", "bits")]) for side, x in ((leaders, "a"), (mine, "b"))]
+        sides = [side.select("key", *[F.col(c).alias(c + x) for c in ("band", "num", "root", "n", "w", "k", "kept", "bits")]) for side, x in ((leaders, "a"), (mine, "b"))]
         wanted = (F.col("roota") != F.col("rootb")) & _within_bounds("a", "b") & may_be_alike(F.col("bitsa"), F.col("bitsb")) & first_in_common(F.col("bitsa"), F.col("bitsb"), F.col("banda"))
-        pairs = sides[0].withColumnRenamed("band", "banda").join(sides[1].drop("band"), "key").where(wanted)
-        pairs = pairs.select(F.least("numa", "numb").alias("a"), F.greatest("numa", "numb").alias("b")).distinct()
-        found = _links(pairs, texts)
-        roots = components(roots.where("node <> root").toDF("u", "v").union(found.toDF("u", "v")))
-        discard(found)
+        pairs = sides[0].join(sides[1], "key").where(wanted).select(F.least("numa", "numb").alias("a"), F.greatest("numa", "numb").alias("b")).distinct()
+        links = _links(pairs, texts)
+        roots = components(roots.where("node <> root").toDF("u", "v").union(links.toDF("u", "v")))
+        discard(mine, links)
         led, more = led + more, more * LEADERS
 
-    discard(shared, texts, needed, mine)
+    discard(mine, texts, members)
     named = copies.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
     least = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("no"), F.col("rep").alias("id"), "node")).alias("least"))
     classes = written(named.select("node", "root").join(least, "root").select("node", F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node")), "classes")
