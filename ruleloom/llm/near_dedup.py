@@ -120,9 +120,9 @@ def sketch(first: np.ndarray) -> np.ndarray:
 _words = SLOTS // 64
 
 
-def _differ(a: Column, b: Column, word: Column) -> Column:
+def _differ(a: Column, b: Column, word: int) -> Column:
     """Of one word of two sketches the slots whose bits differ in some plane."""
-    planes = [F.get(a, word + p * _words).bitwiseXOR(F.get(b, word + p * _words)) for p in range(PLANES)]
+    planes = [F.get(a, F.lit(word + p * _words)).bitwiseXOR(F.get(b, F.lit(word + p * _words))) for p in range(PLANES)]
     out = planes[0]
     for x in planes[1:]:
         out = out.bitwiseOR(x)
@@ -131,17 +131,7 @@ def _differ(a: Column, b: Column, word: Column) -> Column:
 
 def may_be_alike(a: Column, b: Column) -> Column:
     """Whether two sketches agree as often as those of a pair that is alike; unlike by chance once in two million."""
-    return sum((F.bit_count(_differ(a, b, F.lit(i))) for i in range(1, _words)), F.bit_count(_differ(a, b, F.lit(0)))) <= MOST_DIFFERENT
-
-
-def first_in_common(a: Column, b: Column, band: Column) -> Column:
-    """Whether two nodes that share ``band`` share no band before it: a band's slots are one byte of each plane of a sketch."""
-
-    def apart(i: Column) -> Column:
-        word = _differ(a, b, (i / 8).cast("int"))
-        return F.call_function("shiftrightunsigned", word, ((i % 8) * 8).cast("int")).bitwiseAND(F.lit(255)) != 0
-
-    return F.forall(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: (i >= band) | apart(i))
+    return sum((F.bit_count(_differ(a, b, i)) for i in range(1, _words)), F.bit_count(_differ(a, b, 0))) <= MOST_DIFFERENT
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -259,9 +249,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(shared, links)
 
     def undecided(led: int) -> DataFrame:
-        """Rows ``(key, band, num, root, ...)`` of the buckets that hold several components after so many leaders."""
+        """Rows ``(key, earlier, num, root, ...)``, with the node's buckets in earlier bands, of the buckets that hold several components after so many leaders."""
         mine = members.join(roots.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num")).withColumn("at", F.explode("bands"))
-        mine = mine.select("at.key", "at.band", *[c for c in mine.columns if c not in ("at", "bands")])
+        earlier = F.transform(F.filter("bands", lambda x: x["band"] < F.col("at.band")), lambda x: x["key"])
+        mine = mine.select("at.key", earlier.alias("earlier"), *[c for c in mine.columns if c not in ("at", "bands")])
         open_ = mine.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where((F.col("size") > led + 1) & (F.col("r0") != F.col("r1"))).select("key")
         return mine.join(open_, "key", "left_semi")
 
@@ -279,8 +270,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("kept"), "num"))
         leaders = mine.withColumn("rank", rank).where(F.col("rank") <= led + more).where(F.col("rank") > led)
-        sides = [side.select("key", *[F.col(c).alias(c + x) for c in ("band", "num", "root", "n", "w", "k", "kept", "bits")]) for side, x in ((leaders, "a"), (mine, "b"))]
-        wanted = (F.col("roota") != F.col("rootb")) & _within_bounds("a", "b") & may_be_alike(F.col("bitsa"), F.col("bitsb")) & first_in_common(F.col("bitsa"), F.col("bitsb"), F.col("banda"))
+        sides = [side.select("key", *[F.col(c).alias(c + x) for c in ("earlier", "num", "root", "n", "w", "k", "kept", "bits")]) for side, x in ((leaders, "a"), (mine, "b"))]
+        wanted = (F.col("roota") != F.col("rootb")) & _within_bounds("a", "b") & may_be_alike(F.col("bitsa"), F.col("bitsb")) & ~F.arrays_overlap("earliera", "earlierb")
         pairs = sides[0].join(sides[1], "key").where(wanted).select(F.least("numa", "numb").alias("a"), F.greatest("numa", "numb").alias("b")).distinct()
         links = _links(pairs, texts)
         roots = components(roots.where("node <> root").toDF("u", "v").union(links.toDF("u", "v")))
