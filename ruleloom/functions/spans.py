@@ -15,8 +15,12 @@ def _quoted(x: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.regexp_replace(x, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E"))
 
 
+def _stripped(quote: Column) -> Column:
+    return F.regexp_replace(quote, r"(?U)^\s+|\s+\z", "")
+
+
 def _words(quote: Column) -> Column:
-    return F.filter(F.split(F.trim(quote), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(quote, r"(?U)\s+"), lambda w: w != "")
 
 
 def find_span(text: Column, quote: Column) -> Column:
@@ -28,13 +32,13 @@ def find_span(text: Column, quote: Column) -> Column:
     whose signs are changed one for one, so places need no way back.
     """
     words = _words(quote)
-    spaced = F.array_join(F.transform(words, _quoted), r"\s+")
+    spaced = F.concat(F.lit("(?U)"), F.array_join(F.transform(words, _quoted), r"\s+"))
     fold = lambda c: F.translate(c, _typeset, _typed)
     letters = lambda w: F.filter(F.split(F.regexp_replace(w, r"[­​﻿]", ""), ""), lambda c: c != "")
-    loose = F.array_join(F.transform(_words(fold(quote)), lambda w: F.array_join(F.transform(letters(w), _quoted), _unseen + r"(?:-\n\s*)?" + _unseen)), _unseen + r"\s+" + _unseen)
-    exact, normalized = F.call_function("instr", text, F.trim(quote)), F.regexp_instr(text, spaced)
+    loose = F.concat(F.lit("(?U)"), F.array_join(F.transform(_words(fold(quote)), lambda w: F.array_join(F.transform(letters(w), _quoted), _unseen + r"(?:-\n\s*)?" + _unseen)), _unseen + r"\s+" + _unseen))
+    exact, normalized = F.call_function("instr", text, _stripped(quote)), F.regexp_instr(text, spaced)
     at = lambda place, match: F.struct((place - 1).cast("int").alias("start"), F.lit(match).alias("match"))
-    return F.when((F.char_length(F.trim(quote)) >= LEAST) & text.isNotNull(), F.when(exact > 0, at(exact, "exact")).when(normalized > 0, at(normalized, "normalized")).when(F.regexp_instr(fold(text), loose) > 0, at(F.regexp_instr(fold(text), loose), "tolerant")))
+    return F.when((F.char_length(_stripped(quote)) >= LEAST) & text.isNotNull(), F.when(exact > 0, at(exact, "exact")).when(normalized > 0, at(normalized, "normalized")).when(F.regexp_instr(fold(text), loose) > 0, at(F.regexp_instr(fold(text), loose), "tolerant")))
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -6,15 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Numbers that texts spell out.
-NUMBER_WORDS = {"one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12"}
+NUMBER_WORDS = {
+    "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12",
+    "fifteen": "15", "twenty": "20", "thirty": "30", "sixty": "60", "ninety": "90", "half": "0.5",
+}
 
 
 def numbers_in(text: Column) -> Column:
-    """Distinct numbers of a text, thousands commas dropped, spelled ones as digits."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), 0), lambda x: F.rtrim(F.regexp_replace(x, ",", "")))
+    """Distinct numbers of a text, thousands commas dropped, spelled ones as digits; one and one-half is 1.5 too."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), 0), lambda x: F.regexp_replace(x, ",", ""))
     words = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
     spelled = F.filter(F.transform(F.split(F.lower(text), "[^a-z]+"), lambda w: words[w]), lambda x: x.isNotNull())
-    return F.array_distinct(F.concat(found, spelled))
+    mixed = F.when(F.lower(text).rlike(r"\bone and (?:one-half|a half)\b"), F.array(F.lit("1.5"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(found, spelled, mixed))
 
 
 def unsupported_numbers(claim: Column, source: Column) -> Column:
@@ -23,27 +27,51 @@ def unsupported_numbers(claim: Column, source: Column) -> Column:
 
 
 def citation_key(citation: Column) -> Column:
-    """Section number after the sign, else chamber and bill number, else letters and digits squashed."""
-    lower = F.lower(citation)
-    section = F.regexp_extract(lower, r"(?:§+|\bsection|\bsec\.)\s*([0-9][0-9a-z.:-]*[0-9a-z]|[0-9])", 1)
-    bill = F.regexp_extract(lower, r"\b(senate|house|assembly)\b.*?([0-9]+)", 2)
-    chamber = F.substring(F.regexp_extract(lower, r"\b(senate|house|assembly)\b", 1), 1, 1)
-    return F.when(section != "", section).when(bill != "", F.concat(chamber, bill)).otherwise(F.regexp_replace(lower, "[^a-z0-9]+", ""))
+    """What differently written citations of one law share: a number in parts, else chamber and number, else a bill's letters and number, else letters and digits."""
+    part = lambda pattern, group: F.nullif(F.regexp_extract(citation, pattern, group), F.lit(""))
+    section = part(r"[0-9]+[A-Za-z]?(?:[.:-][0-9]+[A-Za-z]?)+", 0)
+    house = r"(?i)\b(senate|house|assembly)\b[ ,]*(?:bill )?no\.? ?([0-9]{2,5})\b"
+    bill = r"\b([A-Z]{1,3})\.? ?([0-9]{2,5})\b"
+    chamber = F.when(part(house, 2).isNotNull(), F.concat(F.substring(part(house, 1), 1, 1), part(house, 2)))
+    lettered = F.when(part(bill, 2).isNotNull(), F.concat(part(bill, 1), part(bill, 2)))
+    return F.lower(F.coalesce(section, chamber, lettered, F.regexp_replace(F.lower(citation), "[^a-z0-9]+", "")))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.trim(text), " +|\t+"), lambda w: w != "")
 
 
 def clean_street(address: Column) -> Column:
-    """First house number only, no fraction, ordinals without leading zeros, avenue names short, single spaces, upper case."""
-    text = F.upper(F.trim(address))
-    text = F.regexp_replace(text, r"^([0-9]+)[A-Z]?(?:\s*(?:-|&|,)\s*[0-9]+(?:\.[0-9]+)?)?(?:\.[0-9]+)?\s", "$1 ")
-    text = F.regexp_replace(text, r"\b0+([0-9]+(?:ST|ND|RD|TH))\b", "$1")
-    text = F.regexp_replace(text, r"\bAV\b\.?|\bAVENUE\b", "AVE")
-    return F.trim(F.regexp_replace(text, r"[\s.]+", " "))
+    """A street as a geocoder takes it, word by word.
+
+    Of two addresses between which a slash stands the first; of a range of house
+    numbers its first; ordinals without leading zeros, AV as AVE, no dots at the
+    ends of words, single blanks.
+    """
+    words = _words(F.substring_index(address, "/", 1))
+    head, second, third = (F.get(words, F.lit(i)) for i in range(3))
+    whole = lambda w: F.coalesce(w.try_cast("double").isNotNull(), F.lit(False))
+    low, high = F.substring_index(head, "-", 1), F.substring_index(head, "-", -1)
+    joined = head.contains("-") & whole(low) & whole(high) & (F.size(words) > 1)
+    apart = whole(head) & (second == "-") & whole(third) & (F.size(words) > 3)
+    number = F.substring_index(low, ".", 1)
+    words = F.when(joined, F.concat(F.array(number), F.slice(words, F.lit(2), F.size(words)))).when(apart, F.concat(F.array(F.substring_index(head, ".", 1)), F.slice(words, F.lit(4), F.size(words)))).otherwise(words)
+
+    def tidy(word: Column) -> Column:
+        bare = F.when(word.endswith("."), F.substring(word, F.lit(1), F.char_length(word) - 1)).otherwise(word)
+        ordinal = F.upper(F.right(bare, F.lit(2))).isin("ST", "ND", "RD", "TH") & whole(F.substring(bare, F.lit(1), F.char_length(bare) - 2))
+        return F.when(bare == "AV", "AVE").when(ordinal, F.ltrim(bare, F.lit("0"))).otherwise(bare)
+
+    return F.array_join(F.transform(words, tidy), " ")
 
 
 def house_numbers(address: Column) -> Column:
-    """``(low, high)`` of the leading house numbers; both null where there is none."""
-    first = F.try_to_number(F.nullif(F.regexp_extract(address, r"^\s*([0-9]+)", 1), F.lit("")), F.lit("999999999")).cast("int")
-    second = F.try_to_number(F.nullif(F.regexp_extract(address, r"^\s*[0-9]+[A-Z]?\s*(?:-|&)\s*([0-9]+)", 1), F.lit("")), F.lit("999999999")).cast("int")
+    """``(low, high)`` of the leading house numbers, two where a dash or an ampersand joins them; both null where there is none."""
+    sides = F.split(address, "[-&]", 2)
+    number = lambda side: F.nullif(F.regexp_extract(F.trim(side), "^[0-9]{1,9}", 0), F.lit("")).cast("int")
+    first = number(F.get(sides, F.lit(0)))
+    alone = F.trim(F.get(sides, F.lit(0))).rlike(r"^[0-9]+[A-Za-z]?(?:\.[0-9]+)?$")
+    second = F.when(alone, number(F.get(sides, F.lit(1))))
     return F.struct(F.least(first, second).alias("low"), F.greatest(first, second).alias("high"))
 
 

@@ -10,11 +10,12 @@ from pyspark.sql.window import Window
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, line_no, start, line)``: every line with the place of its first character.
 
-    Places are running sums inside one document, so the window's group is one text.
+    Places are running sums inside one row, so the window's group is one text,
+    and rows that share an id keep their own places.
     """
-    rows = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    before = F.sum(F.length("line") + 1).over(Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("start", F.coalesce(before, F.lit(0)))
+    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), F.col(text_col)).select(id_col, "_row", F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    before = F.sum(F.length("line") + 1).over(Window.partitionBy("_row").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("start", F.coalesce(before, F.lit(0))).drop("_row")
 
 
 def junk_lines(rows: DataFrame, id_col: str = "doc_id", longest: int = 30, repeats: int = 3) -> DataFrame:
@@ -57,3 +58,15 @@ def window_around(text: Column, start: Column, end: Column, margin: int) -> Colu
     lead = F.when((low > 0) & left.contains("\n"), F.substring_index(left, "\n", -1)).otherwise(left)
     tail = F.when(right.contains("\n"), F.substring_index(right, "\n", 1)).otherwise(right)
     return F.concat(lead, F.substring(text, start + 1, end - start), tail)
+
+
+def numbered(df: DataFrame, bucket: str, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's number in the order of ``bucket``, then ``order``, over the whole table.
+
+    ``bucket`` is a column that rises with the order and splits the table into parts a
+    task can sort; numbers run on from one bucket to the next, by a sum of their sizes.
+    """
+    sizes = df.groupBy(bucket).agg(F.count("*").alias("_n"))
+    before = sizes.select(bucket, F.coalesce(F.sum("_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
+    return df.withColumn("_own", own).join(before, bucket).withColumn(name, F.col("_before") + F.col("_own")).drop("_own", "_before")

@@ -16,11 +16,11 @@ RESULT_ORDER = ("applies", "superseded", "unknown", "not_yet_effective", "pendin
 def jurisdiction_pairs(parcels: DataFrame, rules: DataFrame) -> DataFrame:
     """Each parcel with the rules of its state and of its city: two equi-joins, for levels don't overlap.
 
-    The rules are a dimension whose size doesn't grow with the parcels, so parcels stay where they are.
+    Rules grow with places, not with parcels: while they are few, Spark broadcasts them and parcels stay where they are.
     """
     own = rules.drop("state")
-    state = parcels.join(F.broadcast(own.where("level = 'state'")), F.col("jurisdiction") == F.col("state"))
-    city = parcels.join(F.broadcast(own.where("level = 'city'")), F.col("jurisdiction") == F.col("city"))
+    state = parcels.join(own.where("level = 'state'"), F.col("jurisdiction") == F.col("state"))
+    city = parcels.join(own.where("level = 'city'"), F.col("jurisdiction") == F.col("city"))
     return state.unionByName(city)
 
 

@@ -55,8 +55,8 @@ def fold(leaves: DataFrame, nodes: DataFrame, keys: list[str], depth: int) -> Da
     null.  ``nodes`` is a dimension of the rules' size.  The plan has one level for each
     of ``depth``, known to the caller.
     """
-    inner = F.broadcast(nodes.where("kind <> 'leaf'").select("tree", F.col("node").alias("up"), F.col("parent").alias("up_parent"), "kind", F.col("depth").alias("up_depth")))
-    parent = F.broadcast(nodes.select("tree", "node", "parent"))
+    inner = nodes.where("kind <> 'leaf'").select("tree", F.col("node").alias("up"), F.col("parent").alias("up_parent"), "kind", F.col("depth").alias("up_depth"))
+    parent = nodes.select("tree", "node", "parent")
     values = leaves.join(parent, ["tree", "node"]).select(*keys, "tree", "node", "parent", "value")
     done = values.where("parent IS NULL")
     for level in range(depth, -1, -1):

@@ -79,10 +79,10 @@ def numbers_supported(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", F.size(tx.unsupported_numbers(claim, source)).cast("long").alias("unsupported"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey || '.' || (o_orderkey % 90 + 10) WHEN 1 THEN 's' || o_orderkey ELSE 'cityord' || o_custkey END AS citation FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_custkey || '.' || (o_orderkey % 90 + 10) WHEN 1 THEN 's' || (o_orderkey % 90000 + 10) WHEN 2 THEN 'ab' || (o_custkey % 9000 + 10) ELSE 'cityord' || o_custkey END AS citation FROM orders")
 def citation_keys(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    cited = F.when(k % 3 == 0, F.format_string("Cal. Civ. Code § %d.%d", c, k % 90 + 10)).when(k % 3 == 1, F.format_string("Senate, No. %d", k)).otherwise(F.format_string("City Ord. %d", c))
+    cited = F.when(k % 4 == 0, F.format_string("Cal. Civ. Code %d.%d(a)", c, k % 90 + 10)).when(k % 4 == 1, F.format_string("Senate, No. %d", k % 90000 + 10)).when(k % 4 == 2, F.format_string("AB %d (2019)", c % 9000 + 10)).otherwise(F.format_string("City Ord. %d", c))
     return table(spark, sf, "orders").select("o_orderkey", tx.citation_key(cited).alias("citation"))
 
 
@@ -104,7 +104,8 @@ def units_hull(spark, sf):
 @query("SELECT c_custkey, (c_custkey % 500 + 1) || ' ' || (c_custkey % 9 + 1) || 'TH AVE' AS street FROM customer")
 def street_clean(spark, sf):
     k = F.col("c_custkey")
-    raw = F.concat((k % 500 + 1).cast("string"), F.when(k % 2 == 0, F.concat(F.lit("-"), (k % 500 + 3).cast("string"))).otherwise(F.lit("")), F.lit(" 0"), (k % 9 + 1).cast("string"), F.when(k % 3 == 0, "th Av.").otherwise("th  avenue"))
+    n = k % 500 + 1
+    raw = F.concat(F.lit(" "), n, F.when(k % 4 == 0, F.concat(F.lit("-"), n + 2)).when(k % 4 == 1, F.concat(F.lit(" - "), n, F.lit(".5"))).otherwise(""), F.lit("  0"), k % 9 + 1, F.when(k % 3 == 0, "TH AV.").otherwise("TH   AVE"), F.when(k % 5 == 0, "/601 HARRISON").otherwise(""))
     return table(spark, sf, "customer").select("c_custkey", tx.clean_street(raw).alias("street"))
 
 
@@ -115,15 +116,17 @@ def house_number_agrees(spark, sf):
     return rows.select("c_custkey", ((F.col("h.low") <= 50) & (F.col("h.high") >= 50)).alias("agrees"))
 
 
-@query("SELECT n_nationkey, lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '', 'g')) AS squashed, array_to_string([substr(w, 1, 1) FOR w IN string_split_regex(lower(trim(n_name)), '\\s+')], '') AS initials FROM nation".replace("\\\\", "\\"))
+@query("SELECT c_custkey, lower(regexp_replace(c_name || ' of town', '[^A-Za-z0-9]+', '', 'g')) AS squashed, array_to_string([substr(w, 1, 1) FOR w IN string_split_regex(lower(trim(c_name || ' of town')), '\\s+')], '') AS initials FROM customer")
 def place_names(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", tx.squashed(F.col("n_name")).alias("squashed"), tx.initials(F.col("n_name")).alias("initials"))
+    name = F.concat("c_name", F.lit(" of town"))
+    return table(spark, sf, "customer").select("c_custkey", tx.squashed(name).alias("squashed"), tx.initials(name).alias("initials"))
 
 
-@query("SELECT o_orderkey, 'r-' || lpad(CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS id FROM orders")
+@query("SELECT o_orderkey, 'r-' || lpad(CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 12, '0') AS id FROM orders")
 def assign_ids(spark, sf):
-    n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey"))
-    return table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("r-"), F.lpad(n.cast("string"), 6, "0")).alias("id"))
+    """Running ids over all orders, by day of order and key; a day's orders are one bucket."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderdate")
+    return cp.numbered(rows, "day", ["o_orderdate", "o_orderkey"], "n").select("o_orderkey", F.concat(F.lit("r-"), F.lpad(F.col("n").cast("string"), 12, "0")).alias("id"))
 
 
 @query("""WITH s AS (SELECT l_orderkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS members FROM lineitem GROUP BY ALL)

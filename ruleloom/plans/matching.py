@@ -53,14 +53,14 @@ def checklist_recall(spark, sf):
     return found.groupBy("jurisdiction").agg(F.count("*").alias("items"), F.count_if("found").alias("found"))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN 'MAIN AVENUE' ELSE (c_custkey % 900 + 1) || CASE WHEN c_custkey % 5 = 0 THEN '-' || (c_custkey % 900 + 5) ELSE '' END || ' OAK AVENUE' || CASE WHEN c_custkey % 4 = 1 THEN ' Apt 3' ELSE '' END END AS street FROM customer)
+@query("""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN 'MAIN AVENUE' ELSE (c_custkey % 900 + 1) || CASE WHEN c_custkey % 5 = 0 THEN '-' || (c_custkey % 900 + 5) ELSE '' END || ' OAK AV' || CASE WHEN c_custkey % 4 = 1 THEN ' Apt 3' ELSE '' END END AS street FROM customer)
 SELECT k AS address_id, CASE WHEN k % 9 = 0 THEN NULL WHEN k % 3 = 0 THEN (k % 900 + 1) || ' OAK AVE, TOWN' WHEN k % 7 = 0 THEN NULL WHEN k % 5 = 0 OR k % 4 = 1 OR true THEN (k % 900 + 1) || ' OAK AVE, CITY' END AS matched,
 CASE WHEN k % 9 = 0 THEN 'none' WHEN k % 3 = 0 THEN 'batch' WHEN k % 7 = 0 THEN 'none' ELSE 'retry ' || CASE WHEN k % 5 = 0 THEN CASE WHEN k % 4 = 1 THEN 2 ELSE 1 END ELSE CASE WHEN k % 4 = 1 THEN 2 ELSE 1 END END END AS source FROM a""")
 def geocode_cascade(spark, sf):
     """Addresses of customers: the batch's answer where its number agrees, else the first retry that the cache answers."""
     k = F.col("c_custkey")
     n = k % 900 + 1
-    numbered = F.concat(n, F.when(k % 5 == 0, F.concat(F.lit("-"), n + 4)).otherwise(""), F.lit(" OAK AVENUE"), F.when(k % 4 == 1, " Apt 3").otherwise(""))
+    numbered = F.concat(n, F.when(k % 5 == 0, F.concat(F.lit("-"), n + 4)).otherwise(""), F.lit(" OAK AV"), F.when(k % 4 == 1, " Apt 3").otherwise(""))
     batch = F.when(k % 3 == 0, F.concat(n, F.lit(" OAK AVE, TOWN"))).when(k % 3 == 1, F.concat(n + 50, F.lit(" OAK AVE, TOWN")))
     customers = table(spark, sf, "customer")
     rows = customers.select(k.alias("address_id"), F.when(k % 9 == 0, "MAIN AVENUE").otherwise(numbered).alias("street"), F.lit(None).cast("string").alias("unit"), batch.alias("batch_match"))

@@ -80,7 +80,7 @@ CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN NULL ELSE n_n
 def place_confidence(spark, sf):
     """No match: low; matches in several cities: low and no city; an inexact match: medium."""
     k = F.col("c_custkey")
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     cities = F.when(k % 13 == 0, F.array().cast("array<string>")).when(k % 7 == 0, F.array(F.col("n_name"), F.lit("elsewhere"))).otherwise(F.array("n_name", "n_name"))
     distinct = F.array_distinct(cities)
     return rows.select("c_custkey", F.when(F.size(distinct) != 1, "low").when(k % 5 == 0, "medium").otherwise("high").alias("confidence"), F.when(F.size(distinct) == 1, F.get(distinct, F.lit(0))).alias("city"))
@@ -94,18 +94,19 @@ def extremes_by_user(spark, sf):
     return rows.select("user_id", "event_id", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-@query("""SELECT n_nationkey, p.prefix, count(*) OVER (PARTITION BY p.prefix) = 1 AS only_one FROM nation JOIN (SELECT DISTINCT lower(substr(n_name, 1, 8)) AS prefix FROM nation) p ON starts_with(lower(n_name), p.prefix)""")
+@query("SELECT c_custkey, lower(substr(c_name, 1, 15)) AS prefix, count(*) OVER (PARTITION BY lower(substr(c_name, 1, 15))) = 1 AS only_one FROM customer")
 def place_prefix(spark, sf):
-    """Places by the prefix of their name, and whether it is the only one: an equi-join on the prefix itself."""
-    names = table(spark, sf, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 8)).alias("prefix"))
-    return names.withColumn("only_one", F.count("*").over(Window.partitionBy("prefix")) == 1)
+    """Names by their prefix, and whether it is the only one: counts by prefix, joined back by it."""
+    names = table(spark, sf, "customer").select("c_custkey", F.lower(F.substring("c_name", 1, 15)).alias("prefix"))
+    counted = names.groupBy("prefix").agg((F.count("*") == 1).alias("only_one"))
+    return names.join(counted, "prefix")
 
 
-@query("""SELECT c_nationkey, c_mktsegment, string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY c_custkey) AS ids, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY ALL""")
+@query("SELECT c_nationkey, c_mktsegment, c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer WHERE c_acctbal < 0")
 def rule_pools(spark, sf):
-    """Ids that share all keys of a test."""
-    rows = table(spark, sf, "customer").where("c_acctbal < 0").groupBy("c_nationkey", "c_mktsegment").agg(F.sort_array(F.collect_list("c_custkey")).alias("a"), F.count("*").alias("n"))
-    return rows.select("c_nationkey", "c_mktsegment", F.array_join(F.transform("a", lambda x: x.cast("string")), ",").alias("ids"), "n")
+    """Ids that share all keys of a test, a row each with their number: a pool may be of any size."""
+    rows = table(spark, sf, "customer").where("c_acctbal < 0").select("c_nationkey", "c_mktsegment", "c_custkey")
+    return rows.join(rows.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n")), ["c_nationkey", "c_mktsegment"])
 
 
 @query("""SELECT o_custkey, bool_and(o_orderstatus = 'F') AS all_final, bool_or(o_orderstatus = 'P') AS any_pending, count(DISTINCT o_orderpriority) = 1 AS one_priority FROM orders GROUP BY ALL""")
@@ -140,5 +141,5 @@ def compact_codes(spark, sf):
 
 @query("""SELECT n_name, count(*) AS n, CAST(floor(avg(c_custkey % 180 - 90)) AS BIGINT) AS lat, CAST(floor(avg(c_custkey * 7 % 360 - 180)) AS BIGINT) AS lng FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def city_centroids(spark, sf):
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count("*").alias("n"), F.floor(F.avg(F.col("c_custkey") % 180 - 90)).alias("lat"), F.floor(F.avg(F.col("c_custkey") * 7 % 360 - 180)).alias("lng"))

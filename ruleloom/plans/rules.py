@@ -133,7 +133,7 @@ def precedence_superseded(spark, sf):
 def conflict_pairs(spark, sf):
     rows = _lookup(spark, sf).where("conflict").select("address_id", "category", "level", "rule_id")
     against = rules(spark, sf).where("conflicts").select("rule_id")
-    states = rows.where("level = 'state'").join(F.broadcast(against), "rule_id").select("address_id", "category", F.col("rule_id").alias("state_rule"))
+    states = rows.where("level = 'state'").join(against, "rule_id").select("address_id", "category", F.col("rule_id").alias("state_rule"))
     cities = rows.where("level = 'city'").select("address_id", "category", F.col("rule_id").alias("city_rule"))
     return states.join(cities, ["address_id", "category"]).groupBy("state_rule", "city_rule").agg(F.count("*").alias("parcels"))
 
@@ -207,7 +207,7 @@ def lookup_sanity(spark, sf):
     """Constraint queries over the results; no row means no problem."""
     rows = _lookup(spark, sf)
     a = rows.where("result = 'superseded' AND superseded_by IS NULL").select(F.lit("superseded without a city rule").alias("problem"))
-    placed = rows.where("level = 'city'").join(F.broadcast(rules(spark, sf).select("rule_id", "jurisdiction")), "rule_id").join(parcels(spark, sf).select("address_id", "city"), "address_id")
+    placed = rows.where("level = 'city'").join(rules(spark, sf).select("rule_id", "jurisdiction"), "rule_id").join(parcels(spark, sf).select("address_id", "city"), "address_id")
     b = placed.where(~F.col("city").eqNullSafe(F.col("jurisdiction"))).select(F.lit("city rule away from its city"))
     c = parcels(spark, sf).join(rows.select("address_id").distinct(), "address_id", "left_anti").select(F.lit("no rule at all"))
     return a.union(b).union(c).groupBy("problem").agg(F.count("*").alias("n"))

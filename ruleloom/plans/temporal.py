@@ -120,7 +120,7 @@ def change_pending_all(spark, sf):
 
 @query(SQL_DAYS + "SELECT count(*) AS violations FROM looked l JOIN parcels p USING (address_id) JOIN rules r USING (rule_id) WHERE r.level = 'state' AND p.state <> r.state")
 def change_negative(spark, sf):
-    rows = _rows(spark, sf).where("level = 'state'").join(parcels(spark, sf).select("address_id", F.col("state").alias("own")), "address_id").join(F.broadcast(rules(spark, sf).select("rule_id", "state")), "rule_id")
+    rows = _rows(spark, sf).where("level = 'state'").join(parcels(spark, sf).select("address_id", F.col("state").alias("own")), "address_id").join(rules(spark, sf).select("rule_id", "state"), "rule_id")
     return rows.agg(F.count_if(F.col("own") != F.col("state")).alias("violations"))
 
 

@@ -26,7 +26,8 @@ def quotes(spark, sf):
     quote = F.substring(F.col("text"), at + 1, F.lit(48))
     k = F.pmod(F.hash("doc_id"), F.lit(5))
     changed = F.when(k == 1, F.regexp_replace(quote, r"\s+", "\n  ")).when(k == 2, F.regexp_replace(F.regexp_replace(quote, " ", " "), "e", "e­")).when(k == 3, F.concat(quote, F.lit("?!zz"))).otherwise(quote)
-    text = F.when(k == 4, F.concat(F.substring(F.col("text"), F.lit(1), at + 20), F.lit("-\n  "), F.substring(F.col("text"), at + 21, F.char_length("text")))).otherwise(F.col("text"))
+    inside = F.substring(F.col("text"), at + 20, F.lit(2)).rlike(r"^\p{Ll}\p{Ll}$")
+    text = F.when((k == 4) & inside, F.concat(F.substring(F.col("text"), F.lit(1), at + 20), F.lit("-\n  "), F.substring(F.col("text"), at + 21, F.char_length("text")))).otherwise(F.col("text"))
     return docs.select("doc_id", text.alias("text"), changed.alias("quote"))
 
 

@@ -49,8 +49,15 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_checked(df: DataFrame, problems: DataFrame, path: str) -> None:
-    """Writes only if ``problems`` has no row."""
+    """Writes only if ``problems`` has no row; the old table stays until the new one is whole."""
     found = problems.limit(5).collect()
     if found:
         raise ValueError("not written: " + "; ".join(str(r[0]) for r in found))
-    df.write.mode("overwrite").parquet(path)
+    new = f"{path.rstrip('/')}.new"
+    df.write.mode("overwrite").parquet(new)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    system = at.getFileSystem(conf)
+    system.delete(at, True)
+    if not system.rename(made, at):
+        raise OSError(f"{new} could not be moved to {path}")

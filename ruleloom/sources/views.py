@@ -15,15 +15,15 @@ CATEGORIES = ("rent", "eviction", "deposit", "fees", "notice", "registry")
 
 
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(nationkey, city, state)``: as many rows as there are nations, so it may be broadcast."""
+    """``(nationkey, city, state)``: as many rows as there are nations."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("city"), F.col("r_name").alias("state"))
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("city"), F.col("r_name").alias("state"))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     units = (1 + key % 6).cast("int")
-    return table(spark, sf_dir, "customer").join(F.broadcast(places(spark, sf_dir)), F.col("c_nationkey") == F.col("nationkey")).select(
+    return table(spark, sf_dir, "customer").join(places(spark, sf_dir), F.col("c_nationkey") == F.col("nationkey")).select(
         key.alias("address_id"),
         "state",
         F.when(key % 11 != 0, F.col("city")).alias("city"),
@@ -35,7 +35,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six rules a state and three a city; a fixed number of rows, so it may be broadcast."""
+    """Six rules a state and three a city; their number grows with places alone."""
     region = table(spark, sf_dir, "region")
     state = region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     state = state.select((F.col("key") * 6 + F.col("k")).cast("int").alias("rule_id"), F.lit("state").alias("level"), F.col("state").alias("jurisdiction"), "state", F.col("k").cast("int").alias("category"))

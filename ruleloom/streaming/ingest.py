@@ -16,11 +16,11 @@ REGISTRY = "id long, sha string, url string, text string, batch long"
 def register(batch: DataFrame, known: DataFrame, number: int) -> DataFrame:
     """Rows of ``batch(url, text)`` that are new by content, with ids after the greatest known one.
 
-    Equal contents in one batch are one document, that of the least address.  Ids
+    Equal contents in one batch are one document, that of the least address, a missing one last.  Ids
     follow the order of content digests, so a batch that is run again gives the same.
     """
     sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    one = batch.withColumn("sha", sha).groupBy("sha").agg(F.min_by("text", "url").alias("text"), F.min("url").alias("url"))
+    one = batch.withColumn("sha", sha).groupBy("sha").agg(F.min(F.struct(F.col("url").isNull().alias("no"), "url", "text")).alias("x")).select("sha", "x.text", "x.url")
     new = one.join(known.select("sha"), "sha", "left_anti")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     # ids within ranges of the digest: a count a range, then a running number inside it

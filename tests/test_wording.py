@@ -1,0 +1,129 @@
+"""Queries without an SQL form, held to plain readings of whole tables."""
+
+import re
+
+from ruleloom.functions import guards as gd
+from ruleloom.functions import questions as qs
+from ruleloom.functions import spans as sp
+from ruleloom.plans import questions, wording
+from ruleloom.plans.catalogue import QUERIES
+
+UNSEEN = "­​﻿"
+
+
+def _loose(text):
+    """Text as the tolerant level reads it, and where each of its signs came from."""
+    out, at, i = [], [], 0
+    while i < len(text):
+        c = text[i]
+        if c in UNSEEN:
+            i += 1
+            continue
+        if c == "-" and text[i + 1 : i + 2] == "\n" and (m := re.compile(r"-\n\s*").match(text, i)):
+            i = m.end()
+            continue
+        if c.isspace():
+            if out and out[-1] != " ":
+                out.append(" ")
+                at.append(i)
+        else:
+            out.append(c)
+            at.append(i)
+        i += 1
+    return "".join(out), at
+
+
+def _find(text, quote):
+    if len(quote.strip()) < sp.LEAST:
+        return None
+    if (p := text.find(quote.strip())) >= 0:
+        return p, "exact"
+    if m := re.search(r"\s+".join(map(re.escape, quote.split())), text):
+        return m.start(), "normalized"
+    loose, at = _loose(text)
+    p = loose.find(_loose(quote.strip())[0].strip())
+    return (at[p], "tolerant") if p >= 0 else None
+
+
+def test_span_levels(spark, sf_dir):
+    got = {r.doc_id: (r.start, r.match) if r.match else None for r in QUERIES["span_levels"](spark, sf_dir).collect()}
+    rows = wording.quotes(spark, sf_dir).collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        assert got[r.doc_id] == _find(r.text, r.quote), (r.doc_id, r.quote)
+    assert {x[1] for x in got.values() if x} == {"exact", "normalized", "tolerant"} and None in got.values()
+
+
+def _tokens(text):
+    words = [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
+    return ["".join(dict(zip(qs._marked, qs._plain, strict=True)).get(c, c) for c in w) for w in words]
+
+
+def test_question_intents(spark, sf_dir):
+    fits = lambda t, w: t.startswith(w) if len(w) >= 4 else t == w
+    got = {(r.conv_id, r.turn): r for r in QUERIES["question_intents"](spark, sf_dir).collect()}
+    for row in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        words, hits = _tokens(row.text), []
+        for key, phrase in questions.LEXICON:
+            parts = phrase.split()
+            hits += [(-len(parts), i, key) for i in range(len(words) - len(parts) + 1) if all(fits(words[i + j], w) for j, w in enumerate(parts))]
+        kept, used = [], set()
+        for n, i, key in sorted(hits):
+            if not used & set(range(i, i - n)):
+                used |= set(range(i, i - n))
+                kept.append((i, -n, key))
+        score = lambda key, kept=kept: sum(n for _, n, k in kept if k == key)
+        cat, other = max(questions.CATEGORIES, key=score), max(questions.KINDS, key=score)
+        if score(cat) and score(cat) >= score(other):
+            want = ("category", cat)
+        elif not score(other):
+            want = ("no_match", None)
+        else:
+            want = (other, cat if score(cat) and other not in ("jurisdiction", "overview") else None)
+        r = got[row.conv_id, row.turn]
+        assert (r.kind, r.category, r.matched) == (*want, ",".join(f"{i}:{n}:{k}" for i, n, k in sorted(kept))), row.text
+
+
+def _numbers(text, lang):
+    out = set()
+    for m in re.finditer(r"(\$\s?)?([0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?)(\s?%|\s+per\s?cent|\s+por\s+ciento|\s+dollars)?", text, re.I):
+        x = m[2].replace(",", "")
+        tail = (m[3] or "").strip().lower()
+        out.add((x.rstrip("0").rstrip(".") if "." in x else x, "percent" if tail.startswith(("%", "per", "por")) else "dollar" if m[1] or tail else "plain"))
+    for m in re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)?", text):
+        n = gd.NUMBER_WORDS[lang].get(m[0].lower())
+        if n is not None and not text[: m.start()].lower().rstrip().endswith("por"):
+            tail = text[m.end() :].lower().lstrip()
+            out.add((str(n), "percent" if tail.startswith(("%", "percent", "per cent", "por ciento")) else "dollar" if tail.startswith(("dollar", "dólar")) else "plain"))
+    return out
+
+
+def _guards(r):
+    s, lang = r.sentence.strip(), r.lang
+    if not s:
+        return ["no_answer"]
+    has = lambda p: re.search(p, s, re.I) is not None
+    out = []
+    out += ["multiple_lines"] * ("\n" in s) + ["too_long"] * (len(s.split()) > 40) + ["more_than_one_sentence"] * bool(re.search(r"[.!?;]\s+\S", s.rstrip(".!?"))) + ["no_you"] * (not has(gd.ADDRESSED[lang]))
+    out += ["owner_not_obligation_wording"] * (r.role == "owner" and not has(gd.DUTY[lang]))
+    if r.status in gd.STATUS:
+        out += [f"status_wording_missing:{r.status}"] * (not has(gd.STATUS[r.status][lang])) + ["phrased_as_in_force"] * has(gd.IN_FORCE[lang])
+    quoted = _numbers(r.quote, "en")
+    wrong = set()
+    for value, kind in _numbers(s, lang):
+        if value not in {v for v, _ in quoted}:
+            wrong.add(f"number_not_in_quote:{value}")
+        elif kind != "plain" and (value, kind) not in quoted:
+            wrong.add(f"{kind}_not_in_quote:{value}")
+    for i, name in enumerate(gd.MONTHS[lang]):
+        if re.search(rf"\b{name}\b" + (r"(?=\s+\d)" if name == "may" else ""), s, re.I) and not re.search(rf"\b{gd.MONTHS['en'][i]}\b", r.quote, re.I):
+            wrong.add(f"month_not_in_quote:{gd.MONTHS['en'][i]}")
+    out += sorted(wrong)
+    return out + ["evasion_wording"] * has(gd.EVASION[lang]) + ["owner_mentions_exemption"] * (r.role == "owner" and has(gd.EXEMPT[lang]))
+
+
+def test_guard_reasons(spark, sf_dir):
+    rows = QUERIES["guard_reasons"](spark, sf_dir).collect()
+    for r in rows:
+        assert r.reasons.split(",") == (_guards(r) or [""]), r
+    assert len({x for r in rows for x in re.sub(r":\d\S*?(?=,|$)", "", r.reasons).split(",")}) > 9
