@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical navigable small-world graph a shard.
 
-Vectors that are equal are one node.  Nodes are dealt to shards by a hash; in each
-shard the largest inner product becomes a nearest neighbour by one more component,
-``sqrt(longest^2 - |v|^2)``.  Every node has a level drawn from its hash, a
-geometric law, and on each of its levels edges to near nodes of that level, thinned
-so that they point in different directions, plus edges back.  A graph is flat arrays
-of neighbours, padded with -1, in one row of a table.
+Vectors that are equal are one node.  Nodes are dealt to shards by a hash, and near
+means a large inner product, in the graph as in the search.  Every node has a level
+by a geometric law.  Levels are built from the top: nodes are inserted in batches
+that grow with what is there, each searching the level for near nodes from where
+the levels above lead it, and are tied to near ones thinned so that they point in
+different directions, and these back to them.  A graph is flat arrays of
+neighbours, padded with -1, in one row of a table.
 
 Queries go through in blocks.  A block descends the levels together: on each, a
 greedy walk, on the lowest a beam of BEAM nodes.  Lists of all shards are merged.
@@ -27,9 +28,10 @@ from .storage import written
 SHARD_NODES = 16_384
 MIN_SHARDS = 6
 QUERY_BLOCK = 256
-#: Edges that a node chooses on a level, and most that it keeps with those back; nodes it chooses from; nodes in the beam of a search.
-CHOSEN, KEPT, NEAR = 16, 32, 48
-BEAM = 160
+#: Edges that a node chooses on a level, and most that it keeps with those back; nodes it chooses from; most nodes inserted at once.
+CHOSEN, KEPT, NEAR, INSERTED = 16, 32, 64, 256
+#: Nodes in the beam of a search, and those of them that are left at once.
+BEAM = 192
 EXPANDED = 4
 
 
@@ -42,99 +44,51 @@ def _levels(ids: np.ndarray) -> np.ndarray:
     return np.floor(-np.log(u) / np.log(CHOSEN)).astype(np.int8)
 
 
-def _thinned(points: np.ndarray, squares: np.ndarray, nodes: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+def _thinned(points: np.ndarray, nodes: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     """Of each node's ``near`` (closest first, -1 none) at most ``most``: one is left out if nearer to one kept than to the node.
 
     Where that leaves places, the closest of those left out take them.
     """
     n, width = near.shape
-    out = np.full((n, most), -1, np.int32)
-    rows = np.arange(n)
-    own = np.maximum(squares[nodes][:, None] + squares[near] - 2 * np.einsum("nd,nwd->nw", points[nodes], points[near]), 0)
+    around = points[near]
+    own = np.matmul(around, points[nodes][:, :, None])[:, :, 0]
+    pair = np.matmul(around, around.transpose(0, 2, 1))
     count = np.zeros(n, np.int64)
     kept = np.zeros((n, width), bool)
-    pair = np.maximum(squares[near][:, :, None] + squares[near][:, None, :] - 2 * np.einsum("nwd,nvd->nwv", points[near], points[near]), 0)
     for j in range(width):
-        close = (kept[:, :j] & (pair[:, j, :j] < own[:, j, None])).any(axis=1)
+        close = (kept[:, :j] & (pair[:, j, :j] > own[:, j, None])).any(axis=1)
         kept[:, j] = (near[:, j] >= 0) & ~close & (count < most)
         count += kept[:, j]
-    for wanted in (kept, (near >= 0) & ~kept):
-        fill = np.zeros(n, np.int64) + (out >= 0).sum(axis=1)
-        for j in range(width):
-            put = wanted[:, j] & (fill < most)
-            out[rows[put], fill[put]] = near[put, j]
-            fill += put
+    order = np.argsort(np.where(kept, 0, np.where(near >= 0, 1, 2)), axis=1, kind="stable")[:, :most]
+    out = np.full((n, most), -1, np.int32)
+    out[:, : order.shape[1]] = np.take_along_axis(near, order, 1)
     return out
 
 
-def build(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The graph of one shard, lowest level first: (nodes of the level, neighbours of each as node numbers)."""
-    squares = np.einsum("nd,nd->n", vectors.astype(float), vectors.astype(float))
-    longest = squares.max(initial=0.0)
-    points = np.hstack([vectors, np.sqrt(np.maximum(longest - squares, 0))[:, None]]).astype(np.float32)
-    lengths = np.einsum("nd,nd->n", points, points)
-    level = _levels(np.arange(len(vectors)))
-    if len(level):
-        level[level.argmax()] = level.max()
-    graph = []
-    for at in range(int(level.max(initial=0)) + 1):
-        nodes = np.flatnonzero(level >= at)
-        local = points[nodes]
-        k = min(NEAR, len(nodes) - 1)
-        chosen = np.full((len(nodes), CHOSEN), -1, np.int32)
-        for begin in range(0, len(nodes) if k > 0 else 0, 512):
-            some = slice(begin, begin + 512)
-            far = lengths[nodes][None, :] - 2 * local[some] @ local.T
-            far[np.arange(len(far)), np.arange(begin, begin + len(far))] = np.inf
-            near = np.argpartition(far, k - 1, axis=1)[:, :k]
-            near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
-            chosen[some] = _thinned(local, lengths[nodes], np.arange(begin, begin + len(far)), near, CHOSEN)
-        # edges both ways, the node's own choice first, then those back with the closest first
-        source, target = np.repeat(np.arange(len(nodes)), CHOSEN), chosen.reshape(-1)
-        source, target = source[target >= 0], target[target >= 0].astype(np.int64)
-        s, t, own = np.concatenate([source, target]), np.concatenate([target, source]), np.repeat([0, 1], len(source))
-        far = lengths[nodes][t] - 2 * np.einsum("ed,ed->e", local[s], local[t])
-        order = np.lexsort((far, own, s))
-        s, t = s[order], t[order]
-        first = np.ones(len(s), bool)
-        pair = s * max(len(nodes), 1) + t
-        _, index = np.unique(pair, return_index=True)
-        first[:] = False
-        first[index] = True
-        s, t = s[first], t[first]
-        place = np.arange(len(s)) - np.searchsorted(s, s)
-        full = np.full((len(nodes), KEPT), -1, np.int32)
-        fits = place < KEPT
-        full[s[fits], place[fits]] = nodes[t[fits]]
-        graph.append((nodes.astype(np.int32), full))
-    return graph
+def _walk(points: np.ndarray, near: np.ndarray, entry: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """From each query's entry on to the best neighbour, until none is better."""
+    rows = np.arange(len(queries))
+    best = np.einsum("qd,qd->q", queries, points[entry])
+    while True:
+        around = near[entry]
+        scores = np.where(around >= 0, np.einsum("qd,qwd->qw", queries, points[around]), -np.inf)
+        top = scores.argmax(axis=1)
+        better = scores[rows, top] > best
+        if not better.any():
+            return entry
+        entry = np.where(better, around[rows, top], entry)
+        best = np.where(better, scores[rows, top], best)
 
 
-def search(vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
-    """For each query the nodes of its beam by inner product, best first; -1 where the shard has fewer."""
-    q, n = len(queries), len(vectors)
+def _beam(points: np.ndarray, near: np.ndarray, entry: np.ndarray, queries: np.ndarray, beam: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the best of the ``n`` nodes that a beam comes by, best first (-1: fewer), and their products."""
+    q = len(queries)
     rows = np.arange(q)
-    value = lambda nodes: np.einsum("qd,qwd->qw", queries, vectors[nodes])
-    entry = np.full(q, graph[-1][0][0])
-    for nodes, near in reversed(graph[1:]):
-        where = np.full(n, -1, np.int32)
-        where[nodes] = np.arange(len(nodes))
-        best = value(entry[:, None])[:, 0]
-        while True:
-            around = near[where[entry]]
-            scores = np.where(around >= 0, value(np.maximum(around, 0)), -np.inf)
-            top = scores.argmax(axis=1)
-            better = scores[rows, top] > best
-            if not better.any():
-                break
-            entry = np.where(better, around[rows, top], entry)
-            best = np.where(better, scores[rows, top], best)
-    near = graph[0][1]
     seen = np.zeros((q, n + 1), bool)
     held = np.full((q, beam), -1, np.int64)
     score = np.full((q, beam), -np.inf, np.float32)
     done = np.ones((q, beam), bool)
-    held[:, 0], score[:, 0], done[:, 0] = entry, value(entry[:, None])[:, 0], False
+    held[:, 0], score[:, 0], done[:, 0] = entry, np.einsum("qd,qd->q", queries, points[entry]), False
     seen[rows, entry] = True
     active = rows
     while len(active):
@@ -151,14 +105,88 @@ def search(vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], quer
         fresh = (around < n) & ~seen[active[:, None], around]
         fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
         seen[active[:, None], np.where(fresh, around, n)] = True
-        new = np.where(fresh, np.einsum("qd,qwd->qw", queries[active], vectors[np.minimum(around, n - 1)]), -np.inf)
+        which, column = np.nonzero(fresh)
+        new = np.full(fresh.shape, -np.inf, np.float32)
+        new[which, column] = np.einsum("ed,ed->e", queries[active[which]], points[around[which, column]])
         all_score = np.concatenate([score[active], new], axis=1)
         all_held = np.concatenate([held[active], np.where(fresh, around, -1)], axis=1)
         all_done = np.concatenate([done[active], ~fresh], axis=1)
         keep = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
         score[active], held[active], done[active] = (np.take_along_axis(x, keep, 1) for x in (all_score, all_held, all_done))
     order = np.argsort(-score, axis=1, kind="stable")
-    return np.take_along_axis(np.where(np.isneginf(score), -1, held), order, 1)
+    return np.take_along_axis(np.where(np.isneginf(score), -1, held), order, 1), np.take_along_axis(score, order, 1)
+
+
+def _tie_back(points: np.ndarray, near: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
+    """Gives each ``target`` an edge to its ``source``; where a node then has too many, they are thinned."""
+    order = np.argsort(target, kind="stable")
+    source, target = source[order], target[order]
+    nodes, begins = np.unique(target, return_index=True)
+    place = np.arange(len(target)) - np.repeat(begins, np.diff(np.append(begins, len(target))))
+    more = np.full((len(nodes), int(place.max(initial=-1)) + 1), -1, np.int32)
+    more[np.searchsorted(nodes, target), place] = source
+    every = np.concatenate([near[nodes], more], axis=1)
+    every[:, KEPT:][(every[:, KEPT:, None] == every[:, None, :KEPT]).any(axis=2)] = -1
+    own = np.where(every >= 0, np.matmul(points[every], points[nodes][:, :, None])[:, :, 0], -np.inf)
+    every = np.take_along_axis(every, np.argsort(-own, axis=1, kind="stable"), 1)
+    full = (every >= 0).sum(axis=1) > KEPT
+    near[nodes[~full]] = every[~full][:, :KEPT]
+    for begin in range(0, int(full.sum()), 512):
+        some = np.flatnonzero(full)[begin : begin + 512]
+        near[nodes[some]] = _thinned(points, nodes[some], every[some], KEPT)
+
+
+def _insert(points: np.ndarray, above: list[np.ndarray]) -> np.ndarray:
+    """Neighbours on one level of all ``points``; ``above`` are those on the levels above, whose nodes are its first ones."""
+    n = len(points)
+    near = np.full((n, KEPT), -1, np.int32)
+    there = 1
+    while there < n:
+        new = np.arange(there, min(n, there + min(INSERTED, max(1, there // 4))))
+        asked = points[new]
+        entry = np.zeros(len(new), np.int64)
+        for level in above:
+            entry = _walk(points, level, entry, asked)
+        # an entry that is itself still to be inserted leads nowhere: begin with the first node instead
+        entry = np.where(entry < there, entry, 0)
+        found, score = _beam(points, near, entry, asked, NEAR, there)
+        among = np.where(np.eye(len(new), dtype=bool), -np.inf, asked @ asked.T).astype(np.float32)
+        beside = np.argsort(-among, axis=1, kind="stable")[:, : min(CHOSEN, len(new) - 1)]
+        candidates = np.concatenate([found, new[beside]], axis=1)
+        best = np.argsort(-np.concatenate([score, np.take_along_axis(among, beside, 1)], axis=1), axis=1, kind="stable")[:, :NEAR]
+        chosen = _thinned(points, new, np.take_along_axis(candidates, best, 1), CHOSEN)
+        near[new, :CHOSEN] = chosen
+        source, target = np.repeat(new, CHOSEN), chosen.reshape(-1)
+        _tie_back(points, near, source[target >= 0], target[target >= 0])
+        there += len(new)
+    return near
+
+
+def build(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The graph of one shard, lowest level first: (nodes of the level, neighbours of each as node numbers)."""
+    level = _levels(np.arange(len(vectors)))
+    order = np.argsort(-level, kind="stable")  # so the nodes of a level are the first ones, whatever the level
+    points = vectors.astype(np.float32)[order]
+    above: list[np.ndarray] = []
+    graph = []
+    for at in range(int(level.max(initial=0)), -1, -1):
+        size = int(np.count_nonzero(level >= at))
+        if size:
+            above.append(_insert(points[:size], above))
+            graph.append((order[:size].astype(np.int32), np.where(above[-1] >= 0, order[above[-1]], -1).astype(np.int32)))
+    return graph[::-1]
+
+
+def search(vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
+    """For each query the nodes of its beam by inner product, best first; -1 where the shard has fewer."""
+    n = len(vectors)
+    entry = np.full(len(queries), graph[-1][0][0])
+    every = np.full((n, KEPT), -1, np.int32)
+    for nodes, near in reversed(graph[1:]):
+        every[nodes] = near
+        entry = _walk(vectors, every, entry, queries)
+    every[graph[0][0]] = graph[0][1]
+    return _beam(vectors, every, entry, queries, beam, n)[0]
 
 
 def _usable(vector: Column) -> Column:

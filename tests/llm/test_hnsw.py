@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.llm import hnsw
@@ -34,6 +35,17 @@ def test_search_reaches_all_of_a_small_shard_in_order():
     assert (found[:, :100] == np.argsort(-(x[:10] @ x.T), axis=1, kind="stable")).mean() > 0.99
 
 
+@pytest.mark.parametrize("kind", ["normal", "clusters", "lengths"])
+def test_recall_in_a_full_shard(kind):
+    """One shard of the size that the operator itself makes, whose nodes a beam doesn't all come by."""
+    r = np.random.default_rng(5)
+    n, d, k = hnsw.SHARD_NODES, 64, 20
+    x = {"normal": lambda: r.normal(size=(n, d)), "clusters": lambda: 3 * r.normal(size=(300, d))[r.integers(0, 300, n)] + 0.3 * r.normal(size=(n, d)), "lengths": lambda: r.normal(size=(n, d)) * r.uniform(0.1, 3, (n, 1))}[kind]().astype(np.float32)
+    found = hnsw.search(x, hnsw.build(x), x[:512])[:, :k]
+    want = np.argsort(-(x[:512] @ x.T), axis=1)[:, :k]
+    assert np.mean([len({*a} & {*b}) / k for a, b in zip(found.tolist(), want.tolist(), strict=True)]) >= 0.95
+
+
 def test_one_node_and_none():
     one = np.ones((1, 3), np.float32)
     assert hnsw.search(one, hnsw.build(one), one)[0, 0] == 0
