@@ -7,9 +7,11 @@ its last three bytes, times its share of that symbol's smoothed count, so the mo
 is a distribution over all counted tokens and one unseen token a symbol.
 
 Training is truncated backpropagation.  A bounded sample sets the weights it starts
-from, then each task goes on from those through every token of its own share of all
-training documents, in runs of RUN tokens, and the tasks' weights are averaged by
-the tokens they saw.  Scoring reads every token of every document and carries the
+from.  All training documents are dealt to shares by their hash; each share goes on
+from those weights through every token of its documents, in order of their hash and
+in runs of RUN tokens, and the shares' weights are averaged by the tokens they saw.
+How many shares there are depends on the tokens alone, so the same table gives the
+same model on any cluster.  Scoring reads every token of every document and carries the
 state from its first to its last.
 """
 
@@ -20,7 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,14 @@ SMOOTHING = 0.1
 #: Symbols of the network; tokens whose counts a task holds at most, the rest being joined.
 SHORTLIST, REST = 4032, 64
 FREQUENT = 65_536
-#: Tokens of the sample that sets the weights training starts from, at most; documents in it, about, and characters of each, at most.
+#: Tokens of the sample that sets the weights training starts from, at most; documents in it, about.
 START_TOKENS = 300_000
-START_DOCUMENTS, START_CHARS = 3000, 100_000
+START_DOCUMENTS = 3000
+#: Tokens of a share of the training documents, at least; shares, at most. Each share trains a model of its own.
+SHARE_TOKENS, SHARES = 1 << 20, 4096
+#: Models averaged at a time; runs side by side while a share is learned from.
+FAN = 16
+SHARE_LANES = 256
 #: Tokens of a run.
 RUN = 64
 #: Characters of text that a task takes at a time.
@@ -165,57 +172,62 @@ def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
     spark = train.sparkSession
     size = len(v.symbol_counts)
     known = spark.sparkContext.broadcast(v)
-    schema = "weights binary, seen double"
-    arrow = pa.schema([("weights", pa.binary()), ("seen", pa.float64())])
+    schema = "share long, weights binary, seen double"
+    arrow = pa.schema([("share", pa.int64()), ("weights", pa.binary()), ("seen", pa.float64())])
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
-        for batch in batches:
-            for x in batch.column(0):
-                yield x.as_py()
+    def row(share: int, weights: np.ndarray, seen: float) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"share": [share], "weights": [weights.astype(np.float32).tobytes()], "seen": [float(seen)]}, schema=arrow)
+
+    def bounded(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        left = START_TOKENS
+        for run in _runs(known.value, texts):
+            if left <= 0:
+                return
+            left -= len(run)
+            yield run
+
+    def by_share(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+        rows = (r for batch in batches for r in zip(*(column.to_pylist() for column in batch.columns), strict=True))
+        return groupby(rows, key=lambda r: r[0])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def bounded() -> Iterator[np.ndarray]:
-            left = START_TOKENS
-            for run in _runs(known.value, texts(batches)):
-                if left <= 0:
-                    return
-                left -= len(run)
-                yield run
-
-        weights = gru.fresh(known.value.symbol_counts)
-        seen = gru.train(weights, bounded(), known.value.end)
-        yield pa.RecordBatch.from_pydict({"weights": [gru.packed(weights).tobytes()], "seen": [float(seen)]}, schema=arrow)
-
-    # a share of the rows by their hash, about START_DOCUMENTS whatever the corpus; copies are as rare in it as there
-    share = min(1.0, START_DOCUMENTS / max(1, v.documents))
-    picked = train.where(F.length("text") <= START_CHARS).withColumn("order", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
-    picked = picked.where(F.col("order") < int(share * (1 << 30))).select("order", "text").repartition(1).sortWithinPartitions("order", "text")
-    first = picked.select("text").mapInArrow(start, schema).collect()
+        for share, rows in by_share(batches):
+            weights = gru.fresh(known.value.symbol_counts)
+            seen = gru.train(weights, bounded(r[1] for r in rows), known.value.end)
+            yield row(share, gru.packed(weights), seen)
+
+    # a part of the rows by their hash, about START_DOCUMENTS whatever the corpus; copies are as rare in it as there
+    hashed = train.select(F.xxhash64("id", "text").alias("order"), F.col("text").cast("string").alias("text"))
+    part = min(1.0, START_DOCUMENTS / max(1, v.documents))
+    picked = hashed.where(F.pmod("order", F.lit(1 << 30)) < int(part * (1 << 30))).repartition(1).sortWithinPartitions("order", "text")
+    first = picked.select(F.lit(0).cast("long").alias("share"), "text").mapInArrow(start, schema).collect()
     weights = np.frombuffer(first[0].weights, np.float32) if first else gru.packed(gru.fresh(v.symbol_counts))
     begun = spark.sparkContext.broadcast(weights)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = gru.unpacked(begun.value, size)
-        seen = gru.train(mine, _runs(known.value, texts(batches)), known.value.end)
-        if seen:
-            yield pa.RecordBatch.from_pydict({"weights": [gru.packed(mine).tobytes()], "seen": [float(seen)]}, schema=arrow)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(len(begun.value)), 0.0
-        for batch in batches:
-            for w, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total += np.frombuffer(w.as_buffer(), np.float32) * n
+        for share, rows in by_share(batches):
+            mine = gru.unpacked(begun.value, size)
+            seen = gru.train(mine, _runs(known.value, (r[1] for r in rows)), known.value.end, SHARE_LANES)
+            yield row(share, gru.packed(mine), seen)
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for share, rows in by_share(batches):
+            total, seen = np.zeros(len(begun.value)), 0.0
+            for _, _, w, n in rows:
+                total += np.frombuffer(w, np.float32) * n
                 seen += n
-        if seen:
-            yield pa.RecordBatch.from_pydict({"weights": [(total / seen).astype(np.float32).tobytes()], "seen": [seen]}, schema=arrow)
-
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    learned = train.select("text").coalesce(tasks).mapInArrow(go_on, schema)
-    sums = learned.repartition(math.isqrt(tasks) + 1).mapInArrow(added, schema).collect()  # as many rows as the root of the cluster's cores
-    seen = sum(r.seen for r in sums)
-    if sums:
-        weights = sum(np.frombuffer(r.weights, np.float32).astype(float) * (r.seen / seen) for r in sums).astype(np.float32)
-    return gru.unpacked(weights, size), int(seen)
+            if seen:
+                yield row(share, total / seen, seen)
+
+    shares = min(SHARES, max(1, -(-v.total // SHARE_TOKENS)))
+    dealt = hashed.withColumn("share", F.pmod("order", F.lit(shares))).repartition("share").sortWithinPartitions("share", "order", "text")
+    learned = dealt.select("share", "text").mapInArrow(go_on, schema)
+    while shares > 1:  # a level a job; no task and no driver sees more than FAN models at once
+        learned = written(learned, "models").withColumn("up", F.floor(F.col("share") / FAN)).repartition("up").sortWithinPartitions("up", "share")
+        learned = learned.select("up", "share", "weights", "seen").mapInArrow(averaged, schema)
+        shares = -(-shares // FAN)
+    last = learned.collect()
+    return (gru.unpacked(np.frombuffer(last[0].weights, np.float32), size), int(last[0].seen)) if last else (gru.unpacked(weights, size), 0)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -116,6 +116,49 @@ def test_every_token_of_every_training_document_is_learned_from(spark):
     assert seen == v.total == sum(len(_tokens(text)) for _, text in rows)
 
 
+def _plain_score(v, w, text):
+    """The model's definition, a number at a time."""
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    dot = lambda row, m, j: sum(float(a) * float(m[i][j]) for i, a in enumerate(row))
+    n, counted = gru.HIDDEN, {t: 10**c - 0.1 for t, c in ((t, v.log_count[i]) for t, i in v.place.items())}
+    h, before, total = [0.0] * n, v.end, 0.0
+    for token in [t.encode() for t in _tokens(text)]:
+        if token in v.place:
+            symbol, share = int(v.symbol[v.place[token]]), float(v.log_share[v.place[token]])
+        else:
+            k = lm_score.rest_of(token)
+            symbol, share = int(v.rest_symbol[k]), math.log10(counted.get(token, 0) + 0.1) - float(v.rest_log_total[k])
+        a = [dot(w["embedding"][before], w["input"], j) + float(w["bias"][j]) for j in range(3 * n)]
+        g = [dot(h, w["recurrent"], j) for j in range(3 * n)]
+        z, r = [sig(a[j] + g[j]) for j in range(n)], [sig(a[n + j] + g[n + j]) for j in range(n)]
+        new = [math.tanh(a[2 * n + j] + r[j] * g[2 * n + j]) for j in range(n)]
+        h = [new[j] + z[j] * (h[j] - new[j]) for j in range(n)]
+        scores = [dot(h, w["class_out"], c) + float(w["class_bias"][c]) for c in range(len(w["class_bias"]))]
+        inner = range(symbol // gru.WIDTH * gru.WIDTH, symbol // gru.WIDTH * gru.WIDTH + gru.WIDTH)
+        within = [sum(h[i] * float(w["out"][s][i]) for i in range(n)) + float(w["out_bias"][s]) for s in inner]
+        log_all = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+        total += (scores[symbol // gru.WIDTH] - log_all(scores) + within[symbol % gru.WIDTH] - log_all(within)) / math.log(10) + share
+        before = symbol
+    return total
+
+
+def test_scores_against_a_plain_forward_pass_however_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHORTLIST", 60)
+    monkeypatch.setattr(lm_score, "SHARE_TOKENS", 500)
+    monkeypatch.setattr(lm_score, "FAN", 3)
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdé") for _ in range(r.randrange(1, 5))) for _ in range(300)]
+    rows = [(k, " ".join(r.choice(vocab[: r.choice([20, 300])]) for _ in range(r.randrange(0, 80)))) for k in range(200)] + [(None, "New words only"), (500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where(~lm_score.held_out(F.col("doc_id"))).withColumnRenamed("doc_id", "id")
+    v = lm_score.vocabulary(lm_score.count_tokens(train, F.col("text")))
+    w, seen = lm_score.fit(train.repartition(3), v)
+    assert seen == v.total > 3 * 500
+    got = {x.doc_id: x.score for x in lm_score.score_documents(df.repartition(7)).collect()}
+    for i, text in [*r.sample(rows, 25), rows[-1], rows[-2]]:
+        assert got[i] == pytest.approx(_plain_score(v, w, text), rel=1e-4), text
+
+
 def test_held_out_documents_at_a_larger_scale(spark, sf_dir):
     larger = Path(sf_dir).parent / "sf0.1"
     if not larger.exists():
