@@ -16,8 +16,10 @@ from ruleloom.llm.storage import written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no known language, or in none with confidence."""
-    found = language_id.identify(docs, "text", F.col("lang"), F.col("source"), prefix="_found_")
-    return found.where("_found_accepted").select(*docs.columns)
+    aside = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    column = {name: F.col(f"c{k}") for k, name in enumerate(docs.columns)}
+    found = language_id.identify(aside, f"c{docs.columns.index('text')}", column["lang"], column["source"], prefix="_found_")
+    return found.where("_found_accepted").select(*aside.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

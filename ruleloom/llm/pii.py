@@ -5,9 +5,11 @@ digits.  They seed a bootstrap: each mention of an identifier, a run of characte
 without white space that holds a digit or ``@``, stands in lexical patterns (the
 two words before it, the words on either side, a label before it).  Patterns and
 instances make a bipartite graph, scored in rounds: a pattern's confidence in a
-kind is the mean score of its instances, smoothed; an instance's score is the
-chance that at least one of its trusted patterns is right.  Mentions that no form
-covers, but a trusted pattern does, become further spans of its kind.
+kind is the sum of its instances' scores over their number, those of another kind
+or of a shape that the kind can't have, smoothed; an instance's score is the chance
+that at least one of its trusted patterns is right.  Instances found with a high
+score support further patterns, and rounds go on until none is added.  Mentions
+that no form covers, but a trusted pattern does, become further spans of its kind.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from pyspark.sql.window import Window
 from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; least confidence and distinct seeds of a trusted pattern; unseen instances that it must outweigh.
-ROUNDS = 3
+#: Least confidence and distinct sure instances of a trusted pattern; unseen instances that it must outweigh.
 MIN_CONFIDENCE = 0.8
 MIN_SEEDS = 5
 SMOOTHING = 1.0
@@ -118,21 +119,24 @@ def _discovered(mentions: DataFrame) -> DataFrame:
     marked = written(marked, "pii-marked")
     edges = written(marked.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-edges")
 
-    unseen: DataFrame | None = None
-    for _ in range(ROUNDS):
-        scored = edges.select("pattern", "value", "kind", F.when(F.col("kind").isNotNull(), F.lit(1.0)).alias("score"))
-        if unseen is not None:
-            found = edges.where("kind IS NULL").select("pattern", "value").join(unseen, "value").select("pattern", "value", "kind", "score")
-            scored = scored.where("score IS NOT NULL").union(found)
-        total = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-        seeds = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-        by_kind = scored.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("score").alias("score"))
-        trusted = by_kind.join(seeds, ["pattern", "kind"]).where(F.col("seeds") >= MIN_SEEDS).join(total, "pattern")
-        trusted = trusted.withColumn("confidence", F.col("score") / (F.col("n") + SMOOTHING)).where(F.col("confidence") >= MIN_CONFIDENCE)
-        trusted = written(trusted.select("pattern", F.col("kind").alias("of"), "confidence"), "pii-patterns")
-        reached = edges.where("kind IS NULL").select("pattern", "value").join(trusted, "pattern").where(_shape(F.col("of"), F.col("value")))
-        unseen = reached.groupBy("value", F.col("of").alias("kind")).agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        unseen = written(unseen, "pii-instances")
+    shaped = lambda k: F.col("kind").isNull() & F.coalesce(_shape(F.lit(k), F.col("value")), F.lit(False))
+    n = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count_if((F.col("kind") == k) | shaped(k)).alias(k) for k in KINDS])
+    against = n.select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("of"), (F.col("n") - F.col(k)).alias("against")) for k in KINDS])).alias("x")).select("pattern", "x.of", "x.against")
+    against = written(against, "pii-against")
+    seeds = edges.where("kind IS NOT NULL").select("pattern", F.col("kind").alias("of"), F.lit(1.0).alias("score"))
+    open_ = edges.where("kind IS NULL").select("pattern", "value")
+    scored, known = seeds, -1
+    while True:
+        by_kind = scored.groupBy("pattern", "of").agg(F.sum("score").alias("score"), F.count("*").alias("scored"), F.count_if(F.col("score") >= MIN_CONFIDENCE).alias("sure")).where(F.col("sure") >= MIN_SEEDS)
+        confidence = F.col("score") / (F.col("scored") + F.col("against") + SMOOTHING)
+        trusted = by_kind.join(against, ["pattern", "of"]).withColumn("confidence", confidence).where(F.col("confidence") >= MIN_CONFIDENCE)
+        trusted = written(trusted.select("pattern", "of", "confidence"), "pii-patterns")
+        if (now := trusted.count()) <= known:
+            break
+        known = now
+        reached = open_.join(trusted, "pattern").where(_shape(F.col("of"), F.col("value")))
+        unseen = written(reached.groupBy("value", "of").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")), "pii-instances")
+        scored = seeds.union(open_.join(unseen, "value").select("pattern", "of", "score"))
 
     rank = F.element_at(F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))]), F.col("of"))
     hits = marked.where("kind IS NULL").join(trusted, "pattern").where(_shape(F.col("of"), F.col("value")))
@@ -158,22 +162,23 @@ def text_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _joined(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_spans``; null where the text has none."""
-    found = text_spans(docs, text_col).select(F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    return docs.withColumn("_own", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).join(found, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+    """``docs`` with ``spans``, null where the text has none; no column of ``docs`` may be named ``own``, ``key`` or ``spans``."""
+    own = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+    return docs.withColumn("own", own).join(text_spans(docs, text_col), F.col("own") == F.col("key"), "left").drop("own", "key")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row: ``(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_discovered)``.
 
     Counts and digest are of the base spans; ``spans`` lists all.  A null text
-    counts as empty and has none; equal texts are searched once; repeated rows give
-    repeated rows; null ids are kept; other columns are not read.
+    counts as empty and has none; equal texts are searched once, very long ones
+    whole; repeated rows give repeated rows; null ids are kept; an empty table gives
+    none; other columns are not read.
     """
     kind = F.array(*map(F.lit, KINDS))
     shown = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kind, x["k"]), x["s"], x["e"])), ",")
     rows = _joined(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    spans = F.coalesce(F.col("_spans"), F.filter(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("after"), F.lit(True).alias("base"))), lambda x: F.lit(False)))
+    spans = F.coalesce(F.col("spans"), F.filter(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("after"), F.lit(True).alias("base"))), lambda x: F.lit(False)))
     rows = rows.select("id", spans.alias("x")).withColumn("b", F.filter("x", lambda s: s["base"]))
     return rows.select(
         F.col("id").alias(id_col),
@@ -185,12 +190,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with each span in the text replaced by its kind in brackets; overlapping spans keep the part not yet replaced out."""
-    text = F.col(text_col).cast("string")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    rows = _joined(docs, text_col)
-    piece = lambda x: F.when(x["s"] >= x["after"], F.concat(F.substring(text, (x["after"] + 1).cast("int"), (x["s"] - x["after"]).cast("int")), F.get(names, x["k"]))).otherwise(F.lit(""))
-    end = F.array_max(F.transform("_spans", lambda x: x["e"])).cast("int")
-    tail = F.substring(text, end + 1, F.char_length(text))
-    changed = F.when(F.col("_spans").isNotNull(), F.concat(F.array_join(F.transform("_spans", piece), ""), tail)).otherwise(text)
-    return rows.withColumn(text_col, changed).select(*docs.columns)
+    """``docs`` with each span in the text replaced by its kind in brackets; overlapping spans keep the part not yet replaced out.
+
+    A null text stays null; repeated rows stay repeated; an empty table stays empty;
+    all columns keep their names, whatever these are, for they are set aside
+    meanwhile; a very long text is cut and joined in its row.
+    """
+    aside = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    name = f"c{docs.columns.index(text_col)}"
+    text = F.col(name).cast("string")
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    piece = lambda x: F.when(x["s"] >= x["after"], F.concat(F.substring(text, (x["after"] + 1).cast("int"), (x["s"] - x["after"]).cast("int")), F.get(kinds, x["k"]))).otherwise(F.lit(""))
+    end = F.array_max(F.transform("spans", lambda x: x["e"])).cast("int")
+    changed = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(text, end + 1, F.char_length(text)))).otherwise(text)
+    return _joined(aside, name).withColumn(name, changed).select(*aside.columns).toDF(*docs.columns)

@@ -99,3 +99,24 @@ def test_query_on_whole_table(spark, sf_dir):
     got = QUERIES["op4_personal_data"](spark, sf_dir).collect()
     assert len(got) == len(texts)
     _check(got, texts)
+
+
+def test_found_instances_support_further_patterns_and_unseen_right_shapes_do_not_count_against(spark):
+    """Six phones in full form behind "ring me", three local ones there, and those three with more behind "reach us"."""
+    full = [f"+49 30 90182{k}4{k}" for k in range(6)]
+    local = [f"555-01{k}7-88{k}" for k in range(6)]
+    rows = [f"please ring me {x} today" for x in full] + [f"please ring me {x} today" for x in local]
+    rows += [f"or reach us {x} soon" for x in local] + ["or reach us 555-7777-991 soon", "or order part 12345678 now"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    for k in range(6, 12):
+        assert got[k] == f"phone:15:{15 + len(local[k - 6])}"
+    assert got[18] == "phone:12:24" and got[19] == ""
+
+
+def test_redact_keeps_any_columns_and_long_texts(spark):
+    long = "x " * 100_000
+    df = spark.createDataFrame([(1, long + "a@b.example", 5), (2, None, 6), (2, None, 6)], "`a.b` long, text string, spans int").withColumn("own", F.lit("o")).withColumn("key", F.lit("k")).withColumn("c1", F.lit(0))
+    out = pii.redact(df)
+    assert out.columns == df.columns and pii.redact(df.limit(0)).count() == 0
+    assert sorted(((r["a.b"], r.text, r.spans, r.own, r.key, r.c1) for r in out.collect()), key=str) == [(1, long + "[EMAIL]", 5, "o", "k", 0), (2, None, 6, "o", "k", 0), (2, None, 6, "o", "k", 0)]
