@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
-from .word_bpe import END_OF_WORD, Memory, WordSplitter, byte_characters, encode_by_chunks, in_small_batches, join_words, library_of
+from .word_bpe import END_OF_WORD, LONG, SETTLED, Memory, WordSplitter, byte_characters, each_text, in_small_batches, join_words, library_of, settled_words
 
 MAGIC = b"RLTOK001"
 #: Ids after which a task begins another file.
@@ -102,13 +102,14 @@ def _open(uri: str):
 
 
 class LibraryEncoder:
-    """The tokenizers library on each word not met before.
+    """The tokenizers library's model on each word not met before.
 
     Most of the library's time on a whole text goes into normalising it anew, so a
-    text is cut at white space, where no rule of the tokenizer reaches across, and
-    a chunk into words by the library's own classes of characters.  New words go
-    through the library's model in one string, a space between them; its ids are cut
-    behind each token that ends a word.
+    text is cut at ASCII white space, where no rule of the tokenizer reaches across.  New
+    chunks are cut into words thousands at a time, in one string, apart by a word that
+    no other text makes, so that the ids are cut again where that word's stands.  Chunks whose characters depend on a
+    version of Unicode, or that hold an added token, are cut by the library's own
+    classes instead.
     """
 
     def __init__(self, path: str):
@@ -123,22 +124,55 @@ class LibraryEncoder:
         vocabulary = library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
-        self.words, self.chunks = Memory(), Memory()
+        self.words, self.mapped, self.chunks = Memory(), Memory(), Memory()
+        # the character that stands for a zero byte is a word that only a zero byte makes
+        self.between, self.between_id = self.chars[0], vocabulary[self.chars[0] + END_OF_WORD]
+        self.shown = {k: "".join([self.chars[b] for b in chr(k).encode()]) for k in range(ord(SETTLED)) if chr(k) not in " \n" and not (k < 128 and chr(k).isprintable())}
+
+    def _encode_mapped(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words whose bytes are written as characters, one string for all; cut behind each token that ends a word."""
+        ids = np.array(self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        return dict(zip(words, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
 
     def _encode_words(self, words: set[str]) -> dict[str, bytes]:
-        chars, some, out = self.chars, list(words), {}
-        for at in range(0, len(some), 20_000):
-            now = some[at : at + 20_000]
-            line = " ".join([w if w.isascii() and w.isprintable() else "".join([chars[b] for b in w.encode()]) for w in now])
-            ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            raw = ids.tobytes()
-            out.update(zip(now, [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+        mapped = {w: "".join([self.chars[b] for b in w.encode()]) for w in words}
+        found = self._encode_mapped(list(mapped.values()))
+        return {w: found[m] for w, m in mapped.items()}
+
+    def _encode_settled(self, chunks: list[str]) -> dict[str, bytes]:
+        line = settled_words.sub(r"\g<0> ", "\n".join(chunks).lower())
+        if not (line.isascii() and line.replace("\n", "").isprintable()):
+            line = line.translate(self.shown)
+        words = (line.replace("\n", self.between + " ") + self.between).split(" ")
+        known = self.mapped.young
+        if new := self.mapped.missing(set(words)):
+            known |= self._encode_mapped(list(new))
+        raw = b"".join(map(known.__getitem__, words))
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.between_id)).tolist()
+        self.mapped.turn()
+        return dict(zip(chunks, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends[:-1]]], ends, strict=True)], strict=True))
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        every = "\n".join(new)
+        odd = ("<|", "\0", "İ", "\x85", "\xa0")
+        other = set()
+        if any(x in every for x in odd) or max(map(len, new)) > LONG:
+            other = {c for c in new if len(c) > LONG or any(x in c for x in odd)}
+        rest = [c for c in new if c not in other] if other else list(new)
+        ascii_, wide = [c for c in rest if c.isascii()], [c for c in rest if not c.isascii()]
+        latin = [c for c in wide if max(c) < SETTLED]
+        other.update(set(wide).difference(latin))
+        out = join_words(other, self.split, self.words, self.added, self._encode_words) if other else {}
+        for some in (ascii_, latin):
+            for at in range(0, len(some), 50_000):
+                out |= self._encode_settled(some[at : at + 50_000])
         return out
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return encode_by_chunks(texts, self.chunks, lambda new: join_words(new, self.split, self.words, self.added, self._encode_words))
+        return [ids.tobytes() for ids in each_text(texts, self.chunks, self.learn)]
 
 
 _libraries: dict[str, LibraryEncoder] = {}
@@ -186,14 +220,12 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
 
         manifest = pa.schema([("part", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for key, raw in zip(some.column(0).to_pylist(), coder.encode_texts(some.column(1).to_pylist()), strict=True):
-                    doc_ids.append(key)
-                    held.append(np.concatenate([np.frombuffer(raw, "<u4"), ends]))
-                    size += len(held[-1])
-                    if size >= IDS_PER_FILE:
-                        yield flush()
+            for key, ids in zip(batch.column(0).to_pylist(), each_text(batch.column(1), coder.chunks, coder.learn), strict=True):
+                doc_ids.append(key)
+                held.append(np.concatenate([ids, ends]))
+                size += len(held[-1])
+                if size >= IDS_PER_FILE:
+                    yield flush()
         if held:
             yield flush()
 

@@ -15,10 +15,11 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,18 +34,12 @@ LONG = 200
 BATCH_BYTES = 4 << 20
 
 _final = 0x20000  # added to a character's number where it ends a word
-_settled = "\u0180"  # characters before it are their own normal form, with classes and lower case that no version changed
-_separators = re.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer doesn't
-_split_but_separators = re.compile("[^\\S\x1c-\x1f]+")
+SETTLED = "\u0180"  # characters before it are their own normal form, with classes and lower case that no version changed
 # The tokenizer's own pattern over a text whose other characters stand as "a", "1", "!" or " " by their class.
 _words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^\\sA-Za-z0-9]+", re.ASCII)
-
-
-def chunks_of(text: str) -> list[str]:
-    """The runs without white space."""
-    if _separators.search(text):
-        return [x for x in _split_but_separators.split(text) if x]
-    return text.split()
+_numbers = "0-9²³¹¼-¾"
+_letters = "".join(chr(k) for k in range(ord(SETTLED)) if chr(k).isalpha())
+settled_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_letters}]+|[{_numbers}]|[^\\s{_letters}{_numbers}]+", re.ASCII)
 
 
 def byte_characters() -> list[str]:
@@ -126,7 +121,7 @@ class WordSplitter:
 
     def __call__(self, chunk: str) -> list[str]:
         whole = chunk.lower()
-        if whole.isascii() or max(whole) < _settled:
+        if whole.isascii() or max(whole) < SETTLED:
             if whole.isalpha():
                 return [whole]
             if whole[:-1].isalpha():  # most other chunks: letters and one sign
@@ -140,7 +135,7 @@ class WordSplitter:
             if part in self.added:
                 out.append(part)
             elif part:
-                out += self._cut(part.lower() if max(part) < _settled else self.normal(part))
+                out += self._cut(part.lower() if max(part) < SETTLED else self.normal(part))
         return out
 
 
@@ -249,14 +244,14 @@ class TrieEncoder:
 
     def encode_texts(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        return encode_by_chunks(texts, self.chunks, self.learn)
+        return [ids.tobytes() for ids in each_text(texts, self.chunks, self.learn)]
 
     def decode(self, ids: bytes) -> str:
         """As the library decodes where the file names no decoder: the tokens joined by a space."""
         return " ".join(map(self.token_text.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-def join_words(chunks: set[str], split: WordSplitter, words: Memory, added: dict[str, int], encode: Callable[[set[str]], dict[str, bytes]]) -> dict[str, bytes]:
+def join_words(chunks: Collection[str], split: WordSplitter, words: Memory, added: dict[str, int], encode: Callable[[set[str]], dict[str, bytes]]) -> dict[str, bytes]:
     """Ids of each chunk from those of its words; ``encode`` finds the words' that aren't remembered."""
     cut = [split(chunk) for chunk in chunks]
     met: set[str] = set()
@@ -281,33 +276,46 @@ def join_words(chunks: set[str], split: WordSplitter, words: Memory, added: dict
     return out
 
 
-def encode_by_chunks(texts: list[str | None], chunks: Memory, learn: Callable[[set[str]], dict[str, bytes]]) -> list[bytes]:
-    """Joins the ids of each text's chunks; ``learn`` finds those of chunks that aren't remembered.
+def encode_by_chunks(column: pa.Array, chunks: Memory, learn: Callable[[set[str]], dict[str, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of a column's texts and where each text's begin, in runs of about BATCH_BYTES; ``learn`` finds those of chunks that aren't remembered.
 
-    Texts are taken in runs of bounded size; between runs the memory takes its turn
-    and long chunks are forgotten.
+    A chunk is a run without ASCII white space.  Arrow cuts a run's texts and numbers
+    their distinct chunks, so Python handles each of them once a run, and the ids are
+    gathered by number.  Between runs the memory takes its turn and long chunks are
+    forgotten.  A null text has no ids.
     """
-    out: list[bytes] = []
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
     at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (size == 0 or size < BATCH_BYTES):
-            size += len(texts[end] or "")
-            end += 1
-        split = [chunks_of(t) if t else [] for t in texts[at:end]]
-        met: set[str] = set()
-        for cs in split:
-            met.update(cs)
-        if new := chunks.missing(met):
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+        lists = pc.ascii_split_whitespace(column.slice(at, end - at))
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times as fast as to_pylist()
+        if new := chunks.missing(set(distinct)):
             chunks.young |= learn(new)
         known = chunks.young
-        out += [b"".join(map(known.__getitem__, cs)) for cs in split]
+        raw = [known[c] for c in distinct]
         for c in new:
             if len(c) > LONG:
                 del known[c]
         chunks.turn()
+        ids, lengths = np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begins, number = np.cumsum(lengths) - lengths, numbered.indices.to_numpy()
+        many = lengths[number]
+        ends = np.cumsum(many)
+        places = np.repeat(begins[number] - ends + many, many)
+        places += np.arange(len(places))
+        offsets = lists.offsets.to_numpy()
+        yield ids[places], np.concatenate([[0], ends])[offsets - offsets[0]]
         at = end
-    return out
+
+
+def each_text(column: pa.Array | list[str | None], chunks: Memory, learn: Callable[[set[str]], dict[str, bytes]]) -> Iterator[np.ndarray]:
+    """The ids of one text after the other."""
+    for ids, begins in encode_by_chunks(column if isinstance(column, pa.Array) else pa.array(column, pa.string()), chunks, learn):
+        for k in range(len(begins) - 1):
+            yield ids[begins[k] : begins[k + 1]]
 
 
 _encoders: dict[str, TrieEncoder] = {}
@@ -353,14 +361,11 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
         coder = encoder_for(tokenizer_path)
         for batch in batches:
             schema = pa.schema([pa.field(id_col, batch.schema.field(0).type), pa.field("ids", pa.binary()), pa.field("decoded", pa.string())])
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            step = 256
-
-            def rows(keys=keys, texts=texts):
-                for at in range(0, len(keys), step):
-                    encoded = coder.encode_texts(texts.slice(at, step).to_pylist())
-                    for key, ids in zip(keys[at : at + step], encoded, strict=True):
-                        yield key, ids, coder.decode(ids)
+
+            def rows(batch=batch):
+                for key, ids in zip(batch.column(0).to_pylist(), each_text(batch.column(1), coder.chunks, coder.learn), strict=True):
+                    raw = ids.tobytes()
+                    yield key, raw, coder.decode(raw)
 
             yield from in_small_batches(rows(), schema, lambda r: len(r[1]) + len(r[2]))
 
