@@ -102,7 +102,7 @@ def library_of(path: str):
 
 
 class WordSplitter:
-    """A chunk's words, as the library normalises it and cuts it; added tokens stay whole.
+    """A chunk's words, as the library normalises it and cuts it, at white space too; added tokens stay whole.
 
     What depends on a version of Unicode is asked of the library: it normalises
     every chunk with a character beyond U+017F, and tells each character's class.
@@ -124,7 +124,7 @@ class WordSplitter:
         if whole.isascii() or max(whole) < SETTLED:
             if whole.isalpha():
                 return [whole]
-            if whole[:-1].isalpha():  # most other chunks: letters and one sign
+            if whole[:-1].isalpha() and not whole[-1].isspace():  # most other chunks: letters and one sign
                 return [whole[:-1], whole[-1]]
         if self.split_added and "<" in chunk:
             parts = self.split_added.split(chunk)
