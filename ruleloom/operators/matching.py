@@ -22,7 +22,7 @@ def source_problems(rules: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def in_jurisdiction(jurisdictions: Column, state: Column, city: Column) -> Column:
     """Whether a manifest's list, ``ST; City, ST``, names the state or the city of it."""
-    parts = F.transform(F.split(F.coalesce(jurisdictions, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(jurisdictions, F.lit("")), ";"), lambda x: F.trim(x))
     return F.exists(parts, lambda p: (p == state) | (p == F.concat(city, F.lit(", "), state)))
 
 
