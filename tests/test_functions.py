@@ -101,3 +101,44 @@ def test_phrases(spark):
     assert tuple(pick(phrases.resolve(F.lit("effective January 5, 2027"), F.lit(None).cast("date")))) == (D(2027, 1, 5), "explicit")
     assert pick(phrases.find_normalised(F.lit("say “no  rent”\nat all"), F.lit('"no rent" at'))) == 4
     assert pick(phrases.find_normalised(F.lit("abc"), F.lit("  "))) is None
+
+
+def test_streets_jurisdictions_and_matches(spark):
+    from ruleloom.operators import matching as mt
+
+    pick = lambda c: spark.range(1).select(c.alias("v")).first().v
+
+    for said, want in (("600 JACKSON/601 HARRISON", "600 JACKSON"), ("322 - 326.5 0012TH AV", "322 12TH AVE"), ("5 2ND ST.", "5 2ND ST"), ("MAIN-SIDE ST", "MAIN-SIDE ST")):
+        assert pick(text.clean_street(F.lit(said))) == want
+    for said, want in (("1031-1035 X", (1031, 1035)), ("322.5-324 X", (322, 324)), ("5 2ND ST", (5, 5)), ("12 A-B ST", (12, 12))):
+        assert tuple(pick(text.house_numbers(F.lit(said)))) == want
+    assert pick(mt.in_jurisdiction(F.lit("NJ; Hoboken, NJ"), F.lit("NJ"), F.lit("Newark"))) is True
+    assert pick(mt.in_jurisdiction(F.lit("Hoboken, NJ"), F.lit("NJ"), F.lit("Hoboken"))) is True
+    assert pick(mt.in_jurisdiction(F.lit(None).cast("string"), F.lit("NJ"), F.lit("Hoboken"))) is False
+    assert pick(text.unsupported_numbers(F.lit("1.5 months, 20 days"), F.lit("One and one-half months, twenty days"))) == []
+
+
+def test_trees_quirks(spark):
+    import json
+
+    from ruleloom.operators import trees as tr
+
+    facts = tr.Facts(F.lit(2), F.lit(9), F.lit(1990), F.lit(None).cast("string"), F.lit(None).cast("boolean"))
+    day = F.lit("2024-02-29").cast("date")
+
+    def value(tree, as_of=day):
+        ((_, nodes),) = tr.node_rows({1: json.dumps(tree) if tree else None})
+        df = spark.createDataFrame([(nodes,)], f"nodes array<{tr.NODE}>")
+        return df.select(tr.coverage(F.col("nodes"), facts, as_of).alias("c")).first().c
+
+    leaf = lambda fact, op, v: {"fact": fact, "op": op, "value": v}
+    assert value(None).value == 2
+    same_year = value(leaf("year_built", "==", "1990-10-01"))
+    assert (same_year.value, list(same_year.missing)) == (1, [])  # unknown, though nothing is missing
+    dropped = value({"all": [leaf("units", ">=", 5), leaf("owner_type", "==", "REIT")]})
+    assert (dropped.value, list(dropped.missing)) == (1, ["owner_type"])  # a lenient falsehood drops nothing, and says what blocks
+    lifted = value({"all": [leaf("units", "<", 10), {"not": leaf("owner_occupied", "==", True)}]})
+    assert (lifted.value, list(lifted.presumed), list(lifted.missing)) == (2, ["owner_occupied"], [])
+    assert value(leaf("year_built", "<", {tr.RELATIVE: 30}), F.lit(None).cast("date")).value == 1
+    assert value(leaf("units", "in", [10, 11])).value == 0 and value(leaf("units", "not_in", [10, 11])).value == 2
+    assert value({"any": []}).value == 1
