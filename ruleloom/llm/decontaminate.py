@@ -133,7 +133,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
     Items are read in blocks of bounded size and each block goes over all documents
     once, so a benchmark of any size works and no task holds more than a block.
-    Documents are not shuffled.  Texts without a word (null, empty) contain nothing
+    Documents are not shuffled; a very long one is a slice of its own, read whole.
+    Texts without a word (null, empty) contain nothing
     and are contained in nothing; an item of fewer than five words is one shingle,
     its words; repeated rows give repeated rows; null ids are kept; other columns
     are not read.

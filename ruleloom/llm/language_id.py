@@ -126,7 +126,7 @@ def identify(
     MIN_POSTERIOR at least.  A null declaration, suffix or host says nothing; a
     declaration that is none of ``languages`` counts as one value "other".  A text
     without a letter (null, empty, numbers) is ``und``; one too short for a trigram
-    rests on the other evidence.  Ties go to the language
+    rests on the other evidence; a very long one is read whole.  Ties go to the language
     first in order, ``und`` last.  Repeated rows count as often as they occur.  A
     column of ``df`` that already has an added name is replaced.
 

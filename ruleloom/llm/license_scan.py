@@ -144,7 +144,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
     first in the list).  Texts without a word (null,
     empty) match nothing; a template of one or two words is found where it is the
     whole text; repeated rows give repeated rows; null ids are kept; other columns
-    are not read.  Documents are not shuffled; a task holds the templates' index.
+    are not read; an empty table gives no row; a very long text is read whole.
+    Documents are not shuffled; a task holds the templates' index.
     """
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_matched", "n_words", "start", "end")]])
 
