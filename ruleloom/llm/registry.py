@@ -140,3 +140,58 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), shards=24)
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests, fill_in_middle
+
+    return digests(fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),
+     drawn AS (SELECT *, len(units) AS n, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain,
+                      ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2, ('0x' || h[25:32])::BIGINT % 100 AS f FROM hashed),
+     cut AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+                    array_to_string(units[greatest(c1, c2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN f < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN f < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_source_divergence"] = r"""
+WITH rows AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+     terms AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM rows),
+     kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+     langs AS (SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+     found AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+     sized AS (SELECT DISTINCT lang, source, coalesce(total, 0)::HUGEINT AS total FROM rows LEFT JOIN (SELECT lang, source, sum(n) AS total FROM found GROUP BY ALL) USING (lang, source)),
+     shares AS (SELECT s.lang, s.source, k.term, coalesce(f.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(f.n, 0) + 5) // (s.total + 5 * l.v) AS p,
+                       1 + 1000000000::HUGEINT * (k.n + 5) // (l.total + 5 * l.v) AS q
+                FROM sized s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = k.term),
+     far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     found_rows AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                    FROM sized a JOIN sized b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source
+                    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found_rows)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
