@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signs that read as another, and signs that are not seen.
+# Signs that read as another, signs that are not seen, and the shortest quote.
 _typeset, _typed = "‘’‚′`“”„″‐‑‒–—−   　", "'''''\"\"\"\"------    "
 _unseen = r"[­​﻿]*"
-LEAST = 8
+LEAST = 20
+#: Letters that Unicode writes as another single one; their places stay.
+_twins = {chr(c): n for c in range(0x80, 0xFFFF) if not 0xD800 <= c < 0xE000 and len(n := unicodedata.normalize("NFC", chr(c))) == 1 and n != chr(c) and n < "￿"}
+_broken = r"(?:(?<=\p{L})-\n\s*(?=\p{Ll}))?"
 
 
 def _quoted(x: Column) -> Column:
@@ -24,21 +29,33 @@ def _words(quote: Column) -> Column:
 
 
 def find_span(text: Column, quote: Column) -> Column:
-    """``(start, match)`` from 0, the first level that finds the quote; null where none does or the quote is shorter than LEAST.
+    """``(start, end, match)`` from 0, end exclusive, by the first level that finds the quote; null where none does or the quote has fewer than LEAST characters.
 
-    exact: as it stands. normalized: runs of white space are alike. tolerant: also
-    typographic signs, unseen signs, and words broken by a hyphen at a line's end.
+    exact: as it stands. normalized: runs of white space are alike, and so are the two
+    ways of writing one letter. tolerant: also typographic signs, unseen signs, blanks
+    after a section sign, and words broken by a hyphen at a line's end.
     The pattern of each level is made from the quote and runs over the text itself,
     whose signs are changed one for one, so places need no way back.
     """
-    words = _words(quote)
-    spaced = F.concat(F.lit("(?U)"), F.array_join(F.transform(words, _quoted), r"\s+"))
-    fold = lambda c: F.translate(c, _typeset, _typed)
-    letters = lambda w: F.filter(F.split(F.regexp_replace(w, r"[­​﻿]", ""), ""), lambda c: c != "")
-    loose = F.concat(F.lit("(?U)"), F.array_join(F.transform(_words(fold(quote)), lambda w: F.array_join(F.transform(letters(w), _quoted), _unseen + r"(?:-\n\s*)?" + _unseen)), _unseen + r"\s+" + _unseen))
-    exact, normalized = F.call_function("instr", text, _stripped(quote)), F.regexp_instr(text, spaced)
-    at = lambda place, match: F.struct((place - 1).cast("int").alias("start"), F.lit(match).alias("match"))
-    return F.when((F.char_length(_stripped(quote)) >= LEAST) & text.isNotNull(), F.when(exact > 0, at(exact, "exact")).when(normalized > 0, at(normalized, "normalized")).when(F.regexp_instr(fold(text), loose) > 0, at(F.regexp_instr(fold(text), loose), "tolerant")))
+    same = lambda c: F.translate(c, "".join(_twins), "".join(_twins.values()))
+    fold = lambda c: F.translate(same(c), _typeset, _typed)
+    spaced = F.concat(F.lit("(?U)"), F.array_join(F.transform(_words(same(quote)), _quoted), r"\s+"))
+    plain = F.regexp_replace(F.regexp_replace(fold(quote), _unseen[:-1], ""), r"(?U)(?<=\p{L})-\n\s*(?=\p{Ll})", "")
+    plain = F.regexp_replace(plain, r"(?U)§\s+", "§")
+    letters = lambda w: F.filter(F.split(w, ""), lambda c: c != "")
+    sign = lambda c: F.when(c == "§", r"§\s*").otherwise(_quoted(c))
+    loose = F.concat(F.lit("(?U)"), F.array_join(F.transform(_words(plain), lambda w: F.array_join(F.transform(letters(w), sign), _unseen + _broken + _unseen)), _unseen + r"\s+" + _unseen))
+    long = lambda q: F.char_length(F.array_join(_words(q), " ")) >= LEAST
+
+    def at(place: Column, found: Column, match: str) -> Column:
+        return F.struct((place - 1).cast("int").alias("start"), (place - 1 + F.char_length(found)).cast("int").alias("end"), F.lit(match).alias("match"))
+
+    by_pattern = lambda t, p, match: at(F.regexp_instr(t, p), F.call_function("regexp_extract", t, p, F.lit(0)), match)
+    exact = F.call_function("instr", text, _stripped(quote))
+    return F.when((F.char_length(_stripped(quote)) >= LEAST) & text.isNotNull(), (
+        F.when(exact > 0, at(exact, _stripped(quote), "exact")).when(long(quote) & (F.regexp_instr(same(text), spaced) > 0), by_pattern(same(text), spaced, "normalized"))
+        .when(long(plain) & (F.regexp_instr(fold(text), loose) > 0), by_pattern(fold(text), loose, "tolerant"))
+    ))
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -27,14 +27,31 @@ def unsupported_numbers(claim: Column, source: Column) -> Column:
 
 
 def citation_key(citation: Column) -> Column:
-    """What differently written citations of one law share: a number in parts, else chamber and number, else a bill's letters and number, else letters and digits."""
-    part = lambda pattern, group: F.nullif(F.regexp_extract(citation, pattern, group), F.lit(""))
-    section = part(r"[0-9]+[A-Za-z]?(?:[.:-][0-9]+[A-Za-z]?)+", 0)
-    house = r"(?i)\b(senate|house|assembly)\b[ ,]*(?:bill )?no\.? ?([0-9]{2,5})\b"
-    bill = r"\b([A-Z]{1,3})\.? ?([0-9]{2,5})\b"
-    chamber = F.when(part(house, 2).isNotNull(), F.concat(F.substring(part(house, 1), 1, 1), part(house, 2)))
-    lettered = F.when(part(bill, 2).isNotNull(), F.concat(part(bill, 1), part(bill, 2)))
-    return F.lower(F.coalesce(section, chamber, lettered, F.regexp_replace(F.lower(citation), "[^a-z0-9]+", "")))
+    """What differently written citations of one law share: a number in parts, else chamber and number, else a bill's letters and number, else letters and digits.
+
+    The citation is read as its words; the first that fits the strongest kind decides.
+    """
+    words = F.filter(F.split(F.coalesce(citation, F.lit("")), r"[^\p{L}\p{N}.:-]+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(w, r"^[.:-]+|[.:-]+$", "")
+    first = lambda kind: F.get(F.filter(F.transform(words, kind), lambda k: k.isNotNull()), F.lit(0))
+    number = lambda w: F.when(w.rlike("^[0-9]{2,5}$"), w)
+
+    def section(w: Column) -> Column:
+        inside = F.filter(F.split(w, r"^[^0-9]+|[^0-9A-Za-z.:-]+"), lambda x: x != "")
+        return F.get(F.filter(F.transform(inside, bare), lambda x: x.rlike("^[0-9]+[A-Za-z]?([.:-][0-9]+[A-Za-z]?)+$")), F.lit(0))
+
+    def chamber(w: Column, i: Column) -> Column:
+        after = F.transform(F.slice(words, i + 2, F.lit(3)), lambda x: F.lower(bare(x)))
+        glued = F.regexp_extract(F.get(after, F.lit(0)), "^no[.]?([0-9]{2,5})$", 1)
+        rest = F.filter(after, lambda x: ~x.isin("bill", "no"))
+        direct = F.coalesce(F.nullif(glued, F.lit("")), F.when(F.array_contains(after, "no"), number(F.get(rest, F.lit(0)))))
+        return F.when(F.lower(bare(w)).isin("senate", "house", "assembly"), F.concat(F.substring(w, 1, 1), direct))
+
+    def bill(w: Column, i: Column) -> Column:
+        apart = F.when(bare(w).rlike("^[A-Z]{1,3}$"), F.concat(bare(w), number(bare(F.get(words, i + 1)))))
+        return F.coalesce(apart, F.when(bare(w).rlike("^[A-Z]{1,3}[.]?[0-9]{2,5}$"), F.translate(bare(w), ".", "")))
+
+    return F.lower(F.coalesce(first(section), first(chamber), first(bill), F.regexp_replace(F.lower(citation), "[^a-z0-9]+", "")))
 
 
 def _words(text: Column) -> Column:

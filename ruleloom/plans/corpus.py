@@ -38,33 +38,24 @@ def line_classes(spark, sf):
     return rows.select(cp.line_class(F.col("line"), before).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, instr(text, substr(text, CAST(1 + doc_id % 200 AS INTEGER), 12)) - 1 AS start FROM documents WHERE length(substr(text, CAST(1 + doc_id % 200 AS INTEGER), 12)) = 12")
-def span_grounding(spark, sf):
-    """First place of a quote in its own source."""
-    docs = table(spark, sf, "documents").withColumn("quote", F.substring("text", (1 + F.col("doc_id") % 200).cast("int"), F.lit(12))).where(F.length("quote") == 12)
-    return docs.select("doc_id", cp.first_span(F.col("text"), F.col("quote"))["start"].cast("long").alias("start"))
-
-
-@query("SELECT doc_id, md5(substr(text, greatest(doc_id % 300 - 40, 0) + 1, 100)) AS around FROM documents WHERE length(text) > 400")
-def text_window(spark, sf):
-    low = F.greatest(F.col("doc_id") % 300 - 40, F.lit(0))
-    return table(spark, sf, "documents").where(F.length("text") > 400).select("doc_id", F.md5(F.substring("text", (low + 1).cast("int"), F.lit(100))).alias("around"))
+SQL_ANYWHERE = "WITH placed AS (SELECT doc_id, text, CAST((doc_id * 7919) % greatest(length(text), 1) AS INTEGER) AS begin FROM documents)"
 
 
 def _anywhere(spark, sf):
     """All documents, each with a place in the whole of its text."""
-    return table(spark, sf, "documents").withColumn("begin", F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text"), F.lit(1))).cast("int"))
+    return table(spark, sf, "documents").withColumn("begin", (F.col("doc_id") * 7919 % F.greatest(F.length("text"), F.lit(1))).cast("int"))
 
 
-@query()
-def span_grounding_whole(spark, sf):
+@query(SQL_ANYWHERE + " SELECT doc_id, begin, instr(text, nullif(substr(text, begin + 1, 12), '')) - 1 AS start FROM placed")
+def span_grounding(spark, sf):
     """First place of a quote of up to 12 characters from anywhere in any text; null for an empty one."""
     docs = _anywhere(spark, sf)
     return docs.select("doc_id", "begin", cp.first_span(F.col("text"), F.substring("text", F.col("begin") + 1, F.lit(12)))["start"].cast("long").alias("start"))
 
 
-@query()
-def text_window_whole(spark, sf):
+@query(SQL_ANYWHERE + """, cut AS (SELECT *, substr(text, greatest(begin - 40, 0) + 1, begin - greatest(begin - 40, 0)) AS lead, substr(text, begin + 1, 20) AS mid, substr(text, least(begin + 20, length(text)) + 1, 40) AS tail FROM placed)
+SELECT doc_id, begin, CASE WHEN begin > 40 THEN string_split(lead, chr(10))[-1] ELSE lead END || mid || string_split(tail, chr(10))[1] AS around FROM cut""")
+def text_window(spark, sf):
     """The text about a span of up to 20 characters anywhere in any text, snapped to lines."""
     docs = _anywhere(spark, sf)
     end = F.least(F.col("begin") + 20, F.length("text"))

@@ -166,7 +166,7 @@ def _sql_by_tree(texts: dict[int, str]) -> str:
     return " ".join(f"WHEN {k} THEN '{x}'" for k, x in texts.items())
 
 
-_FAULTS = {9: "$.all[0]: unknown op like|$.all[1].any: must be a non-empty list|$.all[2]: unknown fact roof|$.all[3]: not an object", 12: "$.all[0]: a relative value needs a date fact|$.all[1]: op in needs a list value|$.all[2]: a relative value needs an order op"}
+_FAULTS = {9: "$.all[0]: no such operator: like|$.all[1].any: must be a non-empty list|$.all[2]: no such fact: roof|$.all[3]: not an object", 12: "$.all[0]: units is no date, so it takes no years|$.all[1]: in takes a list|$.all[2]: == takes no years"}
 _FAULTS[9] = _FAULTS[9].replace("$.all[1].any:", "$.all[1]:")
 _NUMBERS = {1: "4,1990", 2: "5,1975", 3: "3", 4: "45", 5: "2,3,4,1980,4", 6: "1979,12,2", 7: "30", 8: "1978", 9: "4", 10: "1,1,1960", 11: "1,1980,1981", 12: "3,1980,3"}
 

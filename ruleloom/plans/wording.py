@@ -21,8 +21,8 @@ def needle_occurrences(spark, sf):
 
 def quotes(spark, sf):
     """``(doc_id, text, quote)``: a quote from anywhere in each text; by key as it stands, spaced otherwise, set otherwise, or broken at a line's end."""
-    docs = table(spark, sf, "documents").where(F.char_length("text") >= 60)
-    at = F.pmod(F.xxhash64("doc_id"), F.char_length("text") - 50).cast("int")
+    docs = table(spark, sf, "documents")
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.char_length("text") - 50, F.lit(1))).cast("int")
     quote = F.substring(F.col("text"), at + 1, F.lit(48))
     k = F.pmod(F.hash("doc_id"), F.lit(5))
     changed = F.when(k == 1, F.regexp_replace(quote, r"\s+", "\n  ")).when(k == 2, F.regexp_replace(F.regexp_replace(quote, " ", " "), "e", "e­")).when(k == 3, F.concat(quote, F.lit("?!zz"))).otherwise(quote)
@@ -34,7 +34,7 @@ def quotes(spark, sf):
 @query()
 def span_levels(spark, sf):
     """At which level and place a quote is found in its document; no SQL engine takes these patterns, so tests hold it to a plain search."""
-    return quotes(spark, sf).select("doc_id", sp.find_span(F.col("text"), F.col("quote")).alias("x")).select("doc_id", "x.start", "x.match")
+    return quotes(spark, sf).select("doc_id", sp.find_span(F.col("text"), F.col("quote")).alias("x")).select("doc_id", "x.start", "x.end", "x.match")
 
 
 _DAY = "CAST(o_orderdate AS DATE)"
@@ -60,18 +60,41 @@ def effective_dates(spark, sf):
     return found.select("o_orderkey", "x.day", "x.method", "x.penalty")
 
 
+_EN = (
+    "You must pay no more than $5 a month.", "Your rent may rise by 5 percent in May 2027.", "You can avoid this; you are exempt if you move.", "The owner gives notice. It is in effect.", "You would owe twenty-one dollars under this bill.",
+    "This rule says you must give one-half of the deposit back.", "You can go around this by asking for a work-around.", "You have thirty days\nand 5.50 dollars.", "Note: you may not raise the rent once the law takes effect.",
+    "You must keep a record of each and every notice that you have given to a person who lives in the building you own.", "It is not yet law.", "You are limited to 5% unless the board says otherwise.", "",
+)
+_ES = (
+    "Usted debe pagar hasta 5 por ciento en enero.", "Si usted es exento, su límite es 5.", "Usted puede darle la vuelta.", "Usted recibirá setenta por ciento.", "Según la ley, su renta está vigente.", "¿Podría usted evitarlo?", "No es ley; no se aprobó.",
+)
+_k = "o_orderkey"
+
+
+def sentences(spark, sf):
+    """``(o_orderkey, sentence, quote, role, status, lang)``: a sentence in either language, with each order's number for the 5."""
+    k, n = F.col(_k), F.floor(F.col("o_totalprice") / 1000).cast("string")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (k % len(xs) + 1).cast("int"))
+    lang = F.when(k % 4 == 1, "es").otherwise("en")
+    said = F.regexp_replace(F.when(lang == "es", pick(_ES)).otherwise(pick(_EN)), "5", n)
+    quote = F.concat(F.lit("The amount is $"), F.when(k % 2 == 0, n).otherwise("21"), F.lit(" or five percent, from January 1, thirty days."))
+    status = F.element_at(F.array(*map(F.lit, ("in_force", "pending", "failed", "not_yet_effective", "repealed"))), (k % 5 + 1).cast("int"))
+    return table(spark, sf, "orders").select(_k, said.alias("sentence"), quote.alias("quote"), F.when(k % 8 < 4, "owner").otherwise("tenant").alias("role"), status.alias("status"), lang.alias("lang"))
+
+
 @query()
 def guard_reasons(spark, sf):
-    """Guards over sentences with each order's numbers; tests hold them to a plain reading."""
-    k, price = F.col("o_orderkey") % 9, F.floor(F.col("o_totalprice") / 1000)
-    n = price.cast("string")
-    sentence = (
-        F.when(k == 0, F.concat(F.lit("You must pay no more than $"), n, F.lit(" a month."))).when(k == 1, F.concat(F.lit("Your rent may rise by "), n, F.lit(" percent in May 2027."))).when(k == 2, "You can avoid this; you are exempt if you move.")
-        .when(k == 3, F.concat(F.lit("Usted debe pagar hasta "), n, F.lit(" por ciento en enero."))).when(k == 4, "The owner gives notice. It is in effect.").when(k == 5, "You would owe twenty-one dollars under this bill.").when(k == 6, "")
-        .when(k == 7, F.concat(F.lit("Si usted es exento, su límite es "), n, F.lit("."))).otherwise(F.concat(F.lit("You have thirty days\nand "), n, F.lit(".50 dollars.")))
-    )
-    quote = F.concat(F.lit("The amount is $"), F.when(F.col("o_orderkey") % 2 == 0, n).otherwise("21"), F.lit(" or five percent, from January 1, thirty days."))
-    role, status = F.when(F.col("o_orderkey") % 4 < 2, "owner").otherwise("tenant"), F.when(F.col("o_orderkey") % 5 == 0, "pending").when(F.col("o_orderkey") % 5 == 1, "failed").otherwise("in_force")
-    lang = F.when(k.isin(3, 7), "es").otherwise("en")
-    rows = table(spark, sf, "orders").select("o_orderkey", sentence.alias("sentence"), quote.alias("quote"), role.alias("role"), status.alias("status"), lang.alias("lang"))
-    return rows.select("*", F.array_join(gd.check(F.col("sentence"), F.col("quote"), F.col("role"), F.col("status"), F.col("lang")), ",").alias("reasons"))
+    """All guards over sentences with each order's numbers; tests hold them to a plain reading."""
+    return sentences(spark, sf).select("*", F.array_join(gd.check(F.col("sentence"), F.col("quote"), F.col("role"), F.col("status"), F.col("lang")), ",").alias("reasons"))
+
+
+_list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs).replace("\n", "' || chr(10) || '") + "]"
+SQL_SENTENCES = f"""SELECT {_k}, replace(CASE WHEN {_k} % 4 = 1 THEN {_list(_ES)}[{_k} % {len(_ES)} + 1] ELSE {_list(_EN)}[{_k} % {len(_EN)} + 1] END, '5', CAST(floor(o_totalprice / 1000) AS BIGINT)::VARCHAR) AS sentence,
+CASE WHEN {_k} % 8 < 4 THEN 'owner' ELSE 'tenant' END AS role, ['in_force', 'pending', 'failed', 'not_yet_effective', 'repealed'][{_k} % 5 + 1] AS status, CASE WHEN {_k} % 4 = 1 THEN 'es' ELSE 'en' END AS lang FROM orders"""
+
+
+@query(f"WITH s AS ({SQL_SENTENCES}) SELECT {_k}, array_to_string({gd.sql_wording_guard('sentence', 'role', 'status', 'lang')}, ',') AS reasons FROM s")
+def guard_wordings(spark, sf):
+    """The guards of form, status and evasion over the same sentences, by the table of wordings."""
+    reasons = gd.wording_guard(F.col("sentence"), F.col("role"), F.col("status"), F.col("lang"))
+    return sentences(spark, sf).select(_k, F.array_join(reasons, ",").alias("reasons"))

@@ -23,7 +23,7 @@ def _got(spark, sf_dir, name, texts):
 
 
 def test_quotes_from_anywhere_are_found(spark, sf_dir, texts):
-    for r in _got(spark, sf_dir, "span_grounding_whole", texts):
+    for r in _got(spark, sf_dir, "span_grounding", texts):
         text = texts[r.doc_id][0]
         quote = text[r.begin : r.begin + 12]
         assert r.start == (text.find(quote) if quote else None)
@@ -31,7 +31,7 @@ def test_quotes_from_anywhere_are_found(spark, sf_dir, texts):
 
 def test_quotes_with_other_white_space_are_found(spark, sf_dir, texts):
     space = "[ \\t\\n\\x0b\\f\\r]+"
-    for r in _got(spark, sf_dir, "span_normalised_whole", texts):
+    for r in _got(spark, sf_dir, "span_normalised", texts):
         text = texts[r.doc_id][1]
         words = [w for w in re.split(space, text[r.begin : r.begin + 40]) if w]
         found = re.search(space.join(map(re.escape, words)), text) if words else None
@@ -39,7 +39,7 @@ def test_quotes_with_other_white_space_are_found(spark, sf_dir, texts):
 
 
 def test_windows_end_at_lines(spark, sf_dir, texts):
-    for r in _got(spark, sf_dir, "text_window_whole", texts):
+    for r in _got(spark, sf_dir, "text_window", texts):
         text = texts[r.doc_id][0]
         low, end = max(0, r.begin - 40), min(r.begin + 20, len(text))
         lead, tail = text[low : r.begin], text[end : end + 40].split("\n")[0]
