@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers them all."""
 
-from . import corpus, documents, matching, phrases, questions, relations, rules, serving, temporal, trees, wording  # noqa: F401
+from . import candidates, corpus, documents, matching, phrases, questions, relations, rules, serving, temporal, trees, wording  # noqa: F401

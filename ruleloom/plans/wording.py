@@ -40,23 +40,24 @@ def span_levels(spark, sf):
 _DAY = "CAST(o_orderdate AS DATE)"
 
 
-@query(f"""SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN strftime(date_trunc('month', {_DAY} + to_months(12)), '%Y-%m-%d') WHEN 1 THEN strftime({_DAY} + 90, '%Y-%m-%d') WHEN 2 THEN strftime({_DAY} + 30, '%Y-%m-%d') WHEN 3 THEN strftime({_DAY}, '%Y-%m-%d')
-WHEN 4 THEN strftime({_DAY}, '%Y-%m-%d') WHEN 5 THEN strftime({_DAY}, '%Y-%m-%d') WHEN 6 THEN strftime({_DAY}, '%Y-%m-%d') WHEN 7 THEN strftime({_DAY}, '%Y-%m') WHEN 11 THEN CASE WHEN o_orderkey % 5 = 0 THEN strftime(make_date(year({_DAY}) + 1, 1, 1), '%Y-%m-%d') END END AS day,
-CASE o_orderkey % 12 WHEN 0 THEN 'nth_month' WHEN 1 THEN 'days_after' WHEN 2 THEN 'days_after' WHEN 3 THEN 'immediately' WHEN 4 THEN 'explicit' WHEN 5 THEN 'range_start' WHEN 6 THEN 'explicit' WHEN 7 THEN 'explicit' WHEN 11 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'january_default' ELSE 'not_stated' END ELSE 'unresolved' END AS method,
-CASE WHEN o_orderkey % 12 = 6 THEN 5 WHEN o_orderkey % 12 = 11 THEN CASE WHEN o_orderkey % 5 = 0 THEN 20 WHEN o_orderstatus <> 'P' THEN 10 ELSE 0 END ELSE 0 END AS penalty FROM orders WHERE NOT (o_orderkey % 12 = 11 AND o_orderkey % 5 = 0 AND o_orderstatus = 'P')""")
+@query(f"""WITH r AS (SELECT *, {_DAY} AS d, o_orderkey % 16 AS k, strftime({_DAY}, '%Y-%m-%d') AS s FROM orders)
+SELECT o_orderkey, CASE WHEN k = 0 THEN strftime(date_trunc('month', d + to_months(12)), '%Y-%m-%d') WHEN k = 1 THEN strftime(d + 90, '%Y-%m-%d') WHEN k = 2 THEN strftime(d + 30, '%Y-%m-%d') WHEN k IN (3, 4, 5, 6, 12, 13, 14) THEN s WHEN k = 7 THEN strftime(d, '%Y-%m')
+    WHEN k = 15 THEN strftime(d + 180, '%Y-%m-%d') WHEN k = 11 AND o_orderkey % 5 = 0 AND o_orderstatus <> 'P' THEN strftime(make_date(year(d) + 1, 1, 1), '%Y-%m-%d') END AS day,
+CASE WHEN k = 0 THEN 'nth_month' WHEN k IN (1, 2, 15) THEN 'days_after' WHEN k = 3 THEN 'immediately' WHEN k IN (4, 6, 7, 12, 13, 14) THEN 'explicit' WHEN k = 5 THEN 'range_start' WHEN k = 11 THEN CASE WHEN o_orderkey % 5 = 0 AND o_orderstatus <> 'P' THEN 'january_default' ELSE 'not_stated' END ELSE 'unresolved' END AS method,
+CASE WHEN k IN (6, 14) THEN 5 WHEN k = 11 AND o_orderstatus <> 'P' THEN CASE WHEN o_orderkey % 5 = 0 THEN 20 ELSE 10 END ELSE 0 END AS penalty FROM r""")
 def effective_dates(spark, sf):
-    """Twelve ways of stating when a law takes effect, each with its order's day."""
-    key, d = F.col("o_orderkey") % 12, F.col("o_orderdate").cast("date")
+    """Sixteen ways of stating when a law takes effect, each with its order's day; bills that aren't enacted among them."""
+    key, d = F.col("o_orderkey") % 16, F.col("o_orderdate").cast("date")
     fmt = lambda p, n=0: F.date_format(F.date_add(d, n), p)
     said = (
         F.when(key == 0, "the first day of the twelfth month following").when(key == 1, "on the 90th day after enactment").when(key == 2, "thirty days\nafter filing").when(key == 3, "This act shall take effect immediately.")
         .when(key == 4, F.concat(F.lit("Effective "), fmt("MMMM d, yyyy"), F.lit("."))).when(key == 5, F.concat(fmt("yyyy-MM-dd"), F.lit(" to "), fmt("yyyy-MM-dd", 400)))
         .when(key == 6, F.concat(F.lit("beginning "), fmt("M/d/yyyy"), F.lit(" and no later, expires "), fmt("M/d/yyyy", 99))).when(key == 7, F.concat(F.lit("in "), fmt("MMMM yyyy"))).when(key == 8, "when the board says so")
-        .when(key == 9, F.concat(fmt("yyyy-MM-dd"), F.lit(" or "), fmt("yyyy-MM-dd", 5))).when(key == 10, "the first day of the third month").otherwise("")
+        .when(key == 9, F.concat(fmt("yyyy-MM-dd"), F.lit(" or "), fmt("yyyy-MM-dd", 5))).when(key == 10, "the first day of the third month").when(key == 12, F.concat(fmt("MMM"), F.lit(". "), fmt("d"), F.lit("th, "), fmt("yyyy")))
+        .when(key == 13, F.concat(F.lit("on "), fmt("MM-dd-yyyy"))).when(key == 14, F.concat(F.lit("it takes effect "), fmt("MMM d yyyy"), F.lit(" but becomes inoperative on "), fmt("MMM d yyyy", 70))).when(key == 15, "one hundred eighty (180) days after approval").otherwise("")
     )
     anchor = F.when(key == 10, "no day here").when((key == 11) & (F.col("o_orderkey") % 5 != 0), "approved").otherwise(F.concat(F.lit("Chaptered "), fmt("MMMM d, yyyy")))
-    asked = table(spark, sf, "orders").where(~((key == 11) & (F.col("o_orderkey") % 5 == 0) & (F.col("o_orderstatus") == "P")))
-    found = asked.select("o_orderkey", ef.resolve(said, anchor, F.col("o_orderstatus") != "P", F.lit(True)).alias("x"))
+    found = table(spark, sf, "orders").select("o_orderkey", ef.resolve(said, anchor, F.col("o_orderstatus") != "P", F.lit(True)).alias("x"))
     return found.select("o_orderkey", "x.day", "x.method", "x.penalty")
 
 
