@@ -77,11 +77,11 @@ def lookup(parcels: DataFrame, rules: DataFrame, as_of: Column | str) -> DataFra
     return rows.select("address_id", "rule_id", "category", "level", "result", "superseded_by", "conflict", confidence_cents().alias("confidence_cents"), F.array_join("missing", ",").alias("missing"))
 
 
-def lookup_on(parcels: DataFrame, rules: DataFrame, days: list[str]) -> DataFrame:
-    """The same for several days at once, with ``as_of``; the days are the caller's short list."""
+def lookup_on(parcels: DataFrame, rules: DataFrame, days: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """The same for several days at once, with ``as_of`` and ``more`` columns of parcels and rules; the days are the caller's short list."""
     pairs = jurisdiction_pairs(parcels, rules).withColumn("as_of", F.explode(F.array(*[F.lit(d).cast("date") for d in days])))
     rows = with_precedence(base_results(pairs, F.col("as_of")), ["address_id", "as_of"])
-    return rows.select("address_id", "as_of", "rule_id", "category", "level", "result", "conflict")
+    return rows.select("address_id", "as_of", "rule_id", "category", "level", "result", "conflict", *more)
 
 
 def result_rank(result: Column, order: tuple[str, ...] = RESULT_ORDER) -> Column:

@@ -39,22 +39,6 @@ def chaptering_lines(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", dc.chaptering_record(text).alias("line"))
 
 
-@query("""WITH t AS (SELECT o_orderkey AS test_id, CASE o_orderkey % 5 WHEN 0 THEN 'as_of' WHEN 1 THEN 'boundary' WHEN 2 THEN 'pending' WHEN 3 THEN 'negative' ELSE 'other' END AS type, CAST(o_orderdate AS DATE) AS after, o_totalprice FROM orders)
-SELECT test_id, CASE type WHEN 'negative' THEN 'failed' WHEN 'pending' THEN 'pending' ELSE CASE WHEN type = 'as_of' AND after > DATE '1998-01-01' THEN 'not_yet_effective' ELSE 'enacted' END END AS kind,
-CASE WHEN type = 'other' THEN 'fail: unknown type' WHEN type IN ('as_of', 'boundary') THEN CASE WHEN o_totalprice > 100000 THEN 'pass' ELSE 'fail' END ELSE 'not checkable' END AS outcome, test_id % 3 = 0 OR test_id % 2 = 0 AS in_scope FROM t""")
-def change_tests(spark, sf):
-    """Orders as change tests of four known types and one unknown: what each is about, whether it concerns a state, and its outcome by type."""
-    k = F.col("o_orderkey")
-    kind = F.when(k % 5 == 0, "as_of").when(k % 5 == 1, "boundary").when(k % 5 == 2, "pending").when(k % 5 == 3, "negative").otherwise("other")
-    states = F.when(k % 3 != 0, F.when(k % 2 == 0, F.array(F.lit("CA"), F.lit("NJ"))).otherwise(F.array(F.lit("MA"))))
-    tests = table(spark, sf, "orders").select(k.alias("test_id"), kind.alias("type"), F.col("o_orderdate").cast("date").alias("after"), states.alias("states"), "o_totalprice")
-    decided = lambda df: df.withColumn("outcome", F.when(F.col("o_totalprice") > 100000, "pass").otherwise("fail"))
-    open_ = lambda df: df.withColumn("outcome", F.lit("not checkable"))
-    outcome = dc.dispatched(tests, {"as_of": decided, "boundary": decided, "pending": open_, "negative": open_})
-    told = tests.select("test_id", dc.change_kind(F.col("type"), F.col("after"), F.lit("1998-01-01").cast("date")).alias("kind"), dc.in_scope(F.col("states"), F.lit("CA")).alias("in_scope"))
-    return told.join(outcome, "test_id")
-
-
 @query("""SELECT s_suppkey, count(o_orderkey) AS lines, count(*) FILTER (WHERE o_orderstatus = 'F') AS backed FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY s_suppkey""")
 def backed_lines(spark, sf):
     """Of each supplier's lines how many are backed by a final order: a semi-join, then counts."""
