@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import effective as ef
 from ..functions import guards as gd
 from ..functions import spans as sp
+from ..functions import units as un
 from ..sources.readers import table
 from .catalogue import query
 
@@ -99,3 +100,28 @@ def guard_wordings(spark, sf):
     """The guards of form, status and evasion over the same sentences, by the table of wordings."""
     reasons = gd.wording_guard(F.col("sentence"), F.col("role"), F.col("status"), F.col("lang"))
     return sentences(spark, sf).select(_k, F.array_join(reasons, ",").alias("reasons"))
+
+
+#: A description a customer, by key; what it says is worked out from the key alone in SQL.
+_USE = (
+    ("CA", "'Flats ' || a || ' to ' || b || ' units'"), ("CA", "'Apartment ' || b || ' to ' || a || ' UNITS'"), ("CA", "'Apartment ' || a || ' Units or more'"), ("CA", "'TIC Bldg ' || a || ' units or less'"), ("CA", "'Five or more apartments'"), ("CA", "'County code 14-16 (' || a || '+ units)'"),
+    ("MA", "'APT ' || a || '-' || b || ' UNITS'"), ("MA", "'LUXURY APARTMENT'"), ("MA", "'MXD >' || a || '-UNIT-APT'"), ("MA", "a || '-' || b || '-UNIT-APT'"), ("NJ", "'3B-' || a || 'U/4 1/2B-' || b || 'U-G'"), ("NJ", "'3SB' || a || 'UG'"),
+    ("NJ", "'3B-G/4B-' || a || 'U'"), ("NJ", "'Apartments (class 4C)'"), ("MA", "'Flats 1 to 2 units'"), ("NJ", "' '"),
+)
+_use_case = "CASE k % 16 " + " ".join(f"WHEN {i} THEN {x}" for i, (_, x) in enumerate(_USE)) + " END"
+_use_state = "CASE k % 16 " + " ".join(f"WHEN {i} THEN '{x}'" for i, (x, _) in enumerate(_USE)) + " END"
+_use_units = "CASE WHEN k % 5 = 0 THEN CAST(k % 40 AS STRING) WHEN k % 5 = 1 THEN 'many' END"
+_use_rows = f"SELECT k, a, b, {_use_state} AS state, {_use_case} AS use_description, {_use_units} AS units FROM (SELECT c_custkey AS k, CAST(c_custkey % 9 + 1 AS INT) AS a, CAST(c_custkey % 9 + 1 + c_custkey % 30 AS INT) AS b FROM customer)"
+
+
+@query(f"""WITH r AS ({_use_rows.replace('AS STRING', 'AS VARCHAR')}), p AS (SELECT *, CASE k % 16 WHEN 0 THEN a WHEN 1 THEN CASE WHEN a = b THEN a END WHEN 2 THEN a WHEN 4 THEN 5 WHEN 5 THEN a WHEN 6 THEN a WHEN 8 THEN a + 1 WHEN 9 THEN a WHEN 10 THEN a + b END AS low,
+    CASE k % 16 WHEN 0 THEN b WHEN 1 THEN CASE WHEN a = b THEN a END WHEN 3 THEN a WHEN 6 THEN b WHEN 9 THEN b WHEN 10 THEN a + b END AS high,
+    CASE k % 16 WHEN 1 THEN CASE WHEN a = b THEN 'ok' ELSE 'upside down' END WHEN 7 THEN 'no count stated' WHEN 11 THEN 'ambiguous token' WHEN 12 THEN 'a part without one clear token' WHEN 13 THEN 'no count stated' WHEN 14 THEN 'no parser fits' WHEN 15 THEN 'no description' ELSE 'ok' END AS said, TRY_CAST(units AS INTEGER) AS n FROM r)
+SELECT k AS address_id, said, n AS units, CASE WHEN n IS NULL THEN low WHEN n < low OR n > high THEN CASE WHEN low IS NOT NULL THEN least(n, low) END ELSE n END AS low, CASE WHEN n IS NULL THEN high WHEN n < low OR n > high THEN CASE WHEN high IS NOT NULL THEN greatest(n, high) END ELSE n END AS high,
+CASE WHEN n IS NOT NULL THEN 'units' WHEN low IS NOT NULL OR high IS NOT NULL THEN 'use_description' END AS source, CASE WHEN n IS NULL AND units IS NOT NULL THEN 'units are no whole number' WHEN n < low OR n > high THEN 'units contradict the description' END AS review FROM p""")
+def units_of_descriptions(spark, sf):
+    """Units of every customer's building from a description in one of sixteen forms of three states, and from a column where it has a number."""
+    keys = table(spark, sf, "customer").selectExpr("c_custkey AS k", "CAST(c_custkey % 9 + 1 AS INT) AS a", "CAST(c_custkey % 9 + 1 + c_custkey % 30 AS INT) AS b")
+    rows = keys.selectExpr("k", f"{_use_state} AS state", f"{_use_case} AS use_description", f"{_use_units} AS units")
+    found = rows.withColumn("p", un.described(F.col("use_description"), F.col("state"), un.parsers())).withColumn("x", un.resolved(F.col("units"), F.col("p")))
+    return found.select(F.col("k").alias("address_id"), "p.said", "x.units", "x.low", "x.high", "x.source", "x.review")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,6 +32,23 @@ def json_document(spark: SparkSession, path: str, schema: str, under: str | None
     return spark.read.schema(f"`{under}` array<struct<{schema}>>").json(path, multiLine=True).select(F.inline(under))
 
 
+def dimension(text: str) -> list | dict:
+    """A small YAML file kept by hand; without a YAML library it has to keep to JSON's syntax, comment lines aside."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads("\n".join(x for x in text.splitlines() if not x.lstrip().startswith("#")))
+    return yaml.safe_load(text)
+
+
+def yaml_rows(spark: SparkSession, path: str, schema: str, under: str | None = None) -> DataFrame:
+    """The list of a YAML file, or that under one key of it, as rows; read by Spark, so from any store it knows."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    found = dimension(text)
+    rows = [(json.dumps(x),) for x in (found[under] if under is not None else found)]
+    return spark.createDataFrame(rows, "x string").select(F.from_json("x", schema).alias("x")).select("x.*")
+
+
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text, sha256, problem)`` of every file that isn't empty (Spark lists no others); bytes that aren't UTF-8 are a problem and have no text."""
     files = spark.read.format("binaryFile").load(path)
