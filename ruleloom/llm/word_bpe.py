@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 END_OF_WORD = "</w>"  # fixed value of the tokenizer's file format
 
 #: Words (and chunks) that a Python worker remembers between batches, twice over: see Memory.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Characters of a chunk, beyond which it is forgotten after its batch.
 LONG = 200
 #: Bytes of output after which a record batch is handed to Spark.
