@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import gold as gd
+from ..operators import parcels as pc
 from ..operators import sphere as sph
 from ..operators import stable_ids as si
 from ..sources.readers import table
+from ..streaming import registry as rg
 from .catalogue import query
 
 
@@ -102,3 +104,58 @@ def gold_accuracy(spark, sf):
     """Of each language's gold passages how many are matched, and how many agree in category and level."""
     gold, ours = _passages(spark, sf)
     return gd.accuracy(gd.matched(gold, ours), gold, ours, "lang", ["category", "level"])
+
+
+#: Candidates of a customer's address: none to three, whose points lie in towns 0 to 9 by their longitude; town 7 is in no state we know.
+_CAND = "SELECT k, i AS nth, CASE WHEN k % 4 = 1 THEN 'retry' ELSE 'batch' END AS source, (k + i) % 3 = 0 AS exact, k || ' Main St, ' || lpad(CAST((k + i) % 7 AS {str}), 5, '0') AS matched, CAST((k + i * (k % 2)) % 10 AS {str}) AS lon, CAST(k % 90 AS {str}) AS lat"
+SQL_PARCELS = f"""WITH a AS (SELECT c_custkey AS k, 'Town' || (c_custkey % 12) AS postal_city, CASE WHEN c_custkey % 13 = 0 THEN 'NJ' ELSE 'CA' END AS state, CASE WHEN c_custkey % 3 = 0 THEN lpad(CAST((c_custkey + 1) % 7 AS VARCHAR), 5, '0') ELSE '' END AS zip FROM customer),
+c AS ({_CAND.format(str='VARCHAR')} FROM (SELECT c_custkey AS k, unnest(range(c_custkey % 4)) AS i FROM customer)),
+g AS (SELECT DISTINCT lon, lat, CASE WHEN lon <> '5' THEN 'Town' || lon || ', CA' END AS city, CASE WHEN lon = '7' THEN 'NV' ELSE 'CA' END AS found, CASE WHEN lon = '3' THEN ['place not known'] ELSE [] END AS problems FROM c),
+e AS (SELECT * FROM c LEFT JOIN g USING (lon, lat)), n AS (SELECT k, count(*) AS n, count(DISTINCT coalesce(city, '')) AS towns, arg_min(source, nth) AS source FROM e GROUP BY k),
+x AS (SELECT a.k, e.* EXCLUDE (k) FROM a JOIN e USING (k) QUALIFY row_number() OVER (PARTITION BY a.k ORDER BY CASE WHEN a.zip <> '' AND right(matched, 5) = a.zip THEN 0 ELSE 1 END, nth) = 1),
+j AS (SELECT a.*, a.postal_city || ', ' || a.state AS postal, coalesce(n.n, 0) AS n, n.towns > 1 AS several, n.source AS first_source, CASE WHEN n.towns = 1 THEN x END AS x FROM a LEFT JOIN n USING (k) LEFT JOIN x USING (k)),
+m AS (SELECT *, CAST(regexp_extract(postal_city, '[0-9]+') AS INTEGER) < 8 AND state = 'CA' AS known, x IS NOT NULL AND x.found IS DISTINCT FROM state AS other_state FROM j),
+r AS (SELECT *, x IS NOT NULL AND NOT other_state AND x.city IS NOT NULL AND known AND postal <> x.city AS other_city FROM m)
+SELECT k AS address_id, CASE WHEN n = 0 THEN CASE WHEN known THEN postal END WHEN NOT other_state THEN x.city END AS city, x.lon AS lon, x.lat AS lat,
+CASE WHEN n = 0 OR several OR other_state THEN 'low' WHEN len(x.problems) > 0 OR other_city THEN 'medium' WHEN first_source = 'batch' AND x.exact THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN n = 0 THEN 'postal' ELSE first_source END AS source,
+array_to_string([y FOR y IN list_concat(list_concat([CASE WHEN n = 0 THEN CASE WHEN known THEN 'no match: postal city, unverified' ELSE 'no match: postal city has no rules' END END, CASE WHEN several THEN 'matches in different cities' END, CASE WHEN other_state THEN 'another state' END], coalesce(x.problems, [])), [CASE WHEN other_city THEN 'postal city is another one' END]) IF y IS NOT NULL], '|') AS reasons FROM r"""
+
+
+@query(SQL_PARCELS)
+def parcel_decisions(spark, sf):
+    """Every customer's address decided from none to three geocoder answers, their geographies asked once a point."""
+    k = F.col("c_custkey")
+    customers = table(spark, sf, "customer")
+    zip_ = F.when(k % 3 == 0, F.lpad(((k + 1) % 7).cast("string"), 5, "0")).otherwise("")
+    addresses = customers.select(k.alias("address_id"), F.concat(F.lit("Town"), k % 12).alias("postal_city"), F.when(k % 13 == 0, "NJ").otherwise("CA").alias("state"), zip_.alias("zip"))
+    each = customers.select(k.alias("k"), F.explode(F.when(k % 4 > 0, F.sequence(F.lit(0), (k % 4 - 1).cast("int")))).alias("i"))
+    candidates = each.selectExpr("k AS address_id", *[f"{e} AS {n}" for e, n in (("i", "nth"), ("CASE WHEN k % 4 = 1 THEN 'retry' ELSE 'batch' END", "source"), ("(k + i) % 3 = 0", "exact"), ("k || ' Main St, ' || lpad(CAST((k + i) % 7 AS STRING), 5, '0')", "matched"), ("CAST((k + i * (k % 2)) % 10 AS STRING)", "lon"), ("CAST(k % 90 AS STRING)", "lat"))])
+    problems = F.when(F.col("lon") == "3", F.array(F.lit("place not known"))).otherwise(F.array().cast("array<string>"))
+    places = pc.distinct_points(candidates).select("lon", "lat", F.when(F.col("lon") != "5", F.concat(F.lit("Town"), "lon", F.lit(", CA"))).alias("city"), F.when(F.col("lon") == "7", "NV").otherwise("CA").alias("state"), problems.alias("problems"))
+    cities = spark.range(8).select(F.concat(F.lit("Town"), "id", F.lit(", CA")).alias("city"))
+    return pc.decided(addresses, candidates, places, cities).withColumn("reasons", F.array_join("reasons", "|"))
+
+
+SQL_REGISTRY = """WITH b AS (SELECT DISTINCT 'u' || (doc_id % 700) AS url, sha256(coalesce(text, '')) AS sha, CASE WHEN doc_id % 5 = 0 THEN 'Paris, FR' WHEN doc_id % 5 = 1 THEN 'FR' WHEN doc_id % 5 = 2 THEN 'Berlin, DE' WHEN doc_id % 5 = 3 THEN 'nowhere' END AS given FROM documents WHERE doc_id % 3 <> 1),
+e AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS sha, 'u' || (doc_id % 700) AS url, CASE WHEN doc_id % 2 = 0 THEN 'FR' ELSE 'Paris, FR' END AS jurisdiction FROM documents WHERE doc_id % 3 <> 0),
+m AS (SELECT 'u' || doc_id AS url, CASE WHEN doc_id % 2 = 0 THEN 'FR' ELSE 'Lyon, FR' END AS jurisdiction, doc_id % 4 = 0 AS has_text FROM documents WHERE doc_id % 6 = 0),
+rows AS (SELECT url, sha, min(given) AS given FROM b GROUP BY ALL), ks AS (SELECT sha, min(struct_pack(id := id, url := url, jurisdiction := jurisdiction)) AS k FROM e GROUP BY sha), ku AS (SELECT url, min(sha) AS other FROM e GROUP BY url), km AS (SELECT url, bool_or(has_text) AS has_text, list_sort(list_distinct(list(jurisdiction))) AS told FROM m GROUP BY url),
+j AS (SELECT *, coalesce(given, CASE WHEN len(told) = 1 THEN told[1] END) AS jurisdiction, row_number() OVER (PARTITION BY url ORDER BY sha) AS nth, row_number() OVER (PARTITION BY sha ORDER BY url) AS mth FROM rows LEFT JOIN ks USING (sha) LEFT JOIN ku USING (url) LEFT JOIN km USING (url)),
+d AS (SELECT *, CASE WHEN k IS NOT NULL AND k.url <> url THEN 'content is known under another address' WHEN k IS NOT NULL AND given IS NOT NULL AND given <> k.jurisdiction THEN 'registered with another jurisdiction' WHEN k IS NOT NULL THEN NULL WHEN other IS NOT NULL THEN 'address has another content' WHEN has_text THEN 'the manifest has this document'
+    WHEN nth > 1 THEN 'address comes with another content' WHEN mth > 1 THEN 'content comes under another address' WHEN jurisdiction IS NULL THEN 'jurisdiction unknown' WHEN NOT regexp_matches(jurisdiction, '^(?:[^,]+, )?[A-Z]{2}$') THEN 'no such jurisdiction' WHEN jurisdiction LIKE '%DE' THEN 'state not in the manifest'
+    WHEN told IS NOT NULL AND NOT list_contains(told, jurisdiction) THEN 'differs from the manifest''s' END AS no FROM j),
+n AS (SELECT *, CASE WHEN no IS NOT NULL THEN 'refused' WHEN k IS NOT NULL THEN 'registered' ELSE 'new' END AS decision FROM d)
+SELECT url, sha, decision, CASE WHEN decision = 'registered' THEN k.id WHEN decision = 'new' THEN 1000000 + count(*) FILTER (decision = 'new') OVER (ORDER BY sha, url ROWS UNBOUNDED PRECEDING) END AS id, CASE WHEN decision = 'registered' THEN k.jurisdiction ELSE jurisdiction END AS jurisdiction,
+coalesce(no, CASE WHEN k IS NOT NULL THEN 'registered before' WHEN told IS NOT NULL THEN 'supplies a text that the manifest lacks' END) AS note, 7::BIGINT AS batch FROM n"""
+
+
+@query(SQL_REGISTRY)
+def registry_decisions(spark, sf):
+    """Two thirds of the documents as a batch against a registry of two thirds and a manifest: known, refused with why, or new with an id."""
+    k, docs = F.col("doc_id"), table(spark, sf, "documents")
+    url = F.concat(F.lit("u"), k % 700)
+    given = F.when(k % 5 == 0, "Paris, FR").when(k % 5 == 1, "FR").when(k % 5 == 2, "Berlin,  DE").when(k % 5 == 3, "nowhere")
+    batch = docs.where("doc_id % 3 <> 1").select(url.alias("url"), "text", given.alias("jurisdiction"))
+    entries = docs.where("doc_id % 3 <> 0").select(k.alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), url.alias("url"), F.when(k % 2 == 0, "FR").otherwise("Paris, FR").alias("jurisdiction"))
+    manifest = docs.where("doc_id % 6 = 0").select(F.concat(F.lit("u"), k).alias("url"), F.when(k % 2 == 0, "FR").otherwise("Lyon, FR").alias("jurisdiction"), (k % 4 == 0).alias("has_text"))
+    return rg.decided(batch, entries, manifest, 1_000_000, 7)

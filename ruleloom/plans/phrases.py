@@ -36,9 +36,19 @@ def span_normalised(spark, sf):
     return docs.select("doc_id", "begin", ph.find_normalised(F.col("text"), quote).cast("long").alias("start"))
 
 
+def headed(spark, sf):
+    """Every document under a heading of its own, every third with a second one in the middle."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    middle = F.concat(F.substring("text", F.lit(1), half), F.lit("\nSECTION 4. Terms of use\n"), F.substring(F.col("text"), half + 1, F.length("text")))
+    text = F.concat(F.lit("§ "), F.col("doc_id"), F.lit(" Scope\n"), F.when(F.col("doc_id") % 3 == 0, middle).otherwise(F.col("text")))
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("text") != "", text).otherwise(F.col("text")).alias("text"))
+
+
 @query()
 def chunk_docs(spark, sf):
-    return chunk(table(spark, sf, "documents"), longest=2000, overlap=200)
+    """Chunks of every whole document with their headings, what was dropped, and a digest of what is sent on; tests hold them to a plain reading."""
+    rows = chunk(headed(spark, sf), longest=2000, overlap=200)
+    return rows.withColumn("dropped", F.size("dropped").cast("long")).withColumn("prompt", F.md5(F.col("prompt").cast("binary")))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN a >= b AND a > 0 THEN 'article' WHEN b > 0 THEN 'preposition' ELSE 'none' END AS intent FROM (SELECT conv_id, turn, len([w FOR w IN string_split_regex(lower(text), '[^\p{L}]+') IF w IN ('the', 'la', 'der', 'les')]) AS a, 2 * len([w FOR w IN string_split_regex(lower(text), '[^\p{L}]+') IF w IN ('of', 'de', 'von', 'para')]) AS b FROM conversations WHERE role = 'user')""")

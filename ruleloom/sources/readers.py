@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sinks import refuse
+
 MANIFEST = "doc_id string, jurisdictions string, url string, source_type string, capture string, retrieved_at string, sha256 string, text_file string, status string"
 ADDRESSES = "address_id string, street_address string, postal_city string, state string, zip string, year_built string, units string, use_code string, use_description string, source_dataset string, retrieved_at string"
 AUDIT = "ts string, stage string, decision string, reason string, detail string"
@@ -68,15 +70,22 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_checked(df: DataFrame, problems: DataFrame, path: str) -> None:
-    """Writes only if ``problems`` has no row; the old table stays until the new one is whole."""
-    found = problems.limit(5).collect()
-    if found:
-        raise ValueError("not written: " + "; ".join(str(r[0]) for r in found))
-    new = f"{path.rstrip('/')}.new"
+    """Writes only if ``problems`` has no row.
+
+    The new table is whole before the old one steps aside (as ``path.old``) and is deleted last; if
+    the new one can't take its place the old one returns.
+    """
+    refuse(problems)
+    new, aside = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     df.write.mode("overwrite").parquet(new)
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    at, made = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
+    at, made, old = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, new, aside))
     system = at.getFileSystem(conf)
-    system.delete(at, True)
+    if system.exists(at):
+        system.delete(old, True)
+        if not system.rename(at, old):
+            raise OSError(f"{path} could not be moved aside")
     if not system.rename(made, at):
+        system.rename(old, at)
         raise OSError(f"{new} could not be moved to {path}")
+    system.delete(old, True)
