@@ -41,7 +41,11 @@ def _hits_of(words: Column, key: str, phrase: str) -> Column:
 
 def phrase_hits(words: Column, phrases: list[tuple[str, str]]) -> Column:
     """``(len, start, key)`` of each place where a phrase of the lexicon stands; the lexicon, ``(key, phrase)``, is a constant of the caller."""
-    return F.flatten(F.array(*[_hits_of(words, key, phrase) for key, phrase in phrases]))
+    none = F.array().cast("array<struct<len:int,start:int,key:string>>")
+    # a phrase's places are looked for only where one compiled look at the text finds it
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    stands = lambda phrase: text.contains(" " + phrase.split()[0]) & text.rlike(" " + " ".join(w if len(w) < 4 else w + "[^ ]*" for w in phrase.split()) + " ")
+    return F.flatten(F.array(*[F.when(stands(phrase), _hits_of(words, key, phrase)).otherwise(none) for key, phrase in phrases]))
 
 
 def greedy(hits: Column) -> Column:

@@ -242,3 +242,82 @@ def test_what_a_text_says_of_other_rules(spark, text, marks):
     names = ("DEFERS", "OVERRIDES", "STRICTER_ONLY", "CONDITIONAL")
     got = row.select(*[wd.says(wd.spelled(F.col("text")), getattr(rel, n)).alias(n) for n in names]).first()
     assert {n for n in names if got[n]} == marks
+
+
+def _answer(r, words, rows):
+    from ruleloom.functions import answers as an
+    from ruleloom.sources.views import CATEGORIES as every
+
+    def shared(row):
+        long = lambda ws: [w for w in ws if len(w) >= 4 and w not in qs.STOPWORDS]
+        mine, theirs = set(long(words)), long(_tokens(row.title))
+        return sum(any(w.startswith(t) or t.startswith(w) for w in theirs) for t in mine)
+
+    rank = lambda xs: sorted(xs, key=lambda x: (an.ORDER.index(x.result), -shared(x), x.level != "city", x.rule_id))
+    count = lambda xs: ", ".join(f"{n} {an.SAID[k]}" for k in an.ORDER if (n := sum(x.result == k for x in xs)))
+    facts = lambda xs: list(dict.fromkeys(f for x in xs if x.result == "unknown" for f in x.missing))
+    held = [x for x in rows if x.result != "pending"]
+    of = {c: [x for x in held if x.category == c] for c in every}
+    sure = [c for c in every if any(x.result == "applies" for x in of[c])]
+    cats = [f"category:{c}" for c in sure + [c for c in every if of[c] and c not in sure]]
+    special = ["why_unknown"] * any(x.result == "unknown" for x in rows) + ["upcoming"] * any(x.result in ("pending", "not_yet_effective") for x in rows) + ["conflict"] * any(x.conflict for x in rows)
+    offered = (["overview"] * bool(rows) + cats[:2] + special + cats[2:] + ["jurisdiction"])[:6]
+    kind, cat, place = r.kind, r.category, r.place or "here"
+    mine = [x for x in rows if cat is None or x.category == cat]
+    lead, cited, missing, most = "no rule of this building answers that", [], [], 3
+    if kind == "category":
+        some = [x for x in mine if x.result != "pending"]
+        cited = rank(some)
+        missing = facts(cited[:3])
+        lead = f"{place}: {len(some)} on {cat} ({count(some)}); first Sec. {cited[0].rule_id}" + ", under review" * cited[0].conflict if some else f"{place}: nothing on {cat}"
+    elif kind == "why_unknown":
+        cited = rank([x for x in mine if x.result == "unknown"])
+        missing = facts([x for x in mine if x.result == "unknown"])
+        lead = f"{len(cited)} unknown" if cited else "nothing is unknown"
+    elif kind == "upcoming":
+        later, proposed = [x for x in mine if x.result == "not_yet_effective"], [x for x in mine if x.result == "pending"]
+        dated = sorted((x for x in later if x.effective), key=lambda x: (x.effective, x.rule_id))
+        cited = dated + [x for x in later if not x.effective] + rank(proposed)
+        lead = f"{len(later)} not yet in effect, {len(proposed)} proposed" + (f"; next {dated[0].effective}, Sec. {dated[0].rule_id}" if dated else "") if cited else "nothing is to come"
+    elif kind == "conflict":
+        cited = rank([x for x in mine if x.conflict and x.result != "pending"])
+        lead = f"{len(cited)} in conflict" if cited else "nothing is in conflict"
+    elif kind == "jurisdiction":
+        city, state = [x for x in held if x.level == "city"], [x for x in held if x.level == "state"]
+        cited, lead = rank(city)[:1] + rank(state)[:1], f"{place}: {len(state)} of the state, {len(city)} of the city"
+    elif kind == "overview":
+        cited, most = [rank(of[c])[0] for c in every if of[c]], 6
+        lead = f"{place}: rules in {len(cited)} of 6 categories ({count(held)})" if held else f"{place}: no rule"
+    own = f"category:{cat}" if kind == "category" else kind
+    after = offered if kind == "no_match" else [x for x in offered if x != own][:3]
+    return lead, ",".join(str(x.rule_id) for x in cited[:most]), ",".join(missing), ",".join(after)
+
+
+def test_question_answers(spark, sf_dir):
+    lookups = {r.address_id: r for r in questions.looked_up(spark, sf_dir).collect()}
+    intents = {(r.conv_id, r.turn): r for r in QUERIES["question_intents"](spark, sf_dir).collect()}
+    texts = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    from types import SimpleNamespace
+
+    got = QUERIES["question_answers"](spark, sf_dir).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        found = lookups.get(r.address_id)
+        about = SimpleNamespace(kind=intents[r.conv_id, r.turn].kind, category=intents[r.conv_id, r.turn].category, place=found and found.place)
+        assert r.kind == about.kind and (r.lead, r.cited, r.missing, r.next) == _answer(about, _tokens(texts[r.conv_id, r.turn]), found.rows if found else []), r
+    assert len({r.kind for r in got}) >= 4
+
+
+@pytest.mark.parametrize("kind", ["category", *questions.KINDS])
+def test_every_kind_of_answer(spark, sf_dir, kind):
+    from types import SimpleNamespace
+
+    from ruleloom.functions import answers as an
+    from ruleloom.sources.views import CATEGORIES as every
+
+    category = "deposit" if kind in ("category", "upcoming") else None
+    words = ["que", "mente", "invention", "deposits"]
+    x = an.answer(F.lit(kind), F.lit(category).cast("string"), F.col("rows"), F.array(*map(F.lit, words)), F.col("place"), every)
+    for r in questions.looked_up(spark, sf_dir).select("place", "rows", x.alias("x")).collect():
+        lead, cited, missing, after = _answer(SimpleNamespace(kind=kind, category=category, place=r.place), words, r.rows)
+        assert (r.x.lead, ",".join(map(str, r.x.cited)), ",".join(r.x.missing), ",".join(r.x.next)) == (lead, cited, missing, after)
