@@ -1,3 +1,3 @@
 """Queries by name; importing this package registers them all."""
 
-from . import candidates, changes, corpus, documents, links, matching, phrases, questions, relations, rules, serving, temporal, trees, wording  # noqa: F401
+from . import candidates, changes, corpus, documents, links, matching, phrases, questions, records, relations, rules, serving, temporal, trees, wording  # noqa: F401
