@@ -28,6 +28,8 @@ from .storage import written
 SHARD_NODES = 16_384
 MIN_SHARDS = 6
 QUERY_BLOCK = 256
+#: Blocks of queries that meet a shard in one task, about.
+GROUPED = 64
 #: Edges that a node chooses on a level, and most that it keeps with those back; nodes it chooses from; most nodes inserted at once.
 CHOSEN, KEPT, NEAR, INSERTED = 16, 32, 64, 256
 #: Nodes in the beam of a search, and those of them that are left at once.
@@ -189,6 +191,12 @@ def search(vectors: np.ndarray, graph: list[tuple[np.ndarray, np.ndarray]], quer
     return _beam(vectors, every, entry, queries, beam, n)[0]
 
 
+def _single(vectors: np.ndarray, axis: int | None) -> np.ndarray:
+    """In single precision; all together, or each row, are scaled where components are too large for products, or too small to keep."""
+    most = np.abs(vectors).max(axis=axis, keepdims=True, initial=np.finfo(float).tiny)
+    return (vectors / np.where(most > 1e15, most / 1e15, np.where(most < 1e-9, most, 1.0))).astype(np.float32)
+
+
 def _usable(vector: Column) -> Column:
     """Not null, finite throughout, and not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -224,7 +232,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         d = shard["d"][0].as_py()
         exact = np.frombuffer(b"".join(shard["raw"].to_pylist()), "<f8").reshape(-1, d)
         ids = shard["ids"].combine_chunks()
-        graph = build(exact.astype(np.float32))
+        graph = build(_single(exact, None))
         owners = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype("<i8")
         row = {
             "d": [d], "s": [shard["s"][0].as_py()], "vectors": [exact.tobytes()], "owners": [owners.tobytes()], "ids": [ids.flatten().to_numpy().astype("<i8").tobytes()],
@@ -246,31 +254,36 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     blocks = blocks.groupBy("d", "b").agg(F.collect_list(F.struct("id", "raw")).alias("q"))
     blocks = written(blocks.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "hnsw-queries")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                d, q, raw, owners, ids, levels, near = (batch.column(i)[row] for i in range(7))
-                d, asks = d.as_py(), q.values
-                exact = np.frombuffer(raw.as_buffer(), "<f8").reshape(-1, d)
-                owner, names = np.frombuffer(owners.as_buffer(), "<i8"), np.frombuffer(ids.as_buffer(), "<i8")
-                graph = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(b.as_buffer(), "<i4").reshape(-1, KEPT)) for a, b in zip(levels.values, near.values, strict=True)]
-                own = asks.field("id").to_numpy(zero_copy_only=False)
-                vec = np.stack([np.frombuffer(x, "<f8") for x in asks.field("raw").to_pylist()])
-                found = search(exact.astype(np.float32), graph, vec.astype(np.float32), max(BEAM, k + 1))
-                out_q, out_i, out_s = [], [], []
+    hit_schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+    def find(asks: pa.Table, shard: pa.Table) -> pa.Table:
+        out_q, out_i, out_s = [], [], []
+        for row in shard.to_batches(max_chunksize=1):
+            d, raw, owners, ids, levels, near = (row.column(name)[0] for name in ("d", "vectors", "owners", "names", "levels", "near"))
+            exact = np.frombuffer(raw.as_buffer(), "<f8").reshape(-1, d.as_py())
+            points = _single(exact, None)
+            owner, names = np.frombuffer(owners.as_buffer(), "<i8"), np.frombuffer(ids.as_buffer(), "<i8")
+            graph = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(b.as_buffer(), "<i4").reshape(-1, KEPT)) for a, b in zip(levels.values, near.values, strict=True)]
+            for block in (q for chunk in asks["q"].chunks for q in chunk):
+                own = block.values.field("id").to_numpy(zero_copy_only=False)
+                vec = np.stack([np.frombuffer(x, "<f8") for x in block.values.field("raw").to_pylist()])
+                found = search(points, graph, _single(vec, 1), max(BEAM, k + 1))
                 for i in range(len(own)):
                     hit = found[i][found[i] >= 0]
-                    score = exact[hit] @ vec[i]
-                    many = owner[hit + 1] - owner[hit]
+                    score = np.repeat(exact[hit] @ vec[i], owner[hit + 1] - owner[hit])
                     every = np.concatenate([names[owner[h] : owner[h + 1]] for h in hit])
-                    score = np.repeat(score, many)
                     score, every = score[every != own[i]], every[every != own[i]]
                     order = np.lexsort((every, -score))[:k]
                     out_q.append(np.full(len(order), own[i]))
                     out_i.append(every[order])
                     out_s.append(score[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
-
-    hits = blocks.join(index.withColumnsRenamed({"ids": "names"}), ["d", "s"]).select("d", "q", "vectors", "owners", "names", "levels", "near").mapInArrow(find, "query_id long, id long, score double")
+        none = [np.zeros(0)]
+        return pa.Table.from_arrays([pa.array(np.concatenate(x or none), t) for x, t in ((out_q, pa.int64()), (out_i, pa.int64()), (out_s, pa.float64()))], schema=hit_schema)
+
+    # a shard goes once to each group of blocks, and is read once there
+    groups = max(1, -(-asked.count() // (QUERY_BLOCK * GROUPED)))
+    group = F.pmod("b", F.lit(groups)).alias("g")
+    there = index.withColumnRenamed("ids", "names").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    hits = blocks.select("d", "s", group, "q").groupBy("d", "s", "g").cogroup(there.groupBy("d", "s", "g")).applyInArrow(find, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

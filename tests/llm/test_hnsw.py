@@ -76,3 +76,15 @@ def test_recall_on_the_whole_table(spark, sf_dir):
     for q, found in got.items():
         for i, score in found:
             assert abs(score - float(np.dot(np.array(exact[q], float), np.array(exact[i], float)))) < 1e-12
+
+
+@pytest.mark.parametrize("size", [1e-200, 1.0, 1e150])
+def test_components_beyond_single_precision_and_groups_of_blocks(spark, monkeypatch, size):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(900, 6)) * size
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    monkeypatch.setattr(hnsw, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(hnsw, "GROUPED", 2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = _got(hnsw.nearest(df, df.where("vec_id % 20 = 0"))), _brute(rows, rows[::20], 20)
+    assert got.keys() == want.keys() and all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want)
