@@ -31,6 +31,8 @@ from .storage import written
 from .word_bpe import END_OF_WORD, LONG, SETTLED, Memory, WordSplitter, byte_characters, each_text, in_small_batches, join_words, library_of, settled_words
 
 MAGIC = b"RLTOK001"
+#: Words and chunks that a Python worker remembers between batches, twice over.
+KEPT_WORDS, KEPT_CHUNKS = 200_000, 600_000
 #: Ids after which a task begins another file.
 IDS_PER_FILE = 8_000_000
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
@@ -124,7 +126,7 @@ class LibraryEncoder:
         vocabulary = library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(END_OF_WORD)]] = True
-        self.words, self.mapped, self.chunks = Memory(), Memory(), Memory()
+        self.words, self.mapped, self.chunks = Memory(), Memory(KEPT_WORDS), Memory(KEPT_CHUNKS)
         # the character that stands for a zero byte is a word that only a zero byte makes
         self.between, self.between_id = self.chars[0], vocabulary[self.chars[0] + END_OF_WORD]
         self.shown = {k: "".join([self.chars[b] for b in chr(k).encode()]) for k in range(ord(SETTLED)) if chr(k) not in " \n" and not (k < 128 and chr(k).isprintable())}

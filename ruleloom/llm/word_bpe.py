@@ -52,7 +52,8 @@ def byte_characters() -> list[str]:
 class Memory:
     """What was found for keys met before, in two generations: keys met again since the last turn live on."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = REMEMBERED) -> None:
+        self.most = most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -65,7 +66,7 @@ class Memory:
         return new
 
     def turn(self) -> None:
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.most:
             self.old, self.young = self.young, {}
 
 
