@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shingles import Slice, shingles, slices
+from .worker import begin
 
 WIDTH = 5
 CONTAINMENT = 0.8
@@ -148,6 +149,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            begin()
             index = ItemIndex(shipped.value)
             item_arrow = pa.array(index.ids).type
             for batch in batches:
@@ -173,6 +175,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "tex
         shipped = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            begin()
             index = ItemIndex(shipped.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)

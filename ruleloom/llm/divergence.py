@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import written
+from .worker import begin
 
 #: Parts that a group's words share among them.
 SCALE = 1_000_000_000
@@ -50,6 +51,7 @@ def words(raw: bytes) -> list[bytes]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums over distinct texts, each weighted by the copies a source has of it."""
+    begin()
     counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
     docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])

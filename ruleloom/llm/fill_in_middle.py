@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .word_bpe import in_small_batches
+from .worker import begin
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Bits of a place that stand inside a container.
@@ -121,6 +122,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 7, rate: int = 100, spm: int = 5
     schema = pa.schema([("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             own = pa.schema([pa.field("id", batch.schema.field(0).type), *schema])
             rows = ((key.as_py(), *transformed(shown.as_py(), text.as_py() or "", seed, rate, spm)) for key, shown, text in zip(*batch.columns, strict=True))

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from .mincut import minimum_cut
 from .word_bpe import in_small_batches
+from .worker import begin
 
 # Names of HTML elements, and words that authors put in class, id and role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -323,6 +324,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     fields = [T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             schema = pa.schema([pa.field("id", batch.schema.field(0).type), pa.field("url", batch.schema.field(1).type), pa.field("text", pa.string())])
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (main_text(x.as_py()) for x in batch.column(2)), strict=True)

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .shingles import SLICE_BYTES
 from .storage import written
+from .worker import begin
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 13
@@ -72,6 +73,7 @@ def text_model(df: DataFrame, text_col: str, declared: Column, languages: tuple[
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         totals = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             label = pc.fill_null(pc.index_in(batch.column(0), pa.array(languages)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -142,6 +144,7 @@ def identify(
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             scores = text_scores(batch.column(3), shipped.value)
             top = np.where(scores.any(axis=1), scores.argmax(axis=1), len(languages))  # without a trigram the text says nothing
@@ -181,6 +184,7 @@ def identify(
     out = T.StructType([*wide.schema.fields[:text_at], T.StructField("_scores", T.ArrayType(T.DoubleType()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             scores = text_scores(batch.column(text_at), shipped.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(scores) + 1) * scores.shape[1], pa.int32()), pa.array(scores.reshape(-1)))

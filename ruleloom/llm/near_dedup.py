@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from .components import components
 from .shingles import mix, shingles, slices
 from .storage import discard, written
+from .worker import begin
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -151,6 +152,7 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     for batch in batches:
         for s in slices(batch.column(2)):
             h, begins = shingles(s, WIDTH)
@@ -165,6 +167,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for s in slices(column):
             text, h, weight = weighted(*shingles(s, WIDTH))
@@ -184,6 +187,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    begin()
     for batch in batches:
         node = batch.column(0).to_numpy()
         for s in slices(batch.column(1)):

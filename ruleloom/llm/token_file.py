@@ -29,6 +29,7 @@ from pyspark.sql.window import Window
 
 from .storage import written
 from .word_bpe import END_OF_WORD, LONG, SETTLED, Memory, WordSplitter, byte_characters, each_text, in_small_batches, join_words, library_of, settled_words
+from .worker import kept
 
 MAGIC = b"RLTOK001"
 #: Words and chunks that a Python worker remembers between batches, twice over.
@@ -177,14 +178,9 @@ class LibraryEncoder:
         return [ids.tobytes() for ids in each_text(texts, self.chunks, self.learn)]
 
 
-_libraries: dict[str, LibraryEncoder] = {}
-
-
 def library_for(path: str) -> LibraryEncoder:
-    """One encoder a Python worker, kept between tasks."""
-    if path not in _libraries:
-        _libraries[path] = LibraryEncoder(path)
-    return _libraries[path]
+    """One encoder a Python worker, kept between the tasks of a stage."""
+    return kept(("library", path), lambda: LibraryEncoder(path))
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

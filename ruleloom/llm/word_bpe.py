@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .worker import kept
+
 END_OF_WORD = "</w>"  # fixed value of the tokenizer's file format
 
 #: Words (and chunks) that a Python worker remembers between batches, twice over: see Memory.
@@ -52,8 +54,8 @@ def byte_characters() -> list[str]:
 class Memory:
     """What was found for keys met before, in two generations: keys met again since the last turn live on."""
 
-    def __init__(self, most: int = REMEMBERED) -> None:
-        self.most = most
+    def __init__(self, most: int | None = None) -> None:
+        self.most = REMEMBERED if most is None else most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -319,14 +321,9 @@ def each_text(column: pa.Array | list[str | None], chunks: Memory, learn: Callab
             yield ids[begins[k] : begins[k + 1]]
 
 
-_encoders: dict[str, TrieEncoder] = {}
-
-
 def encoder_for(path: str) -> TrieEncoder:
-    """One encoder a Python worker, kept between tasks."""
-    if path not in _encoders:
-        _encoders[path] = TrieEncoder(path)
-    return _encoders[path]
+    """One encoder a Python worker, kept between the tasks of a stage."""
+    return kept(("trie", path), lambda: TrieEncoder(path))
 
 
 def in_small_batches(rows: Iterable[tuple], schema: pa.Schema, weigh: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
