@@ -50,7 +50,8 @@ def test_any_characters_get_the_ids_of_the_library_on_the_whole_text(library):
 
 
 def test_memory_keeps_what_is_met_again_and_forgets_long_words(monkeypatch):
-    monkeypatch.setattr("ruleloom.llm.word_bpe.REMEMBERED", 3)
+    for name in ("word_bpe.REMEMBERED", "token_file.KEPT_WORDS", "token_file.KEPT_CHUNKS"):
+        monkeypatch.setattr(f"ruleloom.llm.{name}", 3)
     coder = LibraryEncoder(PATH)
     once = coder.encode_texts(["same " + "x" * 300])
     for k in range(20):
