@@ -42,8 +42,8 @@ FREQUENT = 65_536
 #: Tokens of the sample that sets the weights training starts from, at most; documents in it, about.
 START_TOKENS = 300_000
 START_DOCUMENTS = 3000
-#: Tokens of a share of the training documents, at least; shares, at most. Each share trains a model of its own.
-SHARE_TOKENS, SHARES = 1 << 20, 4096
+#: Tokens of a share of the training documents: the least, held until there are SHARES of them, and the most that one task learns from in a row.
+SHARE_TOKENS, SHARES, MOST_TOKENS = 1 << 20, 4096, 1 << 24
 #: Models averaged at a time; runs side by side while a share is learned from.
 FAN = 16
 SHARE_LANES = 256
@@ -219,7 +219,7 @@ def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
             if seen:
                 yield row(share, total / seen, seen)
 
-    shares = min(SHARES, max(1, -(-v.total // SHARE_TOKENS)))
+    shares = max(1, min(SHARES, -(-v.total // SHARE_TOKENS)), -(-v.total // MOST_TOKENS))
     dealt = hashed.withColumn("share", F.pmod("order", F.lit(shares))).repartition("share").sortWithinPartitions("share", "order", "text")
     learned = dealt.select("share", "text").mapInArrow(go_on, schema)
     while shares > 1:  # a level a job; no task and no driver sees more than FAN models at once
