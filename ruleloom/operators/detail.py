@@ -52,3 +52,32 @@ def rule_details(rules: DataFrame, docs: DataFrame, answers: DataFrame) -> DataF
     )
     said = answers.groupBy("rule_id").agg(*[F.max(F.when(F.col("role") == role, F.col("answer"))).alias(role) for role in ("tenant", "owner")])
     return rows.join(said, "rule_id", "left")
+
+
+def guarded_answers(rules: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``(rule_id, role, answer, state)`` of every summary: shown only while it is of the very quote that the rule has now.
+
+    ``rules(rule_id, quoted_span)``, ``summaries(rule_id, role, answer, quote_sha)``. An answer whose digest is of another quote
+    is stale and hidden, one of a rule that is gone is an orphan; one without words is empty.
+    """
+    now = rules.select("rule_id", F.sha2(F.coalesce("quoted_span", F.lit("")), 256).alias("_now"))
+    rows = summaries.join(now, "rule_id", "left")
+    state = F.when(F.col("_now").isNull(), "orphan").when(~F.col("quote_sha").eqNullSafe(F.col("_now")), "stale").when(F.trim(F.coalesce("answer", F.lit(""))) == "", "empty").otherwise("shown")
+    return rows.select("rule_id", "role", F.when(state == "shown", F.col("answer")).alias("answer"), state.alias("state"))
+
+
+def audit_of(rules: DataFrame, lines: DataFrame) -> DataFrame:
+    """``(rule_id, line_id, stage)``: the audit lines that are about a rule as it stands.
+
+    ``rules(rule_id, candidates, chunks, docs)`` with arrays of ids; ``lines(line_id, stage, rule_id, candidates, chunk_id,
+    doc_id)``. A verify line counts for its rule, unless it names candidates of which the
+    rule has none; an extract line for the rules of its chunk; an ingest line for those of its document; other stages for none.
+    Each stage is an equi-join on its own key.
+    """
+    verify = lines.where("stage = 'verify'").select("line_id", "stage", "rule_id", F.col("candidates").alias("_named"))
+    own = rules.select("rule_id", F.coalesce("candidates", F.array().cast("array<string>")).alias("_own"))
+    some = (F.coalesce(F.size("_named"), F.lit(0)) <= 0) | (F.size("_own") == 0) | F.arrays_overlap("_own", "_named")
+    by_rule = verify.join(own, "rule_id").where(some).select("rule_id", "line_id", "stage")
+    by_chunk = rules.select("rule_id", F.explode(F.array_distinct("chunks")).alias("chunk_id")).join(lines.where("stage = 'extract'").select("line_id", "stage", "chunk_id"), "chunk_id").select("rule_id", "line_id", "stage")
+    by_doc = rules.select("rule_id", F.explode(F.array_distinct("docs")).alias("doc_id")).join(lines.where("stage = 'ingest'").select("line_id", "stage", "doc_id"), "doc_id").select("rule_id", "line_id", "stage")
+    return by_rule.union(by_chunk).union(by_doc)

@@ -38,6 +38,24 @@ def snapshots(rows: DataFrame, rank) -> DataFrame:
     return rows.groupBy("address_id", "as_of", "category").agg(F.min_by("result", rank).alias("result"), F.bool_or("conflict").alias("conflict"), F.count("*").alias("n"))
 
 
+def code_of(best: DataFrame, keys: list[str], results: tuple[str, ...]) -> DataFrame:
+    """``(*keys, code)``: a snapshot as one string, two signs a category in order: its number, and a letter for result and conflict.
+
+    ``best(*keys, category, result, conflict)`` with one row a category, whose numbers are below 10.
+    """
+    rank = F.array_position(F.array(*map(F.lit, results)), F.col("result"))
+    sign = F.concat(F.col("category").cast("string"), F.chr(95 + 2 * rank + F.when(F.col("conflict"), 1).otherwise(0)))
+    return best.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(sign)), "").alias("code"))
+
+
+def decoded(codes: DataFrame, keys: list[str], results: tuple[str, ...]) -> DataFrame:
+    """``(*keys, category, result, conflict)`` back from :func:`code_of`'s strings; an empty or null code has no row."""
+    signs = codes.select(*keys, F.explode(F.regexp_extract_all("code", F.lit("[0-9][a-z]"), 0)).alias("sign"))
+    place = F.ascii(F.substring("sign", 2, 1)) - 97
+    result = F.element_at(F.array(*map(F.lit, results)), (F.floor(place / 2) + 1).cast("int"))
+    return signs.select(*keys, F.substring("sign", 1, 1).cast("int").alias("category"), result.alias("result"), (place % 2 == 1).alias("conflict"))
+
+
 def affected(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Addresses whose set of (rule, result) differs between two days: one grouped pass, no self-join."""
     side = lambda d: F.sort_array(F.collect_list(F.when(F.col("as_of") == F.lit(d).cast("date"), F.struct("rule_id", "result"))))

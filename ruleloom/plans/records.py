@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contracts as ct
+from ..operators import detail as dt
 from ..operators import facts as fc
 from ..operators import test_ids as ti
 from ..sources.readers import table
@@ -98,3 +99,29 @@ def rule_problems(spark, sf):
     """All that is wrong with rule records made of the parts: forms, values, repeated ids, documents and successors that aren't there."""
     records = table(spark, sf, "part").selectExpr("*", "p_partkey AS k").selectExpr(*[f"{v.format(s='STRING')} AS {c}" for c, v in _REC.items()])
     return ct.rule_problems(records, table(spark, sf, "documents").select("doc_id"), ("rent", "eviction", "deposit"))
+
+
+@query("""WITH s AS (SELECT doc_id * 2 + r AS k, doc_id + CASE WHEN doc_id % 19 = 0 THEN 100000000 ELSE 0 END AS rule_id, CASE WHEN r = 0 THEN 'tenant' ELSE 'owner' END AS role, CASE WHEN doc_id % 7 = 0 THEN ' ' ELSE 'You may, ' || doc_id END AS answer,
+    CASE WHEN doc_id % 5 = 0 THEN sha256('older') WHEN doc_id % 5 <> 1 THEN sha256(coalesce(text, '')) END AS sha FROM documents, range(2) t(r)), j AS (SELECT s.*, sha256(coalesce(d.text, '')) AS now, d.doc_id FROM s LEFT JOIN documents d ON d.doc_id = s.rule_id),
+w AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'orphan' WHEN sha IS DISTINCT FROM now THEN 'stale' WHEN trim(answer) = '' THEN 'empty' ELSE 'shown' END AS state FROM j) SELECT rule_id, role, CASE WHEN state = 'shown' THEN answer END AS answer, state FROM w""")
+def summaries_guarded(spark, sf):
+    """Two answers a document's rule, shown only while they are of the whole text that the rule quotes now."""
+    docs, k = table(spark, sf, "documents"), F.col("doc_id")
+    sha = F.when(k % 5 == 0, F.sha2(F.lit("older"), 256)).when(k % 5 != 1, F.sha2(F.coalesce("text", F.lit("")), 256))
+    id_ = k + F.when(k % 19 == 0, 100_000_000).otherwise(0)
+    made = docs.select(id_.alias("rule_id"), F.explode(F.array(F.lit("tenant"), F.lit("owner"))).alias("role"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("You may, "), k)).alias("answer"), sha.alias("quote_sha"))
+    return dt.guarded_answers(docs.select(k.alias("rule_id"), F.col("text").alias("quoted_span")), made)
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, ['c' || p_partkey, 'c' || (p_partkey + 1)] AS c, p_partkey // 3 AS chunk, p_partkey // 10 AS doc FROM part), l AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'verify' WHEN 1 THEN 'extract' WHEN 2 THEN 'ingest' ELSE 'serve' END AS stage, user_id FROM events)
+SELECT id AS rule_id, event_id AS line_id, stage FROM r JOIN l ON stage = 'verify' AND user_id = id WHERE event_id % 3 = 0 OR list_contains(c, 'c' || (user_id + event_id % 3 - 1 + event_id % 2)) UNION ALL
+SELECT id, event_id, stage FROM r JOIN l ON stage = 'extract' AND user_id = chunk UNION ALL SELECT id, event_id, stage FROM r JOIN l ON stage = 'ingest' AND user_id = doc""")
+def audit_matched(spark, sf):
+    """Events as audit lines, matched with the rules they are about by stage: by rule and candidates, by chunk, by document."""
+    k, u, e = F.col("p_partkey"), F.col("user_id"), F.col("event_id")
+    name = lambda x: F.concat(F.lit("c"), x.cast("string"))
+    rules_ = table(spark, sf, "part").select(k.cast("long").alias("rule_id"), F.array(name(k), name(k + 1)).alias("candidates"), F.array(F.floor(k / 3).cast("string")).alias("chunks"), F.array(F.floor(k / 10).cast("string")).alias("docs"))
+    stage = F.when(e % 4 == 0, "verify").when(e % 4 == 1, "extract").when(e % 4 == 2, "ingest").otherwise("serve")
+    named = F.when(e % 3 != 0, F.array(name(u + e % 3 - 1 + e % 2)))
+    lines = table(spark, sf, "events").select(e.alias("line_id"), stage.alias("stage"), u.cast("long").alias("rule_id"), named.alias("candidates"), u.cast("string").alias("chunk_id"), u.cast("string").alias("doc_id"))
+    return dt.audit_of(rules_, lines)

@@ -75,6 +75,13 @@ def snapshot_codes(spark, sf):
     return best.groupBy("address_id", "as_of").agg(F.array_join(F.sort_array(F.collect_list(code)), "").alias("code"))
 
 
+@query(SQL_DAYS + f"SELECT address_id, as_of, category, arg_min(result, {RANK}) AS result, bool_or(conflict) AS conflict FROM looked GROUP BY ALL")
+def snapshots_decoded(spark, sf):
+    """Snapshots coded as strings and read back: each category's best result and whether it is in conflict."""
+    best = tp.snapshots(_rows(spark, sf), lk.result_rank(F.col("result")))
+    return tp.decoded(tp.code_of(best, ["address_id", "as_of"], lk.RESULT_ORDER), ["address_id", "as_of"], lk.RESULT_ORDER)
+
+
 @query(SQL_DAYS + "SELECT DISTINCT address_id FROM changed WHERE day = DATE '2025-07-01'")
 def change_affected(spark, sf):
     return tp.affected(_rows(spark, sf), DAYS[0], DAYS[1])
