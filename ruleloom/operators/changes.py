@@ -133,3 +133,13 @@ def unknown(tests: DataFrame) -> DataFrame:
     """Tests of no known type fail; they don't pass unseen."""
     check = _check("type is known", F.lit(False), F.coalesce("type", F.lit("none")))
     return tests.select("test_id", "type", F.lit(0).cast("long").alias("affected"), F.lit(0).cast("long").alias("conflicts"), F.array(check).cast(CHECK).alias("checks"))
+
+
+def outcomes(tests: DataFrame, rows: DataFrame, parcels: DataFrame, rules: DataFrame, open_rows: DataFrame) -> DataFrame:
+    """``(test_id, type, affected, conflicts, checks, outcome)`` of every test, by the runner of its type; a test of none fails."""
+    of = lambda kind: tests.where(F.col("type") == kind)
+    known = {"as_of": lambda t: as_of(t, rows, parcels), "boundary": lambda t: boundary(t, rows, parcels), "pending": lambda t: pending(t, rows, parcels, open_rows), "negative": lambda t: negative(t, rows, parcels, rules)}
+    out = unknown(tests.where(~F.coalesce(F.col("type").isin(*known), F.lit(False))))
+    for kind, run in known.items():
+        out = out.unionByName(run(of(kind)))
+    return out.withColumn("outcome", outcome(F.col("checks")))

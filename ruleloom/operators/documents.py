@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +54,3 @@ def change_kind(kind: Column, after: Column, default_day: Column) -> Column:
 def in_scope(states: Column, state: Column) -> Column:
     """Whether a state is among a test's; a test without any is about all."""
     return states.isNull() | F.array_contains(states, state)
-
-
-def dispatched(tests: DataFrame, runners: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Each test's rows from the runner of its type, united; ``(test_id, outcome)``. An unknown type fails, it doesn't pass unseen."""
-    out = tests.where(~F.coalesce(F.col("type").isin(*runners), F.lit(False))).select("test_id", F.lit("fail: unknown type").alias("outcome"))
-    for kind, run in runners.items():
-        out = out.unionByName(run(tests.where(F.col("type") == kind)).select("test_id", "outcome"))
-    return out

@@ -12,7 +12,6 @@ from ..sources.views import AS_OF, parcels, places, rules
 from .catalogue import query
 from .temporal import DAYS, SQL_DAYS
 
-_TYPES = ("as_of", "boundary", "pending", "negative", "other")
 #: A test's columns from its rule's, for Spark and for SQL: every third is about one state, every seventh maps to no rule, a boundary test names the next city now and then.
 _TEST = {
     "type": "CASE WHEN hint = 'bill' AND rule_id % 2 = 0 THEN 'pending' WHEN hint = 'failed' AND rule_id % 2 = 0 THEN 'negative' WHEN rule_id % 5 = 0 THEN 'as_of' WHEN rule_id % 5 = 1 THEN 'boundary' WHEN rule_id % 5 = 2 THEN 'pending' WHEN rule_id % 5 = 3 THEN 'negative' ELSE 'other' END",
@@ -38,12 +37,7 @@ def _outcomes(spark, sf):
     rows = lk.lookup_on(p, r, DAYS, ("state", "city"))
     strict, _ = coverage(F.lit(None).cast("date"))
     open_rows = lk.jurisdiction_pairs(p, r).select("address_id", "rule_id", "state", (strict != 0).alias("covers"))
-    of = lambda kind: t.where(F.col("type") == kind)
-    runs = [ch.as_of(of("as_of"), rows, p), ch.boundary(of("boundary"), rows, p), ch.pending(of("pending"), rows, p, open_rows), ch.negative(of("negative"), rows, p, r), ch.unknown(t.where(~F.col("type").isin(*_TYPES[:4])))]
-    out = runs[0]
-    for more in runs[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("outcome", ch.outcome(F.col("checks")))
+    return ch.outcomes(t, rows, p, r, open_rows)
 
 
 _test_sql = ", ".join(f"{v} AS {k}" for k, v in _TEST.items())

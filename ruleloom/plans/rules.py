@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import tristate as tri
 from ..operators import lookup as lk
+from ..operators import pages as pg
 from ..operators import predicates as pr
 from ..sources.readers import table
 from ..sources.views import AS_OF, SQL_VIEWS, category_name, parcels, rules
@@ -200,3 +201,44 @@ def lookup_sanity(spark, sf):
     b = placed.where(~F.col("city").eqNullSafe(F.col("jurisdiction"))).select(F.lit("city rule away from its city"))
     c = parcels(spark, sf).join(rows.select("address_id").distinct(), "address_id", "left_anti").select(F.lit("no rule at all"))
     return a.union(b).union(c).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+#: Words that tell which rule answers a category's question, by category: strong, weak, demoting.
+_WORDS = {0: (["cap", "rent control"], ["limit"], ["notice"]), 1: (["just cause", "reason"], ["evict"], ["relocation"]), 2: (["month's rent", "return"], ["deposit"], ["interest"]), 3: (["screening fee"], ["fee", "fees"], ["receipt"])}
+_RULE_TITLES = ("Cap on rent", "Notice of a cap", "Just cause to evict", "Return of a deposit", "Screening fee, and its receipt", "Fees", "One month’s rent at most")
+_title_sql = "[" + ", ".join("'" + t + "'" for t in _RULE_TITLES) + f"][rule_id % {len(_RULE_TITLES)} + 1]"
+_flat = lambda c: f"translate(lower({c}), '‘’ʼ`', repeat(chr(39), 4))"
+
+
+def _has_sql(column: str, word: str) -> str:
+    return f"regexp_matches({column}, '(^|[^a-z0-9]){word.replace(chr(39), chr(39) * 2)}($|[^a-z0-9])')"
+
+
+def _score_sql(words) -> str:
+    strong, weak, demote = words
+    parts = [f"CASE WHEN {_has_sql('t', w)} THEN {3 * n} WHEN {_has_sql('b', w)} THEN {n} ELSE 0 END" for some, n in ((strong, 2), (weak, 1)) for w in some]
+    return " + ".join(parts) + " - CASE WHEN " + " OR ".join(_has_sql("t", w) for w in demote) + " THEN 8 ELSE 0 END"
+
+
+@query(SQL_BASE + f""", worded AS (SELECT *, {_flat(_title_sql)} AS t, CASE WHEN rule_id % 3 = 0 THEN 'the limit and the fees' ELSE '' END AS b, rule_id % 3 AS fields FROM looked WHERE result <> 'pending'),
+scored AS (SELECT *, CAST(CASE category {" ".join(f"WHEN {k} THEN {_score_sql(w)}" for k, w in _WORDS.items())} ELSE 0 END AS INTEGER) AS s FROM worded),
+placed AS (SELECT *, row_number() OVER (PARTITION BY address_id, category ORDER BY CASE result WHEN 'applies' THEN 0 WHEN 'unknown' THEN 1 WHEN 'not_yet_effective' THEN 2 ELSE 9 END, s DESC, fields DESC, CASE level WHEN 'city' THEN 0 ELSE 1 END, rule_id) AS n, count(*) OVER (PARTITION BY address_id, category) - 1 AS others FROM scored)
+SELECT address_id, category, rule_id, result, s AS score, others FROM placed WHERE n = 1""")
+def headlines_scored(spark, sf):
+    """Each category's rule to show first, by its result and how its title and text answer the category's question."""
+    r = F.col("rule_id")
+    title = F.element_at(F.array(*map(F.lit, _RULE_TITLES)), r % len(_RULE_TITLES) + 1)
+    rows = _lookup(spark, sf).withColumns({"title": title, "body": F.when(r % 3 == 0, "the limit and the fees").otherwise(""), "fields": r % 3})
+    return pg.headlines(rows, _WORDS)
+
+
+@query(SQL_BASE + """, f AS (SELECT jurisdiction, list(rule_id ORDER BY rule_id) AS ids FROM rules WHERE hint = 'failed' GROUP BY jurisdiction),
+b AS (SELECT address_id, category, string_agg(CAST(rule_id AS VARCHAR), ',' ORDER BY CASE result WHEN 'applies' THEN 1 WHEN 'superseded' THEN 2 WHEN 'unknown' THEN 3 WHEN 'not_yet_effective' THEN 4 ELSE 5 END, CASE level WHEN 'city' THEN 0 ELSE 1 END, rule_id) AS ids FROM looked GROUP BY ALL),
+w AS (SELECT p.address_id, string_agg(coalesce(b.ids, ''), '|' ORDER BY k) AS blocks FROM parcels p CROSS JOIN range(6) t(k) LEFT JOIN b ON b.address_id = p.address_id AND b.category = k GROUP BY p.address_id)
+SELECT p.address_id, 'state: ' || p.state || CASE WHEN city IS NULL THEN '' WHEN confidence = 'low' THEN '|city unconfirmed: ' || city ELSE '|city: ' || city END AS stack, blocks, array_to_string(list_concat(coalesce(s.ids, []), coalesce(c.ids, [])), ',') AS notes
+FROM parcels p JOIN w USING (address_id) LEFT JOIN f s ON s.jurisdiction = p.state LEFT JOIN f c ON c.jurisdiction = p.city""")
+def address_pages(spark, sf):
+    """Every customer's page: who governs, six blocks of rules in order, and what failed there."""
+    found = pg.pages(parcels(spark, sf), _lookup(spark, sf), rules(spark, sf), 6, lk.RESULT_ORDER)
+    blocks = F.array_join(F.transform("blocks", lambda b: F.array_join(F.transform(b, lambda x: x.cast("string")), ",")), "|")
+    return found.select("address_id", F.array_join("stack", "|").alias("stack"), blocks.alias("blocks"), F.array_join("notes", ",").alias("notes"))
