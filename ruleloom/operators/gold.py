@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters between two passages that still belong together; characters of a bin.
@@ -34,3 +34,15 @@ def accuracy(matches: DataFrame, gold: DataFrame, ours: DataFrame, by: str, fiel
     rows = gold.select("gold_id", by, *[F.col(f).alias(f"_{f}") for f in fields]).join(matches.select("gold_id", "rule_id"), "gold_id").join(ours.select("rule_id", *fields), "rule_id", "left")
     agree = [F.count_if(F.col("rule_id").isNotNull() & F.col(f).eqNullSafe(F.col(f"_{f}"))).alias(f) for f in fields]
     return rows.groupBy(by).agg(F.count("*").alias("gold"), F.count("rule_id").alias("matched"), *agree)
+
+
+def result_class(expected: Column, got: Column, also: Column | None = None) -> Column:
+    """correct, over_cautious (unknown for a definite answer), missed (no row for one that is expected), or wrong; a null ``got`` is no row."""
+    got = F.coalesce(got, F.lit("absent"))
+    right = (got == expected) | (F.coalesce(F.array_contains(also, got), F.lit(False)) if also is not None else F.lit(False))
+    return F.when(right, "correct").when(got == "unknown", "over_cautious").when(got == "absent", "missed").otherwise("wrong")
+
+
+def city_class(expected: Column, got: Column) -> Column:
+    """skipped (the reviewer was uncertain), correct, unresolved (none for one that is expected), or wrong; ``none`` expects no city."""
+    return F.when(expected == "uncertain", "skipped").when(got.eqNullSafe(F.when(expected != "none", expected)), "correct").when(got.isNull(), "unresolved").otherwise("wrong")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions import tristate as tri
 from ..operators import lookup as lk
+from ..operators import gold as gd
 from ..operators import pages as pg
 from ..operators import predicates as pr
 from ..sources.readers import table
@@ -242,3 +243,29 @@ def address_pages(spark, sf):
     found = pg.pages(parcels(spark, sf), _lookup(spark, sf), rules(spark, sf), 6, lk.RESULT_ORDER)
     blocks = F.array_join(F.transform("blocks", lambda b: F.array_join(F.transform(b, lambda x: x.cast("string")), ",")), "|")
     return found.select("address_id", F.array_join("stack", "|").alias("stack"), blocks.alias("blocks"), F.array_join("notes", ",").alias("notes"))
+
+
+_EXPECTED = "CASE WHEN (address_id + rule_id) % 7 = 0 THEN 'absent' WHEN (address_id * 3 + rule_id) % 5 < 3 THEN 'applies' WHEN (address_id + rule_id) % 2 = 0 THEN 'superseded' ELSE 'pending' END"
+
+
+@query(SQL_BASE + f""", g AS (SELECT address_id, rule_id, category, {_EXPECTED} AS expected FROM pairs), j AS (SELECT g.*, coalesce(result, 'absent') AS got FROM g LEFT JOIN looked USING (address_id, rule_id))
+SELECT category, CASE WHEN got = expected OR (rule_id % 4 = 0 AND got IN ('unknown', 'not_yet_effective')) THEN 'correct' WHEN got = 'unknown' THEN 'over_cautious' WHEN got = 'absent' THEN 'missed' ELSE 'wrong' END AS class, count(*) AS n FROM j GROUP BY ALL""")
+def lookup_classes(spark, sf):
+    """The lookup against a reviewer's answers for every address and rule of its place: right, too cautious, missed or wrong, by category."""
+    asked = lk.jurisdiction_pairs(parcels(spark, sf), rules(spark, sf)).select("address_id", "rule_id", "category", F.expr(_EXPECTED).alias("expected"))
+    also = F.when(F.col("rule_id") % 4 == 0, F.array(F.lit("unknown"), F.lit("not_yet_effective")))
+    rows = asked.join(_lookup(spark, sf).select("address_id", "rule_id", "result"), ["address_id", "rule_id"], "left")
+    return rows.groupBy("category", gd.result_class(F.col("expected"), F.col("result"), also).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query(SQL_BASE + "SELECT address_id // 100 AS block, md5(array_to_string(list_sort(list(concat_ws(':', CAST(address_id AS VARCHAR), CAST(rule_id AS VARCHAR), result))), ',')) AS digest, true AS same FROM looked GROUP BY ALL")
+def determinism_runs(spark, sf):
+    """The lookup worked out twice, the second time from parcels dealt otherwise: digests of blocks, and whether they agree."""
+
+    def digests(p):
+        rows = lk.lookup(p, rules(spark, sf), AS_OF).select(F.floor(F.col("address_id") / 100).alias("block"), F.concat_ws(":", "address_id", "rule_id", "result").alias("row"))
+        return rows.groupBy("block").agg(F.md5(F.array_join(F.array_sort(F.collect_list("row")), ",").cast("binary")).alias("digest"))
+
+    first, again = digests(parcels(spark, sf)), digests(parcels(spark, sf).repartition(7, "year_built"))
+    both = first.join(again.withColumnRenamed("digest", "_again"), "block", "full")
+    return both.select("block", "digest", F.col("digest").eqNullSafe(F.col("_again")).alias("same"))

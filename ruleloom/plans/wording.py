@@ -102,6 +102,14 @@ def guard_wordings(spark, sf):
     return sentences(spark, sf).select(_k, F.array_join(reasons, ",").alias("reasons"))
 
 
+@query(f"WITH s AS ({SQL_SENTENCES}), r AS (SELECT lang, unnest({gd.sql_wording_guard('sentence', 'role', 'status', 'lang')}) AS reason FROM s) SELECT lang, split_part(reason, ':', 1) AS reason, count(*) AS n FROM r GROUP BY ALL")
+def guard_histogram(spark, sf):
+    """How often each guard drops a sentence, by language."""
+    reasons = gd.wording_guard(F.col("sentence"), F.col("role"), F.col("status"), F.col("lang"))
+    rows = sentences(spark, sf).select("lang", F.explode(reasons).alias("reason"))
+    return rows.groupBy("lang", F.substring_index("reason", ":", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
 #: A description a customer, by key; what it says is worked out from the key alone in SQL.
 _USE = (
     ("CA", "'Flats ' || a || ' to ' || b || ' units'"), ("CA", "'Apartment ' || b || ' to ' || a || ' UNITS'"), ("CA", "'Apartment ' || a || ' Units or more'"), ("CA", "'TIC Bldg ' || a || ' units or less'"), ("CA", "'Five or more apartments'"), ("CA", "'County code 14-16 (' || a || '+ units)'"),
