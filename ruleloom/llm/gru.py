@@ -7,6 +7,8 @@ symbol within it, and no sum goes over all symbols.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 
 WIDTH = 64
@@ -44,21 +46,25 @@ def unpacked(flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def _steps(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
     """Hidden states after each of the steps ``x`` (steps, lanes), and what the way back needs."""
     states = np.empty((len(x), *h.shape), np.float32)
     kept = []
     for t in range(len(x)):
         a, g = table[x[t]], h @ w["recurrent"]
-        gates = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        new = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        kept.append((h, z, r, new, g[:, 2 * HIDDEN :]))
-        h = new + z * (h - new)
+        gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        z, r, over = gates[:, :HIDDEN], gates[:, HIDDEN:], g[:, 2 * HIDDEN :]
+        new = r * over
+        new += a[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        kept.append((h, z, r, new, over))
+        h = h - new
+        h *= z
+        h += new
         states[t] = h
     return states, kept
 
@@ -88,6 +94,19 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax_gradient(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted gradient by ``x``, in its place, of minus the log-probability of ``target``, and that loss, summed."""
+    at = np.arange(len(target))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[at, target]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    loss = -float(((own - np.log(total)) * weight).sum())
+    x *= (weight / total)[:, None]
+    x[at, target] -= weight
+    return x, loss
+
+
 def _by_class(y: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """The rows of each class that occurs."""
     k = (y // WIDTH).astype(np.int16)
@@ -129,31 +148,30 @@ class Trainer:
         """Gradients of the loss over one window (steps, lanes), by the symbols of a full one; the state after it; the summed loss."""
         w = self.w
         steps, lanes = x.shape
-        states, kept = _steps(w, w["embedding"] @ w["input"] + w["bias"], x, h)
+        # only the rows of symbols that the window has
+        there = np.zeros(len(w["embedding"]), bool)
+        there[x] = True
+        seen = np.flatnonzero(there)
+        number = np.cumsum(there) - 1
+        states, kept = _steps(w, w["embedding"][seen] @ w["input"] + w["bias"], number[x], h)
         flat, target, weight = states.reshape(-1, HIDDEN), y.reshape(-1), mask.reshape(-1).astype(np.float32)
         n = float(WINDOW * LANES)
         every = slice(None)
-        lp = _log_softmax(flat @ w["class_out"] + w["class_bias"])
-        at = np.arange(len(target))
-        loss = -float((lp[at, target // WIDTH] * weight).sum())
-        d = np.exp(lp)
-        d[at, target // WIDTH] -= 1
-        d *= (weight / n)[:, None]
+        d, loss = _softmax_gradient(flat @ w["class_out"] + w["class_bias"], target // WIDTH, weight)
+        d /= n
         back = d @ w["class_out"].T
         found = {"class_out": (flat.T @ d, every), "class_bias": (d.sum(axis=0), every)}
         out, out_bias, own_rows = [], [], []
         for k, rows in _by_class(target):
-            own = np.arange(k * WIDTH, (k + 1) * WIDTH)
-            lp = _log_softmax(flat[rows] @ w["out"][own].T + w["out_bias"][own])
-            inner = target[rows] - k * WIDTH
-            loss -= float((lp[np.arange(len(rows)), inner] * weight[rows]).sum())
-            d = np.exp(lp)
-            d[np.arange(len(rows)), inner] -= 1
-            d *= (weight[rows] / n)[:, None]
+            own = slice(k * WIDTH, (k + 1) * WIDTH)
+            at = flat[rows]
+            d, more = _softmax_gradient(at @ w["out"][own].T + w["out_bias"][own], target[rows] - k * WIDTH, weight[rows])
+            d /= n
+            loss += more
             back[rows] += d @ w["out"][own]
-            out.append(d.T @ flat[rows])
+            out.append(d.T @ at)
             out_bias.append(d.sum(axis=0))
-            own_rows.append(own)
+            own_rows.append(np.arange(k * WIDTH, (k + 1) * WIDTH))
         own_rows = np.concatenate(own_rows)
         found |= {"out": (np.concatenate(out), own_rows), "out_bias": (np.concatenate(out_bias), own_rows)}
         back = back.reshape(steps, lanes, HIDDEN)
@@ -169,10 +187,10 @@ class Trainer:
             dg = np.concatenate([da[t, :, : 2 * HIDDEN], dnew * r], axis=1)
             dw += before.T @ dg
             dh = dh * z + dg @ w["recurrent"].T
-        symbols = x.reshape(-1)
+        symbols = number[x].reshape(-1).astype(np.int16 if len(seen) < 1 << 15 else np.int64)
         order = np.argsort(symbols, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(symbols[order]) != 0]))
-        sums, seen = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts), symbols[order][starts]
+        starts = np.searchsorted(symbols[order], np.arange(len(seen)))
+        sums = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts)
         found |= {"recurrent": (dw, every), "bias": (sums.sum(axis=0), every), "input": (w["embedding"][seen].T @ sums, every), "embedding": (sums @ w["input"].T, seen)}
         return found, states[-1], loss
 
@@ -187,36 +205,25 @@ def train(weights: dict[str, np.ndarray], texts, first: int, lanes: int = LANES)
     """Learns from runs of symbols, ``lanes`` at a time; returns how many symbols it saw.
 
     Each run begins with the symbol ``first`` as its context and an empty state; the
-    state is carried from window to window of a run.
+    state is carried from window to window of a run.  The runs of a batch stand side by
+    side, longest first, so that a window holds those that reach it and no others.
     """
     trainer, seen = Trainer(weights), 0
     source = iter(texts)
-    runs: list[np.ndarray] = [np.zeros(0, np.int64)] * lanes
-    place = np.zeros(lanes, np.int64)
-    h = np.zeros((lanes, HIDDEN), np.float32)
-    ended = False
-    while True:
-        for i in range(lanes):
-            if place[i] >= len(runs[i]) and not ended:
-                run = next(source, None)
-                if run is None:
-                    ended = True
-                    continue
-                runs[i], place[i] = run, 0
-                h[i] = 0
-        live = [i for i in range(lanes) if place[i] < len(runs[i])]
-        if not live:
-            return seen
-        x, y = np.zeros((WINDOW, len(live)), np.int64), np.zeros((WINDOW, len(live)), np.int64)
-        mask = np.zeros((WINDOW, len(live)), bool)
-        for j, i in enumerate(live):
-            part = runs[i][place[i] : place[i] + WINDOW]
-            y[: len(part), j], mask[: len(part), j] = part, True
-            x[0, j] = runs[i][place[i] - 1] if place[i] else first
-            x[1 : len(part), j] = part[:-1]
-            place[i] += len(part)
-            seen += len(part)
-        h[live], _ = trainer.learn(x, y, mask, h[live])
+    while runs := sorted((r for r in islice(source, lanes) if len(r)), key=len, reverse=True):
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+        ends = np.cumsum(lengths)
+        y = np.zeros((int(lengths[0]), len(runs)), np.int64)
+        y[np.arange(ends[-1]) - np.repeat(ends - lengths, lengths), np.repeat(np.arange(len(runs)), lengths)] = np.concatenate(runs)
+        x = np.vstack([np.full((1, len(runs)), first), y[:-1]])
+        h = np.zeros((len(runs), HIDDEN), np.float32)
+        for at in range(0, len(y), WINDOW):
+            live = int(np.count_nonzero(lengths > at))
+            part = slice(at, at + WINDOW), slice(0, live)
+            mask = np.arange(at, at + len(y[part]))[:, None] < lengths[None, :live]
+            h, _ = trainer.learn(x[part], y[part], mask, h[:live])
+        seen += int(ends[-1])
+    return seen
 
 
 def score(weights: dict[str, np.ndarray], texts: list[np.ndarray], first: int, lanes: int = SCORED_LANES) -> np.ndarray:
