@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import worker
 from .license_templates import TEMPLATES
 from .shingles import Slice, shingles, slices
-from .worker import begin
 
 GRAM, WINDOW = 3, 4
 MIN_COVERAGE = 0.8
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("license", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("n_matched", "n_words", "start", "end")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin()
+        worker.begin()
         index = TemplateIndex(templates)
         for batch in batches:
             where, rows = [], []
