@@ -9,22 +9,43 @@ from pyspark.sql.window import Window
 
 def _sets(df: DataFrame) -> DataFrame:
     """``(id, members)`` with the members distinct and in order; sets without a member say nothing."""
-    return df.select("id", F.array_sort(F.array_distinct(F.array_compact("members"))).alias("members")).where(F.size("members") > 0)
+    return df.select("id", F.sort_array(F.array_distinct(F.array_compact("members"))).alias("members")).where(F.size("members") > 0)
+
+
+#: A set of at most so many members is met by all its parts, of which there are less than two to that number.
+PARTS_OF = 10
+
+
+def _label(member: Column) -> Column:
+    """A member led by its length, so that different sets never read the same when theirs are put together."""
+    return F.concat(F.char_length(member.cast("string")).cast("string"), F.lit(":"), member.cast("string"))
+
+
+def _parts(large: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(large, key)``: every part of every set that has one of the ``sizes``; a part is a number whose bits are its members."""
+    every = large.join(F.broadcast(sizes)).select("id", "sizes", "members", F.explode(F.expr("sequence(1, shiftleft(1, size(members)) - 1)")).alias("part"))
+    some = every.where(F.array_contains("sizes", F.bit_count("part").cast("int")))
+    # never null, or Spark would put a part together once more to see that it isn't
+    return some.select(F.col("id").alias("large"), F.concat_ws("", *[F.when(F.col("part").bitwiseAND(1 << i) != 0, _label(F.get("members", F.lit(i)))) for i in range(PARTS_OF)]).alias("key"))
 
 
 def contained(small: DataFrame, large: DataFrame) -> DataFrame:
-    """``(small, large)``: ids of sets and of sets that hold all their members; from ``(id, members)`` each.
+    """``(small, large)``: ids of sets and of sets that hold all their members; from ``(id, members)`` each, distinct and in order.
 
-    Sets meet at the small one's rarest member only, then are compared whole, so a
-    member that most sets have brings none together. A set whose members are all
-    unknown to the other side is met by nothing.
+    A large set of at most ``PARTS_OF`` members gives all its parts of a size that small ones have, and
+    a small one meets the part that it is: rows grow with the sets, however often a member
+    occurs. Beyond that size sets meet at the small one's rarest member among those large ones, then are compared
+    whole. A set whose members are all unknown to the other side is met by nothing.
     """
-    each = large.select(F.col("id").alias("large"), F.col("members").alias("all"), F.explode("members").alias("member"))
+    sizes = small.agg(F.collect_set(F.size("members")).alias("sizes"))
+    part = _parts(large.where(F.size("members") <= PARTS_OF), sizes)
+    by_part = small.where(F.size("members") <= PARTS_OF).select(F.col("id").alias("small"), F.concat_ws("", F.transform("members", _label)).alias("key")).join(part, "key").select("small", "large")
+    each = large.where(F.size("members") > PARTS_OF).select(F.col("id").alias("large"), F.col("members").alias("all"), F.explode("members").alias("member"))
     often = each.groupBy("member").agg(F.count("*").alias("n"))
     known = small.select(F.col("id").alias("small"), F.col("members").alias("few"), F.explode("members").alias("member")).join(often, "member", "left")
     rarest = known.groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "member")).alias("r"), F.any_value("few").alias("few")).where(F.col("r.n") > 0)
     met = rarest.select("small", "few", F.col("r.member").alias("member")).join(each, "member")
-    return met.where(F.size(F.array_except("few", "all")) == 0).select("small", "large")
+    return by_part.union(met.where(F.size(F.array_except("few", "all")) == 0).select("small", "large"))
 
 
 def _alone(pairs: DataFrame, *sides: str) -> DataFrame:
@@ -41,9 +62,11 @@ def kept_ids(prior: DataFrame, current: DataFrame) -> DataFrame:
     a prior one, and no other prior one.
     """
     old, new = _sets(prior), _sets(current)
-    by_set = old.groupBy("members").agg(F.max("id").alias("kept")).join(new.groupBy("members").agg(F.min("id").alias("id")), "members").select("id", "kept")
-    # one prior set a group of equal ones stands for it
-    left = old.groupBy("members").agg(F.max("id").alias("id")).join(by_set.select(F.col("kept").alias("id")), "id", "left_anti").select("id", "members")
+    # one row a set, whoever has it; one prior set of equal ones stands for them
+    either = old.select("members", F.col("id").alias("kept"), F.lit(None).cast("long").alias("id")).union(new.select("members", F.lit(None).cast("long"), "id"))
+    by_set = either.groupBy("members").agg(F.max("kept").alias("kept"), F.min("id").alias("id"))
+    left = by_set.where("id IS NULL").select(F.col("kept").alias("id"), "members")
+    by_set = by_set.where("id IS NOT NULL AND kept IS NOT NULL").select("id", "kept")
     open_ = new.join(by_set.select("id"), "id", "left_anti")
     held = _alone(contained(left, open_), "small", "large").select(F.col("large").alias("id"), F.col("small").alias("kept"))
     return by_set.withColumn("how", F.lit("equal")).union(held.withColumn("how", F.lit("contains")))
@@ -55,14 +78,14 @@ def stable_ids(prior: DataFrame, current: DataFrame, bucket: Column) -> DataFram
     Ids are whole numbers. ``bucket`` of ``id`` rises with it and splits the new ones into parts
     that a task can number; the parts' sizes are summed.
     """
-    kept = kept_ids(prior, current)
-    new = current.select("id").join(kept.select("id"), "id", "left_anti").withColumn("_b", bucket)
-    sizes = new.groupBy("_b").agg(F.count("*").alias("n"))
+    rows = current.select("id").join(kept_ids(prior, current), "id", "left").withColumn("_b", bucket)
+    fresh = F.when(F.col("how").isNull(), 1)
+    sizes = rows.groupBy("_b").agg(F.count(fresh).alias("n"))
     before = sizes.select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     most = prior.agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
-    numbered = new.withColumn("own", F.row_number().over(Window.partitionBy("_b").orderBy("id"))).join(before, "_b").join(F.broadcast(most))
-    fresh = numbered.select("id", (F.col("most") + F.col("before") + F.col("own")).alias("stable"), F.lit("new").alias("how"))
-    return kept.select("id", F.col("kept").alias("stable"), "how").unionByName(fresh)
+    own = F.count(fresh).over(Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.withColumn("own", own).join(before, "_b").join(F.broadcast(most))
+    return numbered.select("id", F.coalesce("kept", F.col("most") + F.col("before") + F.col("own")).alias("stable"), F.coalesce("how", F.lit("new")).alias("how"))
 
 
 def rewritten(rows: DataFrame, key: str, column: str, mapping: DataFrame) -> DataFrame:

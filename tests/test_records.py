@@ -112,3 +112,20 @@ def test_facts_and_contracts_of_empty_tables(spark):
     rules = spark.createDataFrame([(None,) * 12], "rule_id string, title string, category string, jurisdiction string, level string, status string, effective_date string, citation string, quoted_span string, confidence double, doc_id string, superseded_by string")
     found = {r.problem for r in ct.rule_problems(rules, spark.createDataFrame([], "doc_id string"), ("a",)).collect()}
     assert {"id has another form", "title is missing", "status not known", "confidence out of bounds", "document not there"} <= found
+
+
+def test_containment_of_sets_that_share_all_members(spark):
+    """Sets of a few common members, where meeting at one of them brings nearly all together, and sets too large for their parts."""
+    import random
+    import time
+
+    rnd, names = random.Random(7), [f"m{i:02}" for i in range(24)]
+    large = [(i, sorted(rnd.sample(names, 6))) for i in range(100_000)] + [(200_000, names[:11]), (200_001, ["0", "1:1"])]
+    small = [(i, sorted(rnd.sample(names, 5))) for i in range(100_000)] + [(200_000, ["m03", "m07"]), (200_001, ["0", "1:1"]), (200_002, ["1:1"]), (200_003, ["01:1"]), (200_004, ["0", "m03"])]
+    schema, begin = "id long, members array<string>", time.time()
+    pairs = si.contained(spark.createDataFrame(small, schema), spark.createDataFrame(large, schema))
+    sizes = {r.small: r.n for r in pairs.groupBy("small").agg(F.count("*").alias("n")).collect()}
+    assert time.time() - begin < 60
+    sets, asked = [set(m) for _, m in large], dict(small)
+    for k in (*range(0, 100_000, 9_000), *range(200_000, 200_005)):
+        assert sizes.get(k, 0) == sum(set(asked[k]) <= s for s in sets)
