@@ -39,11 +39,17 @@ def located(points: DataFrame, places: DataFrame, states: DataFrame) -> DataFram
 def checklist_found(checklist: DataFrame, rules: DataFrame) -> DataFrame:
     """``(item_id, found)``: whether a rule of the item's jurisdiction and category is from its document or cites what it names.
 
-    ``checklist(item_id, jurisdiction, category, doc_id, citation)``; an equi-join with a residual, folded to one row an item.
+    ``checklist(item_id, jurisdiction, category, doc_id, citation)``. Documents meet by key; of citations each wording of a
+    group is looked for once in each that its rules have, so items that ask the same aren't multiplied by rules.
     """
-    mine = rules.select("jurisdiction", "category", F.col("doc_id").alias("_doc"), F.col("citation").alias("_cite"))
-    fits = F.coalesce(F.col("doc_id") == F.col("_doc"), F.lit(False)) | F.coalesce(F.contains(F.lower("_cite"), F.lower("citation")), F.lit(False))
-    return checklist.join(mine, ["jurisdiction", "category"], "left").groupBy("item_id").agg(F.max(fits).alias("found"))
+    group = ["jurisdiction", "category"]
+    by_doc = checklist.join(rules.select(*group, "doc_id"), [*group, "doc_id"], "left_semi").select("item_id")
+    named = checklist.where("citation IS NOT NULL").withColumn("_asked", F.lower("citation"))
+    said = rules.where("citation IS NOT NULL").select(*group, F.lower("citation").alias("_said")).distinct()
+    met = named.select(*group, "_asked").distinct().join(said, group).where(F.contains("_said", "_asked")).select(*group, "_asked")
+    by_name = named.join(met, [*group, "_asked"], "left_semi").select("item_id")
+    found = by_doc.union(by_name).distinct().withColumn("_found", F.lit(True))
+    return checklist.select("item_id").distinct().join(found, "item_id", "left").select("item_id", F.coalesce("_found", F.lit(False)).alias("found"))
 
 
 def retry_queries(street: Column, unit: Column) -> Column:
