@@ -129,3 +129,50 @@ def test_containment_of_sets_that_share_all_members(spark):
     sets, asked = [set(m) for _, m in large], dict(small)
     for k in (*range(0, 100_000, 9_000), *range(200_000, 200_005)):
         assert sizes.get(k, 0) == sum(set(asked[k]) <= s for s in sets)
+
+
+def test_sites_that_lie_close(spark):
+    """All points and sites in a cell or two of the radius, where each point would meet each site."""
+    import time
+
+    at = lambda k, m: (10 + (k * 7919 % m) / 1e5, 20 + (k * 104729 % (m - 1)) / 1e5)
+    sites = [(k, *at(k, 20_011)) for k in range(20_000)]
+    points = [(k, *at(k * 3 + 1, 20_011)) for k in range(30_000)] + [(70_000, -80.0, 0.0)]
+    df, begin = spark.createDataFrame, time.time()
+    p, s = df(points, "id long, lat double, lng double"), df(sites, "site long, lat double, lng double")
+    got = {r.id: (r.site, r.metres) for r in sp.nearest(p, s, 400_000.0).collect()}
+    assert time.time() - begin < 60
+    assert len(got) == len(points) and sp.nearest_within(p, s, 400_000.0).where("id = 70000").count() == 0
+
+    def far(a, b):
+        half = lambda x, y: math.sin(math.radians(x - y) / 2) ** 2
+        return 2 * sp.EARTH_M * math.asin(min(1.0, math.sqrt(half(b[1], a[1]) + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * half(b[2], a[2]))))
+
+    for a in points[::4000] + points[-1:]:
+        assert got[a[0]][1] == pytest.approx(min(far(a, b) for b in sites), abs=1e-3)
+
+
+def test_places_at_one_point_are_one(spark, tmp_path):
+    import time
+
+    from ruleloom.plans.serving import nearest_within
+
+    spark.range(60_000).selectExpr("id * 1000 AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(60_000).selectExpr("id * 1000 AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    begin = time.time()
+    assert [tuple(r) for r in nearest_within(spark, str(tmp_path)).groupBy("id", "d2").count().collect()] == [(0, 0, 60_000)]
+    assert time.time() - begin < 60
+
+
+def test_items_that_ask_the_same(spark):
+    """A group of many items and many rules; each wording is looked for once."""
+    import time
+
+    from ruleloom.operators import matching as mt
+
+    items = spark.range(40_000).selectExpr("id AS item_id", "1 AS jurisdiction", "1 AS category", "id * 2 AS doc_id", "CASE WHEN id % 4 = 0 THEN 'Ring' WHEN id % 4 = 1 THEN 'none such' END AS citation")
+    rules = spark.range(40_000).selectExpr("1 AS jurisdiction", "1 AS category", "id AS doc_id", "concat('a ring ', id) AS citation")
+    begin = time.time()
+    got = {tuple(r) for r in mt.checklist_found(items, rules).selectExpr("item_id % 4", "item_id < 20000", "found").distinct().collect()}
+    assert time.time() - begin < 60
+    assert got == {(k, few, few or k == 0) for k in range(4) for few in (True, False)}
