@@ -68,7 +68,9 @@ def _nearest(points: DataFrame, sites: DataFrame, radii: list[float], whole: boo
     cells = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(_cell(F.col("lng"), F.col("_n")) + d, F.col("_n"))))
     here = here.withColumn("_cell", F.explode(cells)).select("id", "lat", "lng", *key)
     least = F.array_min(F.transform("_sites", lambda s: F.struct(metres(s).alias("metres"), s["site"].alias("site"))))
-    best = here.join(there, key).groupBy("id").agg(F.min(least).alias("x"))
+    # generated, so that a point's rows are sorted by their least alone, without the sites
+    met = here.join(there, key).select("id", F.inline(F.array(least)))
+    best = met.groupBy("id").agg(F.min(F.struct("metres", "site")).alias("x"))
     return best.select("id", F.col("x.site").alias("site"), F.col("x.metres").alias("metres"))
 
 
