@@ -87,7 +87,7 @@ def sentences(spark, sf):
 @query()
 def guard_reasons(spark, sf):
     """All guards over sentences with each order's numbers; tests hold them to a plain reading."""
-    return sentences(spark, sf).select("*", F.array_join(gd.check(F.col("sentence"), F.col("quote"), F.col("role"), F.col("status"), F.col("lang")), ",").alias("reasons"))
+    return gd.checked(sentences(spark, sf)).withColumn("reasons", F.array_join("reasons", ","))
 
 
 _list = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs).replace("\n", "' || chr(10) || '") + "]"
