@@ -73,7 +73,7 @@ SELECT p_partkey AS rule_id, coalesce(overrides, '') AS overrides, interaction F
 def relation_links(spark, sf):
     """The rules each rule is tied to, and how, in words."""
     rules = _rules(spark, sf)
-    found = rel.linked(rules, rel.relations(rules))
+    found = rel.linked(rules, rel.spoken(rules))
     return found.select("rule_id", F.array_join(F.sort_array(F.transform("overrides", lambda x: x.cast("string"))), ",").alias("overrides"), "interaction")
 
 

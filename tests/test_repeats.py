@@ -13,3 +13,19 @@ def test_a_sentence_of_many_rows_is_read_once(spark):
     got = gd.checked(rows).collect()
     assert len(got) == 12 and {r.k: r.reasons for r in got} == want and want[2] == ["no_answer"] and want[0] != want[1]
     assert repr(one).count("{N};^]+") == 1
+
+
+def test_a_text_is_read_once_and_what_is_heard_twice_counts_once(spark):
+    from ruleloom.operators import relations as rel
+
+    over, yields = "No city may enact a limit.", "A local ordinance shall govern the amount."
+    rows = [(1, "state", 7, None, over, yields, [("No town may enact it.", "2")]), (2, "city", 7, 2, "", None, None), (3, "city", 7, 3, None, None, None), (4, "city", None, 3, None, None, None), (5, "state", None, None, over, None, None)]
+    rules = spark.createDataFrame(rows, "rule_id long, level string, state long, city long, interaction string, exemptions string, provenance array<struct<text:string,scope:string>>")
+    rules = rules.selectExpr("*", "0 AS category", "false AS failed", "CAST(NULL AS STRING) AS scope")
+    found = rel.spoken(rules)
+    pairs = sorted((r.source, r.nth, r.kind, r.target) for r in rel.relations(rules).collect())
+    assert pairs == [(1, 0, "conflict", 2), (1, 0, "conflict", 3), (1, 1, "conflict", 2)]
+    got = {r.rule_id: (r.overrides, r.interaction) for r in rel.linked(rules, found).collect()}
+    assert got == {1: ([2, 3], f'unresolved against 2, 3: "{over}"; unresolved against 2: "No town may enact it."'), 2: ([1], "unresolved against 1"), 3: ([1], "unresolved against 1"), 4: ([], None), 5: ([], None)}
+    plan = rel.linked(rules, found)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("preempt") <= 3 * "".join(rel.wd.any_of(rel.OVERRIDES)).count("preempt")
