@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import lookup as lk
 from ..operators import temporal as tp
-from ..sources.readers import table
+from ..sources.readers import dealt, table
 from ..sources.views import AS_OF, SQL_VIEWS, parcels, rules
 from .catalogue import query
 
@@ -127,7 +127,7 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY a, b, l_linenumb
 SELECT l_orderkey, CAST(island AS BIGINT) AS island, min(a) AS start_day, max(b) AS end_day, count(*) AS spans FROM g GROUP BY ALL""")
 def merge_overlapping_spans(spark, sf):
     day = F.col("l_shipdate").cast("date")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", day.alias("a"), F.date_add(day, F.col("l_quantity").cast("int")).alias("b"))
+    rows = dealt(table(spark, sf, "lineitem"), "l_orderkey").select("l_orderkey", day.alias("a"), F.date_add(day, F.col("l_quantity").cast("int")).alias("b"))
     return tp.islands(rows, ["l_orderkey"], "a", "b").groupBy("l_orderkey", F.col("island").cast("long").alias("island")).agg(F.min("a").alias("start_day"), F.max("b").alias("end_day"), F.count("*").alias("spans"))
 
 

@@ -15,10 +15,25 @@ ADDRESSES = "address_id string, street_address string, postal_city string, state
 AUDIT = "ts string, stage string, decision string, reason string, detail string"
 
 
+#: Fixed value: rows that a task sorts or groups at once, on average.
+ROWS_A_PART = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by their keys in as many parts as they call for, so that what a task sorts or groups doesn't grow with the table.
+
+    Rows that need no more parts than a shuffle surely has, though Spark may join its small ones, stay as they are.
+    They are counted first, which for a file's own columns reads its footers alone.
+    """
+    spark, parts = rows.sparkSession, -(-rows.count() // ROWS_A_PART)
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartition(parts, *keys) if parts > least else rows
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
 
