@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import phrases as ph
 from ..operators.chunks import chunk
-from ..sources.readers import table
+from ..sources.readers import dealt, table
 from .catalogue import query
 
 
@@ -70,8 +70,8 @@ def guard_failures(spark, sf):
 @query("""SELECT problem, count(*) AS n FROM (SELECT 'order without customer' AS problem FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
 UNION ALL SELECT 'line without order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'two lines of one part' FROM (SELECT l_orderkey, l_partkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)) GROUP BY ALL""")
 def contract_checks(spark, sf):
-    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
-    a = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("order without customer").alias("problem"))
+    orders, lines = table(spark, sf, "orders"), dealt(table(spark, sf, "lineitem"), "l_orderkey")
+    a = dealt(orders, "o_custkey").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select(F.lit("order without customer").alias("problem"))
     b = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.lit("line without order"))
     c = lines.groupBy("l_orderkey", "l_partkey").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("two lines of one part"))
     return a.union(b).union(c).groupBy("problem").agg(F.count("*").alias("n"))

@@ -1,8 +1,11 @@
 """What repeats in a table is worked out once, and gives the rows that working it out each time gives."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.functions import guards as gd
+from ruleloom.plans.catalogue import QUERIES
+from ruleloom.sources import readers
 
 
 def test_a_sentence_of_many_rows_is_read_once(spark):
@@ -29,3 +32,12 @@ def test_a_text_is_read_once_and_what_is_heard_twice_counts_once(spark):
     assert got == {1: ([2, 3], f'unresolved against 2, 3: "{over}"; unresolved against 2: "No town may enact it."'), 2: ([1], "unresolved against 1"), 3: ([1], "unresolved against 1"), 4: ([], None), 5: ([], None)}
     plan = rel.linked(rules, found)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("preempt") <= 3 * "".join(rel.wd.any_of(rel.OVERRIDES)).count("preempt")
+
+
+@pytest.mark.parametrize(("name", "dealt"), [("merge_overlapping_spans", 1), ("contract_checks", 3)])
+def test_a_task_has_no_more_rows_in_a_larger_table(spark, sf_dir, monkeypatch, name, dealt):
+    want = sorted(QUERIES[name](spark, sf_dir).collect())
+    monkeypatch.setattr(readers, "ROWS_A_PART", 250)
+    got = QUERIES[name](spark, sf_dir)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == dealt
+    assert sorted(got.collect()) == want
