@@ -33,10 +33,10 @@ def tests(spark, sf):
 
 
 def _outcomes(spark, sf):
-    t, p, r = tests(spark, sf), parcels(spark, sf), rules(spark, sf)
-    rows = lk.lookup_on(p, r, DAYS, ("state", "city"))
+    t, p, r = tests(spark, sf), ch.alike(parcels(spark, sf)), rules(spark, sf)
+    rows = lk.lookup_on(p, r, DAYS, ("state", "city", "n"))
     strict, _ = coverage(F.lit(None).cast("date"))
-    open_rows = lk.jurisdiction_pairs(p, r).select("address_id", "rule_id", "state", (strict != 0).alias("covers"))
+    open_rows = lk.jurisdiction_pairs(p, r).select("address_id", "n", "rule_id", "state", (strict != 0).alias("covers"))
     return ch.outcomes(t, rows, p, r, open_rows)
 
 

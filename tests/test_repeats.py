@@ -41,3 +41,15 @@ def test_a_task_has_no_more_rows_in_a_larger_table(spark, sf_dir, monkeypatch, n
     got = QUERIES[name](spark, sf_dir)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == dealt
     assert sorted(got.collect()) == want
+
+
+def test_addresses_alike_are_looked_up_once(spark, sf_dir):
+    from ruleloom.operators import changes as ch
+    from ruleloom.sources.views import parcels
+
+    own = parcels(spark, sf_dir)
+    twice = own.union(own.withColumn("address_id", F.col("address_id") + 1_000_000))
+    one, two = ({(r.state, r.city, r.confidence, r.year_built, r.units_min, r.units_max): (r.address_id, r.n) for r in ch.alike(p).collect()} for p in (own, twice))
+    assert two == {k: (at, 2 * n) for k, (at, n) in one.items()} and sum(n for _, n in two.values()) == twice.count()
+    tests = spark.createDataFrame([(1, ["CALIFORNIA"]), (2, None)], "test_id int, states array<string>").union(own.groupBy().agg(F.lit(3), F.collect_set("state")))
+    assert sorted(ch.scopes(tests, ch.alike(twice)).collect()) == sorted(ch.scopes(tests, twice).collect())
