@@ -7,6 +7,7 @@ symbol within it, and no sum goes over all symbols.
 
 from __future__ import annotations
 
+from heapq import heapreplace
 from itertools import islice
 
 import numpy as np
@@ -17,6 +18,8 @@ EMBEDDING, HIDDEN = 24, 32
 WINDOW, LANES = 16, 128
 SCORED_WINDOW, SCORED_LANES = 48, 256
 LEARNING_RATE = 0.05
+#: States whose symbols are looked up at a time.
+PICKED = 4096
 
 NAMES = ("embedding", "input", "recurrent", "bias", "class_out", "class_bias", "out", "out_bias")
 
@@ -46,91 +49,112 @@ def unpacked(flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _steps(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states after each of the steps ``x`` (steps, lanes), and what the way back needs."""
-    states = np.empty((len(x), *h.shape), np.float32)
-    kept = []
-    for t in range(len(x)):
-        a, g = table[x[t]], h @ w["recurrent"]
-        gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, r, over = gates[:, :HIDDEN], gates[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        new = r * over
-        new += a[:, 2 * HIDDEN :]
+def _steps(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hidden states after each of the steps ``x`` (steps, lanes), as (steps, lanes, HIDDEN), and what the way back needs.
+
+    Inside, the lanes are the last axis, so that each gate of a step is one block; below
+    the states stands a row of ones, which the biases are multiplied with.
+    """
+    steps, lanes = x.shape
+    kind = table.dtype
+    states = np.ones((steps + 1, HIDDEN + 1, lanes), kind)
+    states[0, :HIDDEN] = h.T
+    gates, over = np.empty((steps, 3 * HIDDEN, lanes), kind), np.empty((steps, 3 * HIDDEN, lanes), kind)
+    recurrent = np.ascontiguousarray(w["recurrent"].T)
+    for t in range(steps):
+        a, g, before, after = gates[t], over[t], states[t, :HIDDEN], states[t + 1, :HIDDEN]
+        a[...] = table.take(x[t], axis=0).T
+        np.matmul(recurrent, before, out=g)
+        both, new = a[: 2 * HIDDEN], a[2 * HIDDEN :]
+        both += g[: 2 * HIDDEN]
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
+        np.multiply(both[HIDDEN:], g[2 * HIDDEN :], out=after)
+        new += after
         np.tanh(new, out=new)
-        kept.append((h, z, r, new, over))
-        h = h - new
-        h *= z
-        h += new
-        states[t] = h
-    return states, kept
-
-
-def _carried(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The states of :func:`_steps` alone, worked out in place."""
-    states = np.empty((len(x), *h.shape), np.float32)
-    for t in range(len(x)):
-        a, g = table[x[t]], h @ w["recurrent"]
-        gates = a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        new = gates[:, HIDDEN:] * g[:, 2 * HIDDEN :]
-        new += a[:, 2 * HIDDEN :]
+        np.subtract(before, new, out=g[:HIDDEN])
+        np.multiply(g[:HIDDEN], both[:HIDDEN], out=after)
+        after += new
+    return states[1:, :HIDDEN].transpose(0, 2, 1), (states, gates, over)
+
+
+def _carried(recurrent: np.ndarray, table: np.ndarray, x: np.ndarray, h: np.ndarray, begin: list[tuple[int, int]]) -> np.ndarray:
+    """The states of :func:`_steps` alone; weights of the gates come with their sign turned. ``begin``: steps and lanes where a text begins, by step."""
+    steps, lanes = x.shape
+    states = np.empty((steps + 1, HIDDEN, lanes), table.dtype)
+    states[0] = h.T
+    a, g = np.empty((2, 3 * HIDDEN, lanes), table.dtype)
+    both, new, over = a[: 2 * HIDDEN], a[2 * HIDDEN :], g[2 * HIDDEN :]
+    z, r, more = both[:HIDDEN], both[HIDDEN:], g[: 2 * HIDDEN]
+    rows = table.take(x.reshape(-1), axis=0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1)
+    at, next_at = 0, begin[0][0] if begin else steps
+    for t in range(steps):
+        before, after = states[t], states[t + 1]
+        if t == next_at:
+            before = before.copy()
+            while t == next_at:
+                before[:, begin[at][1]] = 0
+                at += 1
+                next_at = begin[at][0] if at < len(begin) else steps
+        np.matmul(recurrent, before, out=g)
+        np.add(rows[t, : 2 * HIDDEN], more, out=both)
+        np.exp(both, out=both)
+        np.add(both, 1, out=both)
+        np.reciprocal(both, out=both)
+        np.multiply(r, over, out=new)
+        np.add(new, rows[t, 2 * HIDDEN :], out=new)
         np.tanh(new, out=new)
-        h = h - new
-        h *= gates[:, :HIDDEN]
-        h += new
-        states[t] = h
-    return states
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _softmax_gradient(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted gradient by ``x``, in its place, of minus the log-probability of ``target``, and that loss, summed."""
-    at = np.arange(len(target))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[at, target]
-    np.exp(x, out=x)
-    total = x.sum(axis=1)
-    loss = -float(((own - np.log(total)) * weight).sum())
-    x *= (weight / total)[:, None]
-    x[at, target] -= weight
-    return x, loss
-
-
-def _by_class(y: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """The rows of each class that occurs."""
-    k = (y // WIDTH).astype(np.int16)
+        np.subtract(before, new, out=after)
+        np.multiply(after, z, out=after)
+        np.add(after, new, out=after)
+    return states[1:]
+
+
+def _shifted(x: np.ndarray, axis: int) -> np.ndarray:
+    """Logits that can be raised without overflow: less by their largest, where one is far from 0."""
+    if x.size and (x.max() > 80 or x.min() < -80):
+        x -= x.max(axis=axis, keepdims=True)
+    return x
+
+
+def _by_class(y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """``rows`` in the order of the classes of ``y[rows]``; each class that occurs, and where its rows begin and end there."""
+    k = (y[rows] // WIDTH).astype(np.int16)
     order = np.argsort(k, kind="stable")
-    cuts = np.flatnonzero(np.diff(k[order])) + 1
-    return [(int(k[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
+    k = k[order]
+    cuts = [0, *(np.flatnonzero(np.diff(k)) + 1).tolist(), len(k)]
+    return rows[order], [(int(k[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
+def _with_biases(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights out of a state with a one behind it, to the classes (by column) and to the symbols (by row)."""
+    return np.concatenate([w["class_out"], w["class_bias"][None]]), np.concatenate([w["out"], w["out_bias"][:, None]], axis=1)
 
 
 def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of symbol ``y[i]`` after state ``states[i]``."""
-
-    def picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        own = x[np.arange(len(at)), at].astype(float)
-        with np.errstate(over="ignore"):
-            total = np.exp(x).sum(axis=1)
-        if not np.isfinite(total).all():
-            return _log_softmax(x)[np.arange(len(at)), at].astype(float)
-        return own - np.log(total)
-
-    out = picked(states @ w["class_out"] + w["class_bias"], y // WIDTH)
-    for k, rows in _by_class(y):
-        own = slice(k * WIDTH, (k + 1) * WIDTH)
-        out[rows] += picked(states[rows] @ w["out"][own].T + w["out_bias"][own], y[rows] - k * WIDTH)
-    return out
+    class_out, out = _with_biases(w)
+    found = np.empty(len(y))
+    for begin in range(0, len(y), PICKED):
+        part = slice(begin, begin + PICKED)
+        order, classes = _by_class(y[part], np.arange(len(y[part])))
+        symbol, some = y[part][order], _with_ones(states[part].take(order, axis=0))
+        within = np.empty((len(symbol), WIDTH), some.dtype)
+        for k, a, b in classes:
+            np.matmul(some[a:b], out[k * WIDTH : (k + 1) * WIDTH].T, out=within[a:b])
+        total = np.zeros(len(symbol))
+        for x, target in ((some @ class_out, symbol // WIDTH), (within, symbol % WIDTH)):
+            own = _shifted(x, 1)[np.arange(len(symbol)), target].astype(float)
+            np.exp(x, out=x)
+            total += own - np.log(x @ np.ones(x.shape[1], x.dtype))
+        found[begin + order] = total
+    return found
 
 
 class Trainer:
@@ -139,65 +163,108 @@ class Trainer:
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = weights
         self.sums = {n: np.full(x.shape, 1e-6, np.float32) for n, x in weights.items()}
+        self.symbols = np.arange(len(weights["out"]))
 
     def _move(self, name: str, gradient: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
-        self.sums[name][rows] += gradient * gradient
-        self.w[name][rows] -= LEARNING_RATE * gradient / np.sqrt(self.sums[name][rows])
+        sums = self.sums[name][rows]
+        sums += gradient * gradient
+        step = np.sqrt(sums)
+        np.divide(gradient, step, out=step)
+        step *= LEARNING_RATE
+        if isinstance(rows, slice):  # sums are a view then
+            self.w[name] -= step
+        else:
+            self.sums[name][rows] = sums
+            self.w[name][rows] -= step
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple[np.ndarray, np.ndarray | slice]], np.ndarray, float]:
         """Gradients of the loss over one window (steps, lanes), by the symbols of a full one; the state after it; the summed loss."""
         w = self.w
         steps, lanes = x.shape
+        kind = w["out"].dtype
         # only the rows of symbols that the window has
         there = np.zeros(len(w["embedding"]), bool)
         there[x] = True
         seen = np.flatnonzero(there)
-        number = np.cumsum(there) - 1
-        states, kept = _steps(w, w["embedding"][seen] @ w["input"] + w["bias"], number[x], h)
-        flat, target, weight = states.reshape(-1, HIDDEN), y.reshape(-1), mask.reshape(-1).astype(np.float32)
-        n = float(WINDOW * LANES)
+        number = (np.cumsum(there) - 1)[x]
+        _, (states, gates, over) = _steps(w, w["embedding"][seen] @ w["input"] + w["bias"], number, h)
+        before, after = states[:-1, :HIDDEN], states[1:]
+        class_out, out = _with_biases(w)
+        weight = mask.astype(kind) / kind.type(WINDOW * LANES)
         every = slice(None)
-        d, loss = _softmax_gradient(flat @ w["class_out"] + w["class_bias"], target // WIDTH, weight)
-        d /= n
-        back = d @ w["class_out"].T
-        found = {"class_out": (flat.T @ d, every), "class_bias": (d.sum(axis=0), every)}
-        out, out_bias, own_rows = [], [], []
-        for k, rows in _by_class(target):
-            own = slice(k * WIDTH, (k + 1) * WIDTH)
-            at = flat[rows]
-            d, more = _softmax_gradient(at @ w["out"][own].T + w["out_bias"][own], target[rows] - k * WIDTH, weight[rows])
-            d /= n
-            loss += more
-            back[rows] += d @ w["out"][own]
-            out.append(d.T @ at)
-            out_bias.append(d.sum(axis=0))
-            own_rows.append(np.arange(k * WIDTH, (k + 1) * WIDTH))
-        own_rows = np.concatenate(own_rows)
-        found |= {"out": (np.concatenate(out), own_rows), "out_bias": (np.concatenate(out_bias), own_rows)}
-        back = back.reshape(steps, lanes, HIDDEN)
-        da = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-        dw, dh = np.zeros_like(w["recurrent"]), np.zeros_like(h)
+
+        # classes: (steps, classes, lanes)
+        d = np.matmul(class_out.T, after)
+        at = (np.arange(steps)[:, None] * d.shape[1] + y // WIDTH) * lanes + np.arange(lanes)
+        own = _shifted(d, 1).reshape(-1)[at]
+        np.exp(d, out=d)
+        total = d.sum(axis=1)
+        loss = -float(((own - np.log(total)) * mask).sum())
+        d *= (weight / total)[:, None]
+        d.reshape(-1)[at] -= weight
+        sums = np.matmul(after, d.transpose(0, 2, 1)).sum(axis=0)
+        found = {"class_out": (sums[:-1], every), "class_bias": (sums[-1], every)}
+        back = np.matmul(w["class_out"], d)
+
+        # symbols of a class: a row a symbol that counts, class by class
+        flat = y.reshape(-1)
+        order, classes = _by_class(flat, np.flatnonzero(mask.reshape(-1)))
+        some = after.transpose(0, 2, 1).reshape(-1, HIDDEN + 1).take(order, axis=0)
+        target = flat[order] % WIDTH
+        d = np.empty((len(order), WIDTH), kind)
+        for k, a, b in classes:
+            np.matmul(some[a:b], out[k * WIDTH : (k + 1) * WIDTH].T, out=d[a:b])
+        own = _shifted(d, 1)[np.arange(len(order)), target]
+        np.exp(d, out=d)
+        total = d @ np.ones(WIDTH, kind)
+        loss -= float((own - np.log(total)).sum())
+        weight = kind.type(1 / (WINDOW * LANES))
+        d *= (weight / total)[:, None]
+        d[np.arange(len(order)), target] -= weight
+        sums, more = np.zeros_like(out), np.zeros((steps * lanes, HIDDEN), kind)
+        sorted_back = np.empty((len(order), HIDDEN), kind)
+        for k, a, b in classes:
+            np.matmul(d[a:b].T, some[a:b], out=sums[k * WIDTH : (k + 1) * WIDTH])
+            np.matmul(d[a:b], w["out"][k * WIDTH : (k + 1) * WIDTH], out=sorted_back[a:b])
+        more[order] = sorted_back
+        back += more.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
+        found |= {"out": (sums[:, :-1], self.symbols), "out_bias": (sums[:, -1], self.symbols)}
+
+        # through the gates: what a change of a state does to them, for all steps at once, then step by step
+        z, r, new = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+        by = np.empty_like(gates)
+        other = 1 - z
+        np.multiply(over[:, :HIDDEN] * z, other, out=by[:, :HIDDEN])
+        to_new = new * new
+        np.subtract(1, to_new, out=to_new)
+        to_new *= other
+        np.multiply(to_new, r, out=by[:, 2 * HIDDEN :])
+        np.subtract(1, r, out=other)
+        other *= over[:, 2 * HIDDEN :]
+        np.multiply(by[:, 2 * HIDDEN :], other, out=by[:, HIDDEN : 2 * HIDDEN])
+        by = by.reshape(steps, 3, HIDDEN, lanes)
+        dh = np.zeros((HIDDEN, lanes), kind)
         for t in reversed(range(steps)):
-            before, z, r, new, g = kept[t]
-            dh = dh + back[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            da[t, :, :HIDDEN] = dh * (before - new) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dnew * g * r * (1 - r)
-            da[t, :, 2 * HIDDEN :] = dnew
-            dg = np.concatenate([da[t, :, : 2 * HIDDEN], dnew * r], axis=1)
-            dw += before.T @ dg
-            dh = dh * z + dg @ w["recurrent"].T
-        symbols = number[x].reshape(-1).astype(np.int16 if len(seen) < 1 << 15 else np.int64)
+            back[t] += dh
+            by[t] *= back[t]
+            np.matmul(w["recurrent"], by[t].reshape(3 * HIDDEN, lanes), out=dh)
+            dh += back[t] * z[t]
+        da = by.reshape(steps, 3 * HIDDEN, lanes)
+        dw = np.matmul(before, da.transpose(0, 2, 1)).sum(axis=0)
+        np.multiply(back, to_new, out=da[:, 2 * HIDDEN :])
+        da = da.transpose(0, 2, 1)
+        found |= {"recurrent": (dw, every), "bias": (da.sum(axis=(0, 1)), every)}
+        found["input"] = (np.matmul(w["embedding"][x].transpose(0, 2, 1), da).sum(axis=0), every)
+        symbols = number.reshape(-1).astype(np.int16 if len(seen) < 1 << 15 else np.int64)
         order = np.argsort(symbols, kind="stable")
         starts = np.searchsorted(symbols[order], np.arange(len(seen)))
-        sums = np.add.reduceat(da.reshape(-1, 3 * HIDDEN)[order], starts)
-        found |= {"recurrent": (dw, every), "bias": (sums.sum(axis=0), every), "input": (w["embedding"][seen].T @ sums, every), "embedding": (sums @ w["input"].T, seen)}
-        return found, states[-1], loss
+        found["embedding"] = (np.add.reduceat(np.matmul(da, w["input"].T).reshape(-1, EMBEDDING).take(order, axis=0), starts), seen)
+        return found, states[-1, :HIDDEN].T, loss
 
     def learn(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         found, h, loss = self.gradients(x, y, mask, h)
         for name, (gradient, rows) in found.items():
-            self._move(name, np.clip(gradient, -1, 1), rows)
+            self._move(name, np.clip(gradient, -1, 1), slice(None) if rows is self.symbols else rows)
         return h, loss
 
 
@@ -226,27 +293,52 @@ def train(weights: dict[str, np.ndarray], texts, first: int, lanes: int = LANES)
     return seen
 
 
+def _lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
+    """The texts of each lane, one after the other; as many lanes as the longest text leaves work for, the fullest first."""
+    n = max(1, min(most, -(-int(lengths.sum()) // max(1, int(lengths.max(initial=0))))))
+    lanes: list[list[int]] = [[] for _ in range(n)]
+    least = [(0, k) for k in range(n)]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        full, k = least[0]
+        lanes[k].append(i)
+        heapreplace(least, (full + int(lengths[i]), k))
+    return [lanes[k] for _, k in sorted(least, reverse=True)]
+
+
 def score(weights: dict[str, np.ndarray], texts: list[np.ndarray], first: int, lanes: int = SCORED_LANES) -> np.ndarray:
-    """Natural log-likelihood of each whole run of symbols, the state carried from its beginning to its end."""
-    table = weights["embedding"] @ weights["input"] + weights["bias"]
+    """Natural log-likelihood of each whole run of symbols, the state carried from its beginning to its end.
+
+    A lane reads texts one after the other, each from an empty state, so that few lanes stand idle.
+    """
+    sign = np.repeat(np.array([-1, -1, 1], weights["bias"].dtype), HIDDEN)
+    table = (weights["embedding"] @ weights["input"] + weights["bias"]) * sign
+    recurrent = np.ascontiguousarray((weights["recurrent"] * sign).T)
     total = np.zeros(len(texts))
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for begin in range(0, len(order), lanes):
-        some = order[begin : begin + lanes]
-        lengths = np.array([len(texts[i]) for i in some])
-        h = np.zeros((len(some), HIDDEN), np.float32)
-        last = np.full(len(some), first)
-        for at in range(0, int(lengths[0]) if len(some) else 0, SCORED_WINDOW):
-            live = int(np.count_nonzero(lengths > at))
-            y = np.zeros((min(SCORED_WINDOW, int(lengths[0]) - at), live), np.int64)
-            for j in range(live):
-                part = texts[some[j]][at : at + SCORED_WINDOW]
-                y[: len(part), j] = part
-            mask = np.arange(at, at + len(y))[:, None] < lengths[None, :live]
-            x = np.vstack([last[None, :live], y[:-1]])
-            states = _carried(weights, table, x, h[:live])
-            rows = np.flatnonzero(mask.reshape(-1))
-            lp = log_probabilities(weights, states.reshape(-1, HIDDEN)[rows], y.reshape(-1)[rows])
-            total[some[:live]] += np.bincount(np.broadcast_to(np.arange(live), y.shape).reshape(-1)[rows], weights=lp, minlength=live)
-            h, last = states[-1], y[-1]
+    dealt = _lanes(np.array([len(t) for t in texts], np.int64), lanes)
+    lengths = np.array([sum(len(texts[i]) for i in some) for some in dealt])
+    x, y, text = np.zeros((3, len(dealt), int(lengths.max(initial=0))), np.int32)
+    begin = []
+    for j, some in enumerate(dealt):
+        at = 0
+        for i in some:
+            end = at + len(texts[i])
+            if end > at:
+                y[j, at:end] = texts[i]
+                x[j, at + 1 : end] = texts[i][:-1]
+                x[j, at], text[j, at:end] = first, i
+                begin.append((at, j))
+                at = end
+    begin.sort(reverse=True)
+    h = np.zeros((len(dealt), HIDDEN), np.float32)
+    for at in range(0, x.shape[1], SCORED_WINDOW):
+        live, end = int(np.count_nonzero(lengths > at)), min(at + SCORED_WINDOW, x.shape[1])
+        new = []
+        while begin and begin[-1][0] < end:
+            t, j = begin.pop()
+            new.append((t - at, j))
+        states = _carried(recurrent, table, np.ascontiguousarray(x[:live, at:end].T), h[:live], new)
+        rows = np.flatnonzero((np.arange(at, end)[:, None] < lengths[:live]).reshape(-1))
+        lp = log_probabilities(weights, states.transpose(0, 2, 1).reshape(-1, HIDDEN)[rows], y[:live, at:end].T.reshape(-1)[rows])
+        total += np.bincount(text[:live, at:end].T.reshape(-1)[rows], weights=lp, minlength=len(texts))
+        h = states[-1].T
     return total

@@ -22,16 +22,17 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, repeat
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import gru
+from . import gru, worker
 from .storage import written
 
 END = "\n"
@@ -49,8 +50,12 @@ FAN = 16
 SHARE_LANES = 256
 #: Tokens of a run.
 RUN = 64
-#: Characters of text that a task takes at a time.
+#: Characters of text that a task takes at a time; symbols that it scores at a time; distinct tokens that it counts at a time, and sends at a time.
 TAKEN = 4_000_000
+SCORED = 1 << 21
+HELD, COUNTS_SENT = 1 << 19, 1 << 16
+#: Symbols as they are written: there are fewer than 65,536.
+SYMBOL = np.dtype("<u2")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,13 +68,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
 
-def token_column(text: Column) -> Column:
-    """The same as an array of strings, with the end."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.filter(F.split(F.coalesce(lower, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.concat(words, F.array(F.lit(END)))
-
-
 def rest_of(token: bytes) -> int:
     return zlib.crc32(token[-3:]) % REST
 
@@ -100,8 +98,38 @@ class Vocabulary:
 
 
 def count_tokens(docs: DataFrame, text: Column) -> DataFrame:
-    """``(token, c)`` over all rows."""
-    return docs.select(F.explode(token_column(text)).alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+    """``(token, c)`` over all rows; a task hands its counts on whenever it holds HELD tokens."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.hold()
+        counts: Counter[bytes] = Counter()
+        for texts in (batch.column(0) for batch in batches):
+            for part in _parts(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), TAKEN):
+                counts.update(tokens_of(" ".join(filter(None, texts.slice(part.start, part.stop - part.start).to_pylist()))))
+                counts[END.encode()] += part.stop - part.start
+                if len(counts) >= HELD:
+                    yield from _count_batches(counts)
+                    counts.clear()
+        yield from _count_batches(counts)
+
+    found = docs.select(text.cast("string").alias("text")).mapInArrow(counted, "token string, c long")
+    return found.groupBy("token").agg(F.sum("c").alias("c"))
+
+
+def _count_batches(counts: Counter[bytes]) -> Iterator[pa.RecordBatch]:
+    tokens, times = list(counts), list(counts.values())
+    for at in range(0, len(tokens), COUNTS_SENT):
+        some = slice(at, at + COUNTS_SENT)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[some], pa.binary()).cast(pa.string()), pa.array(times[some], pa.int64())], names=["token", "c"])
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Rows in a row, cut whenever their sizes have reached ``most``; every row is in one part."""
+    at = 0
+    while at < len(sizes):
+        end = at + 1 + int(np.searchsorted(np.cumsum(sizes[at:]), most))
+        yield slice(at, min(end, len(sizes)))
+        at = end
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -145,42 +173,90 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(int(total), int(types), found[END.encode()], place, symbol, log_count, log_share, number[len(short) : len(short) + REST], np.log10(totals), amounts[order])
 
 
-def symbols_of(v: Vocabulary, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
-    """Symbols of a text's tokens, its end among them; their places (-1: not among the frequent); those others and their symbols' numbers."""
-    place = np.empty(len(tokens) + 1, np.int64)
-    place[:-1] = np.fromiter(map(v.place.get, tokens, repeat(-1)), np.int64, len(tokens))
-    place[-1] = v.place[END.encode()]
-    symbol = v.symbol[place]
-    others = np.flatnonzero(place < 0)
-    rare = [tokens[i] for i in others.tolist()]
-    rest = [zlib.crc32(w[-3:]) % REST for w in rare]
-    if rare:
-        symbol[others] = v.rest_symbol[rest]
-    return symbol, place, rare, rest
+def encode(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """A row each of ``rows(id, text, held_out)``, for training and for scoring: its symbols, each two bytes, and what is known of it without the network.
+
+    ``order`` is a hash of the row, ``own`` the logarithm of its tokens' shares of their symbols, ``tokens`` those
+    that are not among the frequent ones and ``times`` how often each of them stands in the text.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(v)
+    schema = T.StructType([
+        T.StructField("row", T.LongType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("order", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
+        T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType()), T.StructField("symbols", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.hold()
+        v = known.value
+        number = v.symbol.astype(SYMBOL)
+        unknown, end = np.log10(SMOOTHING) + 1e-9, v.place[END.encode()]
+        log_count, log_share = np.append(v.log_count, 0.0), np.append(v.log_share, 0.0)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for part in _parts(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), TAKEN):
+                n = part.stop - part.start
+                found = [tokens_of(text) for text in batch.column(1).slice(part.start, n).to_pylist()]
+                lengths = np.fromiter(map(len, found), np.int64, n) + 1
+                ends = np.cumsum(lengths)
+                begins = ends - lengths
+                place = np.empty(int(ends[-1]), np.int64)
+                place[ends - 1] = end
+                inner = np.ones(len(place), bool)
+                inner[ends - 1] = False
+                place[inner] = np.fromiter(map(v.place.get, chain.from_iterable(found), repeat(-1)), np.int64, len(place) - n)
+                symbol = number[place]
+                counts = log_count[place]
+                own = np.add.reduceat(log_share[place], begins)
+                known_tokens = np.add.reduceat((counts > unknown) & (place >= 0), begins, dtype=np.int64)
+                tokens, times = [[] for _ in range(n)], [[] for _ in range(n)]
+                others = np.flatnonzero(place < 0)
+                of = np.searchsorted(ends, others, side="right")
+                rare = [found[i][j] for i, j in zip(of.tolist(), (others - begins[of]).tolist(), strict=True)]
+                if rare:
+                    rest = np.fromiter(map(rest_of, rare), np.int64, len(rare))
+                    symbol[others] = v.rest_symbol[rest]
+                    own -= np.bincount(of, weights=v.rest_log_total[rest], minlength=n)
+                    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        some = Counter(rare[a:b])
+                        tokens[of[a]], times[of[a]] = list(some), list(some.values())
+                data = pa.py_buffer(symbol.tobytes())
+                offsets = pa.py_buffer((np.concatenate([[0], ends]) * symbol.itemsize).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(row, row + n)), batch.column(0).slice(part.start, n), batch.column(2).slice(part.start, n), batch.column(3).slice(part.start, n), pa.array(lengths), pa.array(known_tokens),
+                    pa.array(np.add.reduceat(counts, begins)), pa.array(own), pa.Array.from_buffers(pa.binary(), n, [None, offsets, data]), pa.array(tokens, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())),
+                ], names=schema.names)
+                row += n
+
+    return rows.select("id", "text", "held_out", F.xxhash64("id", "text").alias("order")).mapInArrow(run, schema)
 
 
-def _runs(v: Vocabulary, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
-    """The runs that are learned from: each text from its first token to its end."""
+def _runs(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
+    """The runs that are learned from: each text's symbols from its first token to its end."""
     for text in texts:
-        symbol = symbols_of(v, tokens_of(text))[0]
+        symbol = np.frombuffer(text, SYMBOL)
         for begin in range(0, len(symbol), RUN):
             yield symbol[begin : begin + RUN]
 
 
 def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
     """Weights learned from ``train(id, text)``, see the module's text; the tokens learned from after the start, which are all there are."""
-    spark = train.sparkSession
-    size = len(v.symbol_counts)
-    known = spark.sparkContext.broadcast(v)
+    return learn(written(encode(train.select("id", F.col("text").cast("string").alias("text"), F.lit(False).alias("held_out")), v), "encoded"), v)
+
+
+def learn(coded: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
+    """As :func:`fit`, from ``coded(order, symbols)``."""
+    spark = coded.sparkSession
+    size, counts, end = len(v.symbol_counts), v.symbol_counts, v.end
     schema = "share long, weights binary, seen double"
     arrow = pa.schema([("share", pa.int64()), ("weights", pa.binary()), ("seen", pa.float64())])
 
     def row(share: int, weights: np.ndarray, seen: float) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"share": [share], "weights": [weights.astype(np.float32).tobytes()], "seen": [float(seen)]}, schema=arrow)
 
-    def bounded(texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+    def bounded(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
         left = START_TOKENS
-        for run in _runs(known.value, texts):
+        for run in _runs(texts):
             if left <= 0:
                 return
             left -= len(run)
@@ -191,23 +267,25 @@ def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
         return groupby(rows, key=lambda r: r[0])
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.hold()
         for share, rows in by_share(batches):
-            weights = gru.fresh(known.value.symbol_counts)
-            seen = gru.train(weights, bounded(r[1] for r in rows), known.value.end)
+            weights = gru.fresh(counts)
+            seen = gru.train(weights, bounded(r[1] for r in rows), end)
             yield row(share, gru.packed(weights), seen)
 
     # a part of the rows by their hash, about START_DOCUMENTS whatever the corpus; copies are as rare in it as there
-    hashed = train.select(F.xxhash64("id", "text").alias("order"), F.col("text").cast("string").alias("text"))
+    hashed = coded.select("order", "symbols")
     part = min(1.0, START_DOCUMENTS / max(1, v.documents))
-    picked = hashed.where(F.pmod("order", F.lit(1 << 30)) < int(part * (1 << 30))).repartition(1).sortWithinPartitions("order", "text")
-    first = picked.select(F.lit(0).cast("long").alias("share"), "text").mapInArrow(start, schema).collect()
+    picked = hashed.where(F.pmod("order", F.lit(1 << 30)) < int(part * (1 << 30))).repartition(1).sortWithinPartitions("order", "symbols")
+    first = picked.select(F.lit(0).cast("long").alias("share"), "symbols").mapInArrow(start, schema).collect()
     weights = np.frombuffer(first[0].weights, np.float32) if first else gru.packed(gru.fresh(v.symbol_counts))
     begun = spark.sparkContext.broadcast(weights)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.hold()
         for share, rows in by_share(batches):
             mine = gru.unpacked(begun.value, size)
-            seen = gru.train(mine, _runs(known.value, (r[1] for r in rows)), known.value.end, SHARE_LANES)
+            seen = gru.train(mine, _runs(r[1] for r in rows), end, SHARE_LANES)
             yield row(share, gru.packed(mine), seen)
 
     def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +298,8 @@ def fit(train: DataFrame, v: Vocabulary) -> tuple[dict[str, np.ndarray], int]:
                 yield row(share, total / seen, seen)
 
     shares = max(1, min(SHARES, -(-v.total // SHARE_TOKENS)), -(-v.total // MOST_TOKENS))
-    dealt = hashed.withColumn("share", F.pmod("order", F.lit(shares))).repartition("share").sortWithinPartitions("share", "order", "text")
-    learned = dealt.select("share", "text").mapInArrow(go_on, schema)
+    dealt = hashed.withColumn("share", F.pmod("order", F.lit(shares))).repartition("share").sortWithinPartitions("share", "order", "symbols")
+    learned = dealt.select("share", "symbols").mapInArrow(go_on, schema)
     while shares > 1:  # a level a job; no task and no driver sees more than FAN models at once
         learned = written(learned, "models").withColumn("up", F.floor(F.col("share") / FAN)).repartition("up").sortWithinPartitions("up", "share")
         learned = learned.select("up", "share", "weights", "seen").mapInArrow(averaged, schema)
@@ -240,54 +318,36 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Counts of frequent tokens go to the tasks; the others of each document are
     joined with the table of counts, and their sums brought back to the document.
+    The symbols of all texts are written once, for training and for scoring.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     counts = written(count_tokens(train, F.col("text")), "token-counts")
     v = vocabulary(counts)
-    known, learned = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(gru.packed(fit(train, v)[0]))
-    n_symbols = len(v.symbol_counts)
-    out = T.StructType([
-        T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
-        T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("times", T.ArrayType(T.LongType())),
-    ])
+    coded = written(encode(rows, v), "encoded")
+    learned = spark.sparkContext.broadcast(gru.packed(learn(coded.where(~F.col("held_out")), v)[0]))
+    n_symbols, end = len(v.symbol_counts), v.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, weights = known.value, gru.unpacked(learned.value, n_symbols)
-        row = TaskContext.get().partitionId() << 33
+        worker.hold()
+        weights = gru.unpacked(learned.value, n_symbols)
         for batch in batches:
-            texts, at = batch.column(1), 0
-            while at < batch.num_rows:
-                end, size, symbols, columns = at, 0, [], [[] for _ in range(7)]
-                while end < batch.num_rows and (size == 0 or size < TAKEN):
-                    text = texts[end].as_py()
-                    size += len(text or "")
-                    tokens = tokens_of(text)
-                    symbol, place, rare, classes = symbols_of(v, tokens)
-                    symbols.append(symbol)
-                    place = place[place >= 0]
-                    log_count = v.log_count[place]
-                    own = v.log_share[place].sum() - (v.rest_log_total[classes].sum() if rare else 0.0)
-                    rest = Counter(rare)
-                    values = (row + end, len(tokens) + 1, int(np.count_nonzero(log_count > math.log10(SMOOTHING) + 1e-9)), float(log_count.sum()), float(own), list(rest), list(rest.values()))
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                    end += 1
-                score = gru.score(weights, symbols, v.end) / math.log(10) + np.array(columns[4])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(columns[0], pa.int64()), batch.column(0).slice(at, end - at), batch.column(2).slice(at, end - at), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()),
-                    pa.array(columns[3], pa.float64()), pa.array(score, pa.float64()), pa.array(columns[5], pa.list_(pa.string())), pa.array(columns[6], pa.list_(pa.int64())),
-                ], names=out.names)
-                at = end
-            row += batch.num_rows
-
-    scored = written(rows.select("id", "text", "held_out").mapInArrow(run, out), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.times").alias("times"))
+            symbols = [np.frombuffer(x, SYMBOL) for x in batch.column("symbols").to_pylist()]
+            score = np.empty(len(symbols))
+            for part in _parts(np.fromiter(map(len, symbols), np.int64, len(symbols)), SCORED):
+                score[part] = gru.score(weights, symbols[part], end)
+            score = pa.array(score / math.log(10) + batch.column("own").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), score], names=[*kept, "score"])
+
+    kept = ["row", "id", "held_out", "n_tokens", "known", "base"]
+    out = T.StructType([coded.schema[n] for n in kept]).add("score", T.DoubleType())
+    scored = coded.select(*kept, "own", "symbols").mapInArrow(run, out)
+    rare = coded.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.times").alias("times"))
     c = F.coalesce(F.col("c"), F.lit(0))
     sums = rare.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + SMOOTHING)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"))
     more, more_known = F.coalesce("more", F.lit(0.0)), F.coalesce("more_known", F.lit(0))
-    return scored.drop("tokens", "times").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + more_known).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
         (F.col("base") + more - F.col("n_tokens") * v.log_all).alias("base_score"), (F.col("score") + more).alias("score"),
     )

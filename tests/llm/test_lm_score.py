@@ -169,3 +169,36 @@ def test_held_out_documents_at_a_larger_scale(spark, sf_dir):
     assert lm_score.fit(train, v)[1] == v.total
     held = [x for x in QUERIES["op1_lm_score"](spark, str(larger)).collect() if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
+def test_lanes_read_texts_one_after_the_other_from_an_empty_state():
+    r = np.random.default_rng(5)
+    lengths = np.array([1000, *r.integers(0, 30, 400)])
+    lanes = gru._lanes(lengths, 256)
+    assert sorted(i for some in lanes for i in some) == list(range(401))
+    assert max(lengths[some].sum() for some in lanes) * len(lanes) < 2 * lengths.sum()
+    w = gru.fresh(r.integers(1, 50, 192))
+    runs = [r.integers(0, 192, n) for n in (0, 1, 47, 48, 49, 100, 3, 3, 200)]
+    alone = [gru.score(w, [run], 3)[0] for run in runs]
+    for n in (1, 2, 5):
+        assert gru.score(w, runs, 3, n) == pytest.approx(alone, rel=1e-5)
+    assert len(gru.score(w, [], 3)) == 0
+
+
+def test_texts_are_encoded_once_with_what_their_scores_need(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FREQUENT", 20)
+    monkeypatch.setattr(lm_score, "SHORTLIST", 10)
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice("abcdefghijklmnopqrstuvwxyzé") * 2 for _ in range(r.randrange(0, 60)))) for k in range(60)] + [(60, None), (61, "Unseen words UNSEEN")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("held_out", F.col("id") > 50)
+    want = Counter(t for _, text in rows[:51] for t in _tokens(text))
+    counts = lm_score.count_tokens(df.where("not held_out"), F.col("text"))
+    assert {x.token: x.c for x in counts.collect()} == want
+    v = lm_score.vocabulary(counts)
+    for x in lm_score.encode(df.repartition(3), v).collect():
+        ts = _tokens(rows[x.id][1])
+        others = Counter(t for t in ts if t.encode() not in v.place)
+        assert (x.n_tokens, len(x.symbols), dict(zip(x.tokens, x.times, strict=True))) == (len(ts), 2 * len(ts), others)
+        symbols = [v.symbol[v.place[t.encode()]] if t.encode() in v.place else v.rest_symbol[lm_score.rest_of(t.encode())] for t in ts]
+        assert np.frombuffer(x.symbols, lm_score.SYMBOL).tolist() == symbols
+        assert x.known == sum(want[t] > 0 for t in ts if t not in others)
