@@ -20,6 +20,8 @@ SCORED_WINDOW, SCORED_LANES = 48, 256
 LEARNING_RATE = 0.05
 #: States whose symbols are looked up at a time.
 PICKED = 4096
+#: Rows of a step's column: after the symbol's vector the state, and last a one.
+STATE, LAST = slice(EMBEDDING, EMBEDDING + HIDDEN), EMBEDDING + HIDDEN
 
 NAMES = ("embedding", "input", "recurrent", "bias", "class_out", "class_bias", "out", "out_bias")
 
@@ -49,67 +51,65 @@ def unpacked(flat: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _steps(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hidden states after each of the steps ``x`` (steps, lanes), as (steps, lanes, HIDDEN), and what the way back needs.
+def _steps(w: dict[str, np.ndarray], table: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    """In plain form what :func:`_forward` does: states after each of the steps ``x`` (steps, lanes), as (steps, lanes, HIDDEN), and the gates."""
+    states, gates = np.empty((len(x), *h.shape), table.dtype), []
+    for t in range(len(x)):
+        a, g = table[x[t]], h @ w["recurrent"]
+        z, r = np.split(1 / (1 + np.exp(-a[:, : 2 * HIDDEN] - g[:, : 2 * HIDDEN])), 2, axis=1)
+        new = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+        states[t] = h = new + z * (h - new)
+        gates.append((z, r, new))
+    return states, gates
 
-    Inside, the lanes are the last axis, so that each gate of a step is one block; below
-    the states stands a row of ones, which the biases are multiplied with.
+
+def _joined(w: dict[str, np.ndarray]) -> np.ndarray:
+    """All weights of a step, to be multiplied with a column of symbol's vector, state and one.
+
+    Rows: what the reset gate holds back of the new state, both gates with their sign turned, the rest of the new state.
     """
-    steps, lanes = x.shape
-    kind = table.dtype
-    states = np.ones((steps + 1, HIDDEN + 1, lanes), kind)
-    states[0, :HIDDEN] = h.T
-    gates, over = np.empty((steps, 3 * HIDDEN, lanes), kind), np.empty((steps, 3 * HIDDEN, lanes), kind)
-    recurrent = np.ascontiguousarray(w["recurrent"].T)
-    for t in range(steps):
-        a, g, before, after = gates[t], over[t], states[t, :HIDDEN], states[t + 1, :HIDDEN]
-        a[...] = table.take(x[t], axis=0).T
-        np.matmul(recurrent, before, out=g)
-        both, new = a[: 2 * HIDDEN], a[2 * HIDDEN :]
-        both += g[: 2 * HIDDEN]
-        np.negative(both, out=both)
-        np.exp(both, out=both)
-        both += 1
-        np.reciprocal(both, out=both)
-        np.multiply(both[HIDDEN:], g[2 * HIDDEN :], out=after)
-        new += after
-        np.tanh(new, out=new)
-        np.subtract(before, new, out=g[:HIDDEN])
-        np.multiply(g[:HIDDEN], both[:HIDDEN], out=after)
-        after += new
-    return states[1:, :HIDDEN].transpose(0, 2, 1), (states, gates, over)
+    m = np.zeros((4 * HIDDEN, LAST + 1), w["bias"].dtype)
+    m[:HIDDEN, STATE] = w["recurrent"][:, 2 * HIDDEN :].T
+    m[HIDDEN : 3 * HIDDEN, STATE] = -w["recurrent"][:, : 2 * HIDDEN].T
+    m[HIDDEN:, :EMBEDDING], m[HIDDEN:, LAST] = w["input"].T, w["bias"]
+    m[HIDDEN : 3 * HIDDEN, :EMBEDDING] *= -1
+    m[HIDDEN : 3 * HIDDEN, LAST] *= -1
+    return m
 
 
-def _carried(recurrent: np.ndarray, table: np.ndarray, x: np.ndarray, h: np.ndarray, begin: list[tuple[int, int]]) -> np.ndarray:
-    """The states of :func:`_steps` alone; weights of the gates come with their sign turned. ``begin``: steps and lanes where a text begins, by step."""
+def _columns(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each step a column a lane: the symbol's vector, the state before it (of the first step ``h``, of the others to be filled in), and one; a last one for the state in the end."""
     steps, lanes = x.shape
-    states = np.empty((steps + 1, HIDDEN, lanes), table.dtype)
-    states[0] = h.T
-    a, g = np.empty((2, 3 * HIDDEN, lanes), table.dtype)
-    both, new, over = a[: 2 * HIDDEN], a[2 * HIDDEN :], g[2 * HIDDEN :]
-    z, r, more = both[:HIDDEN], both[HIDDEN:], g[: 2 * HIDDEN]
-    rows = table.take(x.reshape(-1), axis=0).reshape(steps, lanes, 3 * HIDDEN).transpose(0, 2, 1)
+    u = np.empty((steps + 1, LAST + 1, lanes), w["embedding"].dtype)
+    u[:-1, :EMBEDDING] = w["embedding"].take(x, axis=0).transpose(0, 2, 1)
+    u[0, STATE] = h.T
+    u[:, LAST] = 1
+    return u
+
+
+def _forward(joined: np.ndarray, u: np.ndarray, parts, begin=()) -> None:
+    """Fills in the states of ``u``; ``parts[t]`` gets the four blocks of step ``t``. ``begin``: steps and lanes where a text begins, by step."""
+    steps = len(u) - 1
     at, next_at = 0, begin[0][0] if begin else steps
     for t in range(steps):
-        before, after = states[t], states[t + 1]
-        if t == next_at:
-            before = before.copy()
+        column, p, after = u[t], parts[t], u[t + 1, STATE]
+        if t == next_at:  # the state that was read up to here stays
+            column = column.copy()
             while t == next_at:
-                before[:, begin[at][1]] = 0
+                column[STATE, begin[at][1]] = 0
                 at += 1
                 next_at = begin[at][0] if at < len(begin) else steps
-        np.matmul(recurrent, before, out=g)
-        np.add(rows[t, : 2 * HIDDEN], more, out=both)
+        np.matmul(joined, column, out=p)
+        both, new = p[HIDDEN : 3 * HIDDEN], p[3 * HIDDEN :]
         np.exp(both, out=both)
         np.add(both, 1, out=both)
         np.reciprocal(both, out=both)
-        np.multiply(r, over, out=new)
-        np.add(new, rows[t, 2 * HIDDEN :], out=new)
+        np.multiply(both[HIDDEN:], p[:HIDDEN], out=after)
+        np.add(new, after, out=new)
         np.tanh(new, out=new)
-        np.subtract(before, new, out=after)
-        np.multiply(after, z, out=after)
+        np.subtract(column[STATE], new, out=after)
+        np.multiply(after, both[:HIDDEN], out=after)
         np.add(after, new, out=after)
-    return states[1:]
 
 
 def _shifted(x: np.ndarray, axis: int) -> np.ndarray:
@@ -128,10 +128,6 @@ def _by_class(y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[tuple[i
     return rows[order], [(int(k[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
-def _with_ones(states: np.ndarray) -> np.ndarray:
-    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
-
-
 def _with_biases(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Weights out of a state with a one behind it, to the classes (by column) and to the symbols (by row)."""
     return np.concatenate([w["class_out"], w["class_bias"][None]]), np.concatenate([w["out"], w["out_bias"][:, None]], axis=1)
@@ -139,12 +135,16 @@ def _with_biases(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probabilities(w: dict[str, np.ndarray], states: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural log-probability of symbol ``y[i]`` after state ``states[i]``."""
-    class_out, out = _with_biases(w)
+    return _looked_up(*_with_biases(w), np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1), y)
+
+
+def _looked_up(class_out: np.ndarray, out: np.ndarray, states: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same with a one behind each state, and weights of :func:`_with_biases`."""
     found = np.empty(len(y))
     for begin in range(0, len(y), PICKED):
         part = slice(begin, begin + PICKED)
         order, classes = _by_class(y[part], np.arange(len(y[part])))
-        symbol, some = y[part][order], _with_ones(states[part].take(order, axis=0))
+        symbol, some = y[part][order], states[part].take(order, axis=0)
         within = np.empty((len(symbol), WIDTH), some.dtype)
         for k, a, b in classes:
             np.matmul(some[a:b], out[k * WIDTH : (k + 1) * WIDTH].T, out=within[a:b])
@@ -182,13 +182,10 @@ class Trainer:
         w = self.w
         steps, lanes = x.shape
         kind = w["out"].dtype
-        # only the rows of symbols that the window has
-        there = np.zeros(len(w["embedding"]), bool)
-        there[x] = True
-        seen = np.flatnonzero(there)
-        number = (np.cumsum(there) - 1)[x]
-        _, (states, gates, over) = _steps(w, w["embedding"][seen] @ w["input"] + w["bias"], number, h)
-        before, after = states[:-1, :HIDDEN], states[1:]
+        u = _columns(w, x, h)
+        parts = np.empty((steps, 4 * HIDDEN, lanes), u.dtype)
+        _forward(_joined(w), u, parts)
+        before, after = u[:-1, STATE], u[1:, STATE.start :]
         class_out, out = _with_biases(w)
         weight = mask.astype(kind) / kind.type(WINDOW * LANES)
         every = slice(None)
@@ -221,45 +218,49 @@ class Trainer:
         weight = kind.type(1 / (WINDOW * LANES))
         d *= (weight / total)[:, None]
         d[np.arange(len(order)), target] -= weight
-        sums, more = np.zeros_like(out), np.zeros((steps * lanes, HIDDEN), kind)
-        sorted_back = np.empty((len(order), HIDDEN), kind)
+        sums, sorted_back = np.zeros_like(out), np.empty((len(order) + 1, HIDDEN), kind)
+        sorted_back[-1] = 0
+        place = np.full(steps * lanes, len(order))
+        place[order] = np.arange(len(order))
         for k, a, b in classes:
             np.matmul(d[a:b].T, some[a:b], out=sums[k * WIDTH : (k + 1) * WIDTH])
             np.matmul(d[a:b], w["out"][k * WIDTH : (k + 1) * WIDTH], out=sorted_back[a:b])
-        more[order] = sorted_back
-        back += more.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
+        back += sorted_back.take(place, axis=0).reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
         found |= {"out": (sums[:, :-1], self.symbols), "out_bias": (sums[:, -1], self.symbols)}
 
         # through the gates: what a change of a state does to them, for all steps at once, then step by step
-        z, r, new = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-        by = np.empty_like(gates)
+        over, z, r, new = parts.reshape(steps, 4, HIDDEN, lanes).transpose(1, 0, 2, 3)
+        by = np.empty((steps, 4, HIDDEN, lanes), kind)
         other = 1 - z
-        np.multiply(over[:, :HIDDEN] * z, other, out=by[:, :HIDDEN])
-        to_new = new * new
-        np.subtract(1, to_new, out=to_new)
-        to_new *= other
-        np.multiply(to_new, r, out=by[:, 2 * HIDDEN :])
+        np.subtract(before, new, out=by[:, 1])
+        by[:, 1] *= z
+        by[:, 1] *= other
+        np.multiply(new, new, out=by[:, 3])
+        np.subtract(1, by[:, 3], out=by[:, 3])
+        by[:, 3] *= other
+        np.multiply(by[:, 3], r, out=by[:, 0])
         np.subtract(1, r, out=other)
-        other *= over[:, 2 * HIDDEN :]
-        np.multiply(by[:, 2 * HIDDEN :], other, out=by[:, HIDDEN : 2 * HIDDEN])
-        by = by.reshape(steps, 3, HIDDEN, lanes)
-        dh = np.zeros((HIDDEN, lanes), kind)
+        other *= over
+        np.multiply(by[:, 0], other, out=by[:, 2])
+        recurrent = np.roll(w["recurrent"], HIDDEN, axis=1)
+        da = by.reshape(steps, 4 * HIDDEN, lanes)
+        dh, kept = np.zeros((2, HIDDEN, lanes), kind)
         for t in reversed(range(steps)):
             back[t] += dh
             by[t] *= back[t]
-            np.matmul(w["recurrent"], by[t].reshape(3 * HIDDEN, lanes), out=dh)
-            dh += back[t] * z[t]
-        da = by.reshape(steps, 3 * HIDDEN, lanes)
-        dw = np.matmul(before, da.transpose(0, 2, 1)).sum(axis=0)
-        np.multiply(back, to_new, out=da[:, 2 * HIDDEN :])
+            np.matmul(recurrent, da[t, : 3 * HIDDEN], out=dh)
+            np.multiply(back[t], z[t], out=kept)
+            dh += kept
         da = da.transpose(0, 2, 1)
-        found |= {"recurrent": (dw, every), "bias": (da.sum(axis=(0, 1)), every)}
-        found["input"] = (np.matmul(w["embedding"][x].transpose(0, 2, 1), da).sum(axis=0), every)
-        symbols = number.reshape(-1).astype(np.int16 if len(seen) < 1 << 15 else np.int64)
+        sums = np.matmul(u[:-1], da).sum(axis=0)
+        found |= {"recurrent": (np.roll(sums[STATE, : 3 * HIDDEN], -HIDDEN, axis=1), every), "bias": (sums[LAST, HIDDEN:], every), "input": (sums[:EMBEDDING, HIDDEN:], every)}
+        symbols = x.reshape(-1).astype(np.int16 if len(out) < 1 << 15 else np.int64)
         order = np.argsort(symbols, kind="stable")
-        starts = np.searchsorted(symbols[order], np.arange(len(seen)))
-        found["embedding"] = (np.add.reduceat(np.matmul(da, w["input"].T).reshape(-1, EMBEDDING).take(order, axis=0), starts), seen)
-        return found, states[-1, :HIDDEN].T, loss
+        symbols = symbols[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(symbols)) + 1])
+        rows = np.matmul(da[:, :, HIDDEN:], w["input"].T).reshape(-1, EMBEDDING)
+        found["embedding"] = (np.add.reduceat(rows.take(order, axis=0), starts), symbols[starts].astype(np.int64))
+        return found, u[-1, STATE].T, loss
 
     def learn(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
         found, h, loss = self.gradients(x, y, mask, h)
@@ -310,9 +311,7 @@ def score(weights: dict[str, np.ndarray], texts: list[np.ndarray], first: int, l
 
     A lane reads texts one after the other, each from an empty state, so that few lanes stand idle.
     """
-    sign = np.repeat(np.array([-1, -1, 1], weights["bias"].dtype), HIDDEN)
-    table = (weights["embedding"] @ weights["input"] + weights["bias"]) * sign
-    recurrent = np.ascontiguousarray((weights["recurrent"] * sign).T)
+    joined, looked = _joined(weights), _with_biases(weights)
     total = np.zeros(len(texts))
     dealt = _lanes(np.array([len(t) for t in texts], np.int64), lanes)
     lengths = np.array([sum(len(texts[i]) for i in some) for some in dealt])
@@ -336,9 +335,11 @@ def score(weights: dict[str, np.ndarray], texts: list[np.ndarray], first: int, l
         while begin and begin[-1][0] < end:
             t, j = begin.pop()
             new.append((t - at, j))
-        states = _carried(recurrent, table, np.ascontiguousarray(x[:live, at:end].T), h[:live], new)
+        u = _columns(weights, np.ascontiguousarray(x[:live, at:end].T), h[:live])
+        _forward(joined, u, [np.empty((4 * HIDDEN, live), u.dtype)] * (end - at), new)
         rows = np.flatnonzero((np.arange(at, end)[:, None] < lengths[:live]).reshape(-1))
-        lp = log_probabilities(weights, states.transpose(0, 2, 1).reshape(-1, HIDDEN)[rows], y[:live, at:end].T.reshape(-1)[rows])
+        states = u[1:, STATE.start :].transpose(0, 2, 1).reshape(-1, HIDDEN + 1)
+        lp = _looked_up(*looked, states if len(rows) == len(states) else states.take(rows, axis=0), y[:live, at:end].T.reshape(-1)[rows])
         total += np.bincount(text[:live, at:end].T.reshape(-1)[rows], weights=lp, minlength=len(texts))
-        h = states[-1].T
+        h = u[-1, STATE].T
     return total
