@@ -41,7 +41,8 @@ def _nearest(points: DataFrame, sites: DataFrame, radii: list[float], whole: boo
     """``(id, site, metres)`` by grids of rising radii; of a point that has no site within the last the row may be missing or farther, if the last isn't ``whole``, the sphere.
 
     One site of each of the cells a point lies in bounds how far its nearest can be, and the point looks about in the first grid
-    that reaches so far: where sites lie close, few share a cell.
+    that reaches so far: where sites lie close, few share a cell. Both sides are many times what Spark takes them for by their
+    files, and sent whole through the driver if it may, so the joins are merges.
     """
     grids = F.array(*[F.struct(F.lit(i).alias("_grid"), F.lit(step).alias("_step"), F.lit(count).cast("long").alias("_count")) for i, (step, count) in enumerate(map(_bands, radii))])
     band = lambda lat: F.least(F.floor((lat + 90) / F.col("_step")), F.col("_count") - 1).cast("long")
@@ -56,8 +57,8 @@ def _nearest(points: DataFrame, sites: DataFrame, radii: list[float], whole: boo
     if len(radii) > 1:
         # the sphere itself is one cell, and one site bounds all points in it
         own = placed(here.select("*", F.inline(F.slice(grids, 1, len(radii) - 1) if whole else grids)), "lat", "lng")
-        bound = own.join(there.select(*key, F.get("_sites", F.lit(0)).alias("_one")), key).groupBy("id").agg(F.min(metres(F.col("_one"))).alias("_bound"))
-        here = here.join(bound, "id", "left")
+        bound = own.join(there.select(*key, F.get("_sites", F.lit(0)).alias("_one")).hint("merge"), key).groupBy("id").agg(F.min(metres(F.col("_one"))).alias("_bound"))
+        here = here.join(bound.hint("merge"), "id", "left")
         here = here.join(F.broadcast(any_)).withColumn("_bound", F.least("_bound", metres(F.col("_any")))) if whole else here
         reach = F.size(F.filter(F.array(*map(F.lit, radii)), lambda r: r < F.col("_bound")))
         here = here.withColumn("_at", F.when(F.col("_bound").isNull(), len(radii) - 1).otherwise(F.least(reach, F.lit(len(radii) - 1))))
@@ -69,7 +70,7 @@ def _nearest(points: DataFrame, sites: DataFrame, radii: list[float], whole: boo
     here = here.withColumn("_cell", F.explode(cells)).select("id", "lat", "lng", *key)
     least = F.array_min(F.transform("_sites", lambda s: F.struct(metres(s).alias("metres"), s["site"].alias("site"))))
     # generated, so that a point's rows are sorted by their least alone, without the sites
-    met = here.join(there, key).select("id", F.inline(F.array(least)))
+    met = here.join(there.hint("merge"), key).select("id", F.inline(F.array(least)))
     best = met.groupBy("id").agg(F.min(F.struct("metres", "site")).alias("x"))
     return best.select("id", F.col("x.site").alias("site"), F.col("x.metres").alias("metres"))
 

@@ -152,6 +152,17 @@ def test_sites_that_lie_close(spark):
         assert got[a[0]][1] == pytest.approx(min(far(a, b) for b in sites), abs=1e-3)
 
 
+@pytest.mark.parametrize("name", ["nearest_of_all"])
+def test_cells_of_sites_stay_out_of_the_driver(spark, sf_dir, name):
+    """Small files, whose rows are many in all grids; all that is broadcast is one site."""
+    from ruleloom.plans import links
+
+    found = getattr(links, name)(spark, sf_dir)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_places_at_one_point_are_one(spark, tmp_path):
     import time
 
