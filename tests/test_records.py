@@ -152,7 +152,7 @@ def test_sites_that_lie_close(spark):
         assert got[a[0]][1] == pytest.approx(min(far(a, b) for b in sites), abs=1e-3)
 
 
-@pytest.mark.parametrize("name", ["nearest_of_all"])
+@pytest.mark.parametrize("name", ["nearest_of_all", "nearest_on_sphere"])
 def test_cells_of_sites_stay_out_of_the_driver(spark, sf_dir, name):
     """Small files, whose rows are many in all grids; all that is broadcast is one site."""
     from ruleloom.plans import links
