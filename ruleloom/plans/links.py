@@ -16,9 +16,12 @@ from .catalogue import query
 def _runs(spark, sf):
     """Orders as sets of their parts' remainders, in a prior run with a third as it is, a third without its last line, and a third unknown."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", (F.col("l_partkey") % 97).cast("string").alias("member"))
-    of = lambda df: df.groupBy("id").agg(F.collect_list("member").alias("members"))
-    prior = of(lines.where("id % 3 = 0 OR (id % 3 = 1 AND l_linenumber > 1)").withColumn("id", F.col("id") * 2))
-    return prior, of(lines)
+    # both runs are read off one list, so lines are grouped once
+    orders = lines.groupBy("id").agg(F.collect_list(F.struct("l_linenumber", "member")).alias("lines"))
+    members = lambda x: F.transform(x, lambda r: r["member"])
+    kept = F.when(F.col("id") % 3 == 0, F.col("lines")).when(F.col("id") % 3 == 1, F.filter("lines", lambda r: r["l_linenumber"] > 1))
+    prior = orders.withColumn("lines", kept).where(F.size("lines") > 0).select((F.col("id") * 2).alias("id"), members("lines").alias("members"))
+    return prior, orders.select("id", members("lines").alias("members"))
 
 
 SQL_IDS = """WITH lines AS (SELECT l_orderkey AS id, l_linenumber AS n, CAST(l_partkey % 97 AS VARCHAR) AS m FROM lineitem),

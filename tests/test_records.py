@@ -56,6 +56,50 @@ def test_ids_by_equality_then_by_unique_containment(spark):
     assert back == {1: [5, 99, 5], 2: None, 3: []}
 
 
+def test_ids_against_all_pairs(spark):
+    """Sets that repeat on both sides, some with more members than have all their parts made, against plain Python."""
+    import random
+    from collections import Counter
+
+    rnd, names = random.Random(3), [f"m{i:02}" for i in range(30)]
+    draw = lambda most: rnd.sample(names, rnd.randint(1, most))
+    current = [(i, draw(9)) for i in range(1_500)] + [(i, rnd.sample(names, rnd.randint(10, 22))) for i in range(1_500, 1_540)]
+    current += [(2_000 + k, rnd.choice(current)[1]) for k in range(300)]
+    prior = [(2 * i, m if i % 3 else m[1:]) for i, m in current if i % 2] + [(9_000 + i, draw(7)) for i in range(200)]
+    prior += [(20_000 + k, rnd.sample(rnd.choice(current[1_500:1_540])[1], 9)) for k in range(30)] + [(30_000, names[:20]), (30_001, [])]
+    rare = [f"z{i:02}" for i in range(18)]
+    current, prior = current + [(6_000, rare)], prior + [(40_000, rare[3:7])]
+    df = lambda rows: spark.createDataFrame(rows, "id long, members array<string>")
+    got = {r.id: (r.stable, r.how) for r in si.stable_ids(df(prior), df(current), F.floor(F.col("id") / 100)).collect()}
+    old, new = ({frozenset(m): sorted(i for i, x in rows if set(x) == set(m)) for _, m in rows if m} for rows in (prior, current))
+    want = {new[s][0]: (old[s][-1], "equal") for s in old if s in new}
+    left = {i: s for s, ids in new.items() for i in ids if i not in want}
+    pairs = [(old[s][-1], i) for s in old if s not in new for i, l in left.items() if s <= l]
+    small, large = Counter(p for p, _ in pairs), Counter(i for _, i in pairs)
+    want |= {i: (p, "contains") for p, i in pairs if small[p] == large[i] == 1}
+    last = max(i for i, _ in prior)
+    want |= {i: (last + k, "new") for k, i in enumerate(sorted(i for i, _ in current if i not in want), 1)}
+    assert got == want and {how for _, how in want.values()} == {"equal", "contains", "new"}
+    assert any(how == "contains" and len(dict(current)[i]) > si.PARTS_OF for i, (_, how) in want.items())
+
+
+def test_containment_of_sets_of_twelve(spark):
+    """Sets of a dozen of a few common members, where meeting at the rarest brings half of all together."""
+    import random
+    import time
+
+    rnd, names = random.Random(5), [f"m{i:02}" for i in range(24)]
+    large = [(i, sorted(rnd.sample(names, 12))) for i in range(40_000)]
+    small = [(i, sorted(rnd.sample(large[i * 7 % 40_000][1] if i % 9 == 0 else names, 11))) for i in range(40_000)]
+    schema, begin = "id long, members array<string>", time.time()
+    pairs = si.contained(spark.createDataFrame(small, schema), spark.createDataFrame(large, schema))
+    found = pairs.groupBy("small").agg(F.sort_array(F.collect_list("large")).alias("l")).collect()
+    assert time.time() - begin < 60
+    sets, found = [set(m) for _, m in large], {r.small: r.l for r in found}
+    for k in range(0, 40_000, 3_000):
+        assert found.get(k, []) == [i for i, s in enumerate(sets) if s.issuperset(small[k][1])]
+
+
 @pytest.mark.parametrize("radius", [20.0, 5_000.0, 900_000.0])
 def test_nearest_against_all_pairs_at_poles_and_antimeridian(spark, radius):
     points = [(i, lat, lng) for i, (lat, lng) in enumerate([(90, 0), (-90, 10), (89.99, 179.99), (0, 180), (0, -180), (10, 179.9999), (45, -179.9999), (-89.999, -90), (12.3, 45.6), (None, 1), (60, 0)])]
