@@ -83,6 +83,15 @@ def test_ids_against_all_pairs(spark):
     assert any(how == "contains" and len(dict(current)[i]) > si.PARTS_OF for i, (_, how) in want.items())
 
 
+def test_lines_of_two_runs_are_grouped_once(spark, sf_dir):
+    from ruleloom.plans import links
+
+    found = links.ids_rewritten(spark, sf_dir)
+    assert len(found.collect()) == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("partial_collect_list(") - final.count("partial_collect_list(struct(_at") == 1
+
+
 def test_containment_of_sets_of_twelve(spark):
     """Sets of a dozen of a few common members, where meeting at the rarest brings half of all together."""
     import random
